@@ -21,26 +21,35 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _has_cjk(col) -> Column:
+    return _c(col).rlike(CJK_CHAR)
+
+
 def word_terms(col) -> Column:
     """Lower-cased letter/digit runs with Han characters blanked out."""
-    return F.regexp_extract_all(
-        F.regexp_replace(F.lower(_c(col)), CJK_CHAR, " "), F.lit(WORD_RUN), 0)
+    low = F.lower(_c(col))
+    src = F.when(_has_cjk(col), F.regexp_replace(low, CJK_CHAR, " ")).otherwise(low)
+    return F.regexp_extract_all(src, F.lit(WORD_RUN), 0)
 
 
 def cjk_bigrams(col) -> Column:
     """Overlapping bigrams of each Han run (a one-character run is itself)."""
     runs = F.regexp_extract_all(_c(col), F.lit(CJK_CHAR + "+"), 0)
-    return F.flatten(F.transform(runs, lambda r: F.transform(
+    grams = F.flatten(F.transform(runs, lambda r: F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))),
         lambda i: F.substring(r, i, 2))))
+    return F.when(_has_cjk(col), grams).otherwise(F.array().cast("array<string>"))
 
 
 def terms(col, drop_stop_words: bool = True) -> Column:
-    """Analyse text to index/search terms (array<string>, with repeats)."""
+    """Analyse text to index/search terms (array<string>, with repeats).
+
+    Text without Han characters takes one regex pass plus one scan; the
+    stop-word test is a hash-set ``IN``.
+    """
     t = F.concat(word_terms(col), cjk_bigrams(col))
     if drop_stop_words:
-        stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-        t = F.filter(t, lambda x: ~F.array_contains(stop, x))
+        t = F.filter(t, lambda x: ~x.isin(*STOP_WORDS))
     return t
 
 

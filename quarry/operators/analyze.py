@@ -17,13 +17,15 @@ def stop_word_table(spark: SparkSession, words=STOP_WORDS) -> DataFrame:
 
 def term_rows(df: DataFrame, text_col: str, keys, drop_stop_words: bool = False) -> DataFrame:
     """One row per term occurrence: ``(keys..., term)``. Map-only."""
-    return df.select(*keys, F.explode(terms(text_col, drop_stop_words)).alias("term"))
+    return (df.select(*keys, F.explode_outer(terms(text_col, drop_stop_words)).alias("term"))
+            .filter(F.col("term").isNotNull()))
 
 
 def term_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Corpus term frequencies ``(term, n)``; partial aggregation combines
     counts map-side so even a term in every row ships one row per task."""
-    return (df.select(F.explode(terms(text_col, False)).alias("term"))
+    return (df.select(F.explode_outer(terms(text_col, False)).alias("term"))
+            .filter(F.col("term").isNotNull())
             .groupBy("term").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -42,13 +44,14 @@ def dictionary_hits(df: DataFrame, text_col: str, words, keys) -> DataFrame:
     """
     lits = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
     hits = F.filter(lits, lambda w: F.contains(F.col(text_col), w))
-    return df.select(*keys, F.explode(hits).alias("word"))
+    return df.select(*keys, F.explode_outer(hits).alias("word")).filter(F.col("word").isNotNull())
 
 
 def term_stats(chunks: DataFrame, text_col: str = "content", keys=("doc_id", "cont_id")) -> DataFrame:
     """Index statistics per term: document frequency ``df`` (chunks that
     contain it) and collection frequency ``cf`` (occurrences)."""
-    per_chunk = (chunks.select(*keys, F.explode(terms(text_col)).alias("term"))
+    per_chunk = (chunks.select(*keys, F.explode_outer(terms(text_col)).alias("term"))
+                 .filter(F.col("term").isNotNull())
                  .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
     return per_chunk.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").cast("bigint").alias("cf"))

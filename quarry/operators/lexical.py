@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.fixed import LEXICAL_TOPK
 from quarry.functions.text import terms
-from quarry.plans.strategy import rounded, sized_broadcast, top_k
+from quarry.plans.strategy import fits_broadcast, rounded, sized_broadcast, top_k
 
 K1 = 1.2
 B = 0.75
@@ -34,38 +34,86 @@ def postings(chunks: DataFrame, keys, text_col: str = "content") -> DataFrame:
     are produced in one task, so partial aggregation combines them before
     the exchange."""
     t = chunks.select(*keys, terms(text_col).alias("_t"))
-    return (t.select(*keys, F.size("_t").cast("bigint").alias("dl"), F.explode("_t").alias("term"))
+    return (t.select(*keys, F.size("_t").cast("bigint").alias("dl"), F.explode_outer("_t").alias("term"))
+            .filter(F.col("term").isNotNull())
             .groupBy(*keys, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def corpus_stats(chunks: DataFrame, text_col: str = "content"):
-    """(N, avgdl) as scalar-subquery columns over chunks with ≥1 term."""
-    dl = chunks.select(F.size(terms(text_col)).alias("dl")).filter("dl > 0")
-    s = dl.agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"),
-                        F.avg("dl").alias("avgdl")).alias("s")).scalar()
-    return s.getField("n"), s.getField("avgdl")
+def corpus_stats(post: DataFrame):
+    """(N, avgdl) over chunks with ≥1 term, as scalar-subquery columns,
+    from postings alone: per chunk the ``tf`` sum to ``dl``, so
+    ``sum(tf / dl)`` counts chunks and ``sum(tf)`` is the total length.
+    One global aggregate, combined map-side."""
+    s = post.agg(F.struct(F.round(F.sum(F.col("tf") / F.col("dl"))).alias("n"),
+                          F.sum("tf").cast("double").alias("total")).alias("s")).scalar()
+    n = s.getField("n")
+    return n, s.getField("total") / n
+
+
+class LexicalIndex:
+    """Postings of a chunk table, tokenized once and written as a table.
+
+    ``build`` repartitions the chunks by ``doc_id`` (the only shuffle of the
+    build: chunk text, not term rows), counts term frequencies inside those
+    partitions (no further exchange) and writes the postings bucketed by
+    ``doc_id`` under the shared checkpoint folder (``spark.checkpoint.dir``).
+    At query time the per-(question, chunk) sum is then co-located with its
+    bucket and needs no shuffle; the written table also cuts the lineage so
+    a lost executor never forces re-tokenizing the corpus.
+    """
+
+    def __init__(self, postings_df: DataFrame, keys):
+        self.postings = postings_df
+        self.keys = list(keys)
+
+    @classmethod
+    def build(cls, chunks: DataFrame, keys=("doc_id", "cont_id"), text_col: str = "content",
+              buckets: int | None = None, path: str | None = None) -> "LexicalIndex":
+        import uuid
+
+        from quarry.session import shared_dir
+        keys = list(keys)
+        spark = chunks.sparkSession
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        base = path or shared_dir(spark, "lexical-index")
+        t = chunks.repartition(n, keys[0]).select(*keys, terms(text_col).alias("_t"))
+        post = (t.select(*keys, F.size("_t").cast("bigint").alias("dl"),
+                         F.explode_outer("_t").alias("term"))
+                .filter(F.col("term").isNotNull())
+                .groupBy(*keys, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+        name = "quarry_postings_" + uuid.uuid4().hex[:12]
+        (post.write.mode("overwrite").option("path", base + "/postings")
+         .bucketBy(n, keys[0]).sortBy("term").saveAsTable(name))
+        return cls(spark.table(name), keys)
+
+    def stats(self):
+        return corpus_stats(self.postings)
 
 
 def query_terms(questions: DataFrame, qid: str, text_col: str) -> DataFrame:
-    return (questions.select(qid, F.explode(terms(text_col)).alias("term"))
+    return (questions.select(qid, F.explode_outer(terms(text_col)).alias("term"))
+            .filter(F.col("term").isNotNull())
             .groupBy(qid, "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def bm25_scores(questions: DataFrame, chunks: DataFrame, qid: str = "item_id",
-                qtext: str = "text", keys=("doc_id", "cont_id"), text_col: str = "content",
-                k1: float = K1, b: float = B) -> DataFrame:
+def bm25_scores(questions: DataFrame, index: LexicalIndex, qid: str = "item_id",
+                qtext: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """All (question, chunk) pairs sharing a term, with Okapi BM25 score
     (any-term match; repeated query terms count once per occurrence)."""
-    keys = list(keys)
+    keys = index.keys
     qt = query_terms(questions, qid, qtext)
-    vocab = sized_broadcast(qt.select("term").distinct())
-    post = postings(chunks, keys, text_col).join(vocab, "term", "left_semi")
+    # one size check on the question terms bounds both broadcast sides
+    # (the vocabulary and the idf-weighted terms have at most as many rows)
+    small = fits_broadcast(qt)
+    vocab = qt.select("term").distinct()
+    vocab = F.broadcast(vocab) if small else vocab
+    post = index.postings.join(vocab, "term", "left_semi")
     dfs = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n, avgdl = corpus_stats(chunks, text_col)
+    n, avgdl = index.stats()
     qs = (qt.join(dfs, "term")
           .withColumn("idf", F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
           .select(qid, "term", "qtf", "idf"))
-    cand = post.join(sized_broadcast(qs), "term")
+    cand = index.postings.join(F.broadcast(qs) if small else qs, "term")
     contrib = (F.col("qtf") * F.col("idf") * F.col("tf")
                / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / avgdl)))
     return (cand.groupBy(qid, *keys).agg(F.sum(contrib).alias("score"))
@@ -79,7 +127,8 @@ def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int = LEXICAL_TOPK,
     """Top-k chunks per question by BM25; ties broken by chunk key.
     Output ``(qid, keys..., score, rank, carry...)``."""
     keys = list(keys)
-    scores = bm25_scores(questions, chunks, qid, qtext, keys, text_col, k1, b)
+    index = LexicalIndex.build(chunks, keys, text_col)
+    scores = bm25_scores(questions, index, qid, qtext, k1, b)
     top = top_k(scores, [qid], [F.desc("score"), *keys], k)
     carry = [c for c in carry if c not in keys]
     if not carry:

@@ -20,6 +20,12 @@ def broadcast_limit(spark) -> int:
     return int(spark.conf.get("quarry.broadcast.maxRows", str(DEFAULT_BROADCAST_ROWS)))
 
 
+def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
+    """True if ``df`` has at most ``max_rows`` rows (a bounded count job)."""
+    bound = max_rows if max_rows is not None else broadcast_limit(df.sparkSession)
+    return df.limit(bound + 1).count() <= bound
+
+
 def sized_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Return ``broadcast(df)`` if ``df`` has at most ``max_rows`` rows.
 
@@ -27,9 +33,7 @@ def sized_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     pulls rows to the driver. Above the bound the side is returned as is and
     Spark picks a shuffle join.
     """
-    bound = max_rows if max_rows is not None else broadcast_limit(df.sparkSession)
-    n = df.limit(bound + 1).count()
-    return F.broadcast(df) if n <= bound else df
+    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
 def top_k(df: DataFrame, part_cols, order_cols, k: int, rank_col: str = "rank") -> DataFrame:
