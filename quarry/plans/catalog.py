@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import retrieval  # noqa: F401  (registers queries)
+from quarry.plans import retrieval, vector_search  # noqa: F401  (register queries)
 from quarry.plans.registry import NOTES, ORACLE, QUERIES
 
 
