@@ -72,3 +72,10 @@ PROGRESS_EVERY = 50
 RETENTION_DAYS = 90
 TABLE_BOTTOM_GAP = 100
 MAX_TOKENS = 300
+
+# --- fixed values: chat payload ---
+# (the configured text ends with a backslash and an "n", not a newline)
+SYSTEM_ROLE = "你是一个出色的文档问答助手，根据给定的文本片段和问题进行回答，回答要合理、简洁，回复语言采用中文。\\n"
+DEFAULT_MODELS = ["glm-4"]
+GLM_TEMPERATURE = 0.8
+OTHER_TEMPERATURE = 0.0

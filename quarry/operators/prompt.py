@@ -6,7 +6,7 @@ gathering a question's contexts into one row is a bounded group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.fixed import (CONTEXT_JOINER, PROMPT_ANSWER_LABEL, PROMPT_PREFIX,
@@ -39,4 +39,97 @@ def build_prompt(ranked: DataFrame, questions: DataFrame, qid: str = "item_id",
         F.array_join(ctx, CONTEXT_JOINER).alias("contexts"),
         F.array_join(src, CONTEXT_JOINER).alias("sources"),
         F.transform(items, lambda x: x.getField(content)).alias("contexts_list"),
+        F.array_join(numbered, "").alias("contexts_body"),
         F.size(items).cast("bigint").alias("n_contexts")))
+
+
+# --- F3-F10 ------------------------------------------------------------------
+
+SENTENCE_END = r"[.!?。！？]+"
+
+
+def compression_route(prompts: DataFrame, over: int = 500, qid: str = "item_id") -> DataFrame:
+    """Route a prompt to compression when its numbered context block is
+    longer than ``over`` characters (F3; off in the original flow)."""
+    body = F.length(F.col("contexts_body"))
+    return prompts.select(qid, body.cast("bigint").alias("body_len"),
+                          F.when(body > over, F.lit("compress")).otherwise(F.lit("direct")).alias("route"))
+
+
+def denoise(contexts: DataFrame, questions: DataFrame, min_overlap: float, qid: str = "item_id",
+            qtext: str = "text", content: str = "content") -> DataFrame:
+    """Drop contexts unrelated to the question (F4): keep those whose share
+    of the question's distinct terms is above ``min_overlap``."""
+    from quarry.functions.text import terms, token_overlap
+    q = questions.select(qid, terms(qtext).alias("_qt"))
+    scored = contexts.join(q, qid).withColumn(
+        "overlap", F.round(token_overlap(F.col("_qt"), terms(content)), 6)).drop("_qt")
+    return scored.filter(F.col("overlap") > F.lit(min_overlap))
+
+
+def sentences(df: DataFrame, text_col: str, keys) -> DataFrame:
+    """``(keys..., sent_pos, sentence)``: split on end punctuation, trimmed,
+    empty pieces dropped; ``sent_pos`` is 1-based over kept pieces' slots."""
+    return (df.select(*keys, F.posexplode(F.split(F.col(text_col), SENTENCE_END)).alias("p", "s"))
+            .select(*keys, (F.col("p") + 1).cast("bigint").alias("sent_pos"), F.trim("s").alias("sentence"))
+            .filter(F.length("sentence") > 0))
+
+
+def compress(contexts: DataFrame, questions: DataFrame, budget: int, qid: str = "item_id",
+             qtext: str = "text", rank: str = "rank", content: str = "content") -> DataFrame:
+    """Keep the sentences most related to the question until ``budget``
+    characters (F5), then restore reading order. One row per question.
+    A question's sentences come from its reranked contexts (bounded)."""
+    from quarry.functions.text import terms, token_overlap
+    s = sentences(contexts, content, [qid, rank])
+    q = questions.select(qid, terms(qtext).alias("_qt"))
+    scored = s.join(q, qid).withColumn("overlap", F.round(token_overlap(F.col("_qt"), terms("sentence")), 6))
+    w = (Window.partitionBy(qid).orderBy(F.desc("overlap"), rank, "sent_pos")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kept = (scored.withColumn("_run", F.sum(F.length("sentence")).over(w))
+            .filter(F.col("_run") <= budget))
+    return kept.groupBy(qid).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank, "sent_pos", "sentence"))),
+                                 lambda x: x.getField("sentence")), " ").alias("compressed"),
+        F.count(F.lit(1)).cast("bigint").alias("kept_sentences"))
+
+
+def chat_messages(prompts: DataFrame, models, system_role: str, qid: str = "item_id",
+                  glm_temperature: float = 0.8, other_temperature: float = 0.0,
+                  max_tokens: int = 300) -> DataFrame:
+    """Chat payload per (question, model) (F6, F7): a system and a user
+    message; sampling by model. The model list is a bounded parameter and
+    is exploded from a literal array, so no join is planned."""
+    msgs = F.array(F.struct(F.lit("system").alias("role"), F.lit(system_role).alias("content")),
+                   F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")))
+    return (prompts.select(qid, "prompt", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
+            .select(qid, "model", F.to_json(msgs).alias("messages"),
+                    F.when(F.col("model") == "glm-4", F.lit(glm_temperature))
+                    .otherwise(F.lit(other_temperature)).alias("temperature"),
+                    F.lit(max_tokens).cast("bigint").alias("max_tokens")))
+
+
+def dialogue_pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
+                   text: str = "text") -> DataFrame:
+    """Each user turn with the assistant turn that directly follows it
+    (F8). An equi-join on ``(conv, turn + 1)`` instead of a per-conversation
+    window, so one very long conversation is spread over many tasks."""
+    users = turns.filter(F.col(role) == "user").select(conv, turn, F.col(text).alias("question"))
+    nxt = turns.filter(F.col(role) == "assistant").select(
+        F.col(conv), (F.col(turn) - 1).alias(turn), F.col(text).alias("answer"))
+    return users.join(nxt, [conv, turn], "left")
+
+
+def envelope(pairs: DataFrame) -> DataFrame:
+    """Response status per answered question."""
+    ok = F.col("answer").isNotNull()
+    return pairs.select("*", F.when(ok, F.lit("success")).otherwise(F.lit("fail")).alias("status"),
+                        F.when(ok, F.lit("")).otherwise(F.lit("no answer")).alias("error"))
+
+
+def progress_batches(questions: DataFrame, order_col: str, every: int = 50) -> DataFrame:
+    """Batch number of each question for partial results every ``every``
+    rows (F10), from a distributed global row number."""
+    from quarry.plans.strategy import global_row_number
+    return (global_row_number(questions, [order_col])
+            .withColumn("batch", F.floor((F.col("rn") - 1) / every).cast("bigint")))

@@ -182,7 +182,7 @@ def flagship(spark, sf_dir):
         "item_id", "prompt", "contexts", "sources", "n_contexts")
 
 
-PROMPT_SQL = LEX_CONTEXT_SQL + f""",
+PROMPT_CTES = LEX_CONTEXT_SQL + f""",
 {rerank_ctes(RERANK_KEEP, 'ctx')},
 agg AS (
   SELECT item_id,
@@ -191,13 +191,17 @@ agg AS (
          string_agg('<' || rank::VARCHAR || '>: ' || source, chr(10) || chr(10) ORDER BY rank) AS sources,
          count(*)::BIGINT AS n_contexts
   FROM rr GROUP BY item_id
-)
-SELECT b.item_id,
+),
+prompts AS (
+SELECT b.item_id, coalesce(a.body, '') AS contexts_body,
        '<文本片段>:' || chr(10) || chr(10) || coalesce(a.body, '') || chr(10) || '<问题>: ' || b.text
          || chr(10) || '<回答>: ' AS prompt,
        coalesce(a.contexts, '') AS contexts, coalesce(a.sources, '') AS sources,
        coalesce(a.n_contexts, 0)::BIGINT AS n_contexts
-FROM benchmark b LEFT JOIN agg a ON a.item_id = b.item_id"""
+FROM benchmark b LEFT JOIN agg a ON a.item_id = b.item_id
+)"""
+PROMPT_SQL = PROMPT_CTES + """
+SELECT item_id, prompt, contexts, sources, n_contexts FROM prompts"""
 
 
 @register("build_prompt", sql=PROMPT_SQL)

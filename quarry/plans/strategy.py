@@ -53,3 +53,20 @@ def top_k(df: DataFrame, part_cols, order_cols, k: int, rank_col: str = "rank")
 def rounded(col: Column | str, digits: int = 6) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.round(c.cast("double"), digits)
+
+
+def global_row_number(df: DataFrame, order_cols, name: str = "rn", partitions: int | None = None) -> DataFrame:
+    """1-based row number over the whole table without a single-partition
+    window: range-partition on the order, number rows inside each
+    partition, and add the row count of all earlier partitions (a table
+    of one row per partition, broadcast)."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    parted = df.repartitionByRange(n, *cols).withColumn("_part", F.spark_partition_id())
+    local = parted.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*cols)))
+    counts = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_off"))
+    return (local.join(F.broadcast(offsets), "_part")
+            .withColumn(name, (F.col("_off") + F.col("_local")).cast("bigint"))
+            .drop("_part", "_local", "_off"))
