@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import answering, ingest, retrieval, vector_search  # noqa: F401  (register queries)
+from quarry.plans import answering, evaluation, ingest, retrieval, vector_search  # noqa: F401  (register queries)
 from quarry.plans.registry import NOTES, ORACLE, QUERIES
 
 

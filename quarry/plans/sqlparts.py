@@ -101,3 +101,23 @@ rr AS (
     SELECT *, row_number() OVER (PARTITION BY {qid} ORDER BY rerank_score DESC, pos)::BIGINT AS rank
     FROM scored) WHERE rank <= {keep}
 )"""
+
+
+def lexical_context_ctes(questions: str, qid: str, qtext: str, k: int = 10, keep: int = 3) -> str:
+    """CTE chain (after ``chunks``): BM25 top-k for ``questions``, merged
+    like the hybrid context (lexical leg only) as ``ctx``, reranked as
+    ``rr``, and the ``<i>: ...`` context string per question as ``qctx``."""
+    return f"""{bm25_ctes(k, questions, qid, qtext)},
+merged AS (
+  SELECT {qid}, content, source, min(rank) AS leg_rank FROM lex GROUP BY {qid}, content, source
+),
+ctx AS (
+  SELECT {qid}, content, source, 1::BIGINT AS leg, leg_rank,
+         row_number() OVER (PARTITION BY {qid} ORDER BY leg_rank)::BIGINT AS pos
+  FROM merged
+),
+{rerank_ctes(keep, 'ctx', questions, qid, qtext)},
+qctx0 AS (
+  SELECT {qid}, string_agg('<' || rank::VARCHAR || '>: ' || content, chr(10) || chr(10) ORDER BY rank) AS contexts
+  FROM rr GROUP BY {qid}
+)"""
