@@ -55,6 +55,14 @@ def rounded(col: Column | str, digits: int = 6) -> Column:
     return F.round(c.cast("double"), digits)
 
 
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint under ``spark.checkpoint.dir`` (set from the
+    session's configuration, or a private folder only when unset)."""
+    from quarry.session import shared_dir
+    shared_dir(df.sparkSession)  # registers the checkpoint dir if needed
+    return df.checkpoint(eager=True)
+
+
 def global_row_number(df: DataFrame, order_cols, name: str = "rn", partitions: int | None = None) -> DataFrame:
     """1-based row number over the whole table without a single-partition
     window: range-partition on the order, number rows inside each
@@ -63,10 +71,72 @@ def global_row_number(df: DataFrame, order_cols, name: str = "rn", partitions: i
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    parted = df.repartitionByRange(n, *cols).withColumn("_part", F.spark_partition_id())
+    # materialised once (reliable checkpoint in the shared checkpoint dir):
+    # every branch below must see the same range split
+    parted = _checkpointed(df.repartitionByRange(n, *cols).withColumn("_part", F.spark_partition_id()))
     local = parted.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*cols)))
     counts = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_off"))
     return (local.join(F.broadcast(offsets), "_part")
             .withColumn(name, (F.col("_off") + F.col("_local")).cast("bigint"))
             .drop("_part", "_local", "_off"))
+
+
+def group_row_number(df: DataFrame, part_cols, order_cols, name: str = "rn",
+                     partitions: int | None = None) -> DataFrame:
+    """1-based row number inside each ``part_cols`` group, without a
+    per-group window.
+
+    Rows are range-partitioned on (group, order), so a group holding a third
+    of the table is spread over many tasks. Each task numbers its rows per
+    group; a group that started in earlier tasks gets the row count it has
+    there added. Only a task's first group can continue from earlier tasks,
+    so the correction table has at most two rows per task.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part_cols, order_cols = list(part_cols), list(order_cols)
+    key = F.struct(*part_cols)
+    # materialised once (reliable checkpoint in the shared checkpoint dir):
+    # the numbering and the correction table must see the same range split
+    parted = _checkpointed(df.repartitionByRange(n, *part_cols, *order_cols)
+                           .withColumn("_pid", F.spark_partition_id()).withColumn("_key", key))
+    local = parted.withColumn(
+        "_local", F.row_number().over(Window.partitionBy("_pid", "_key").orderBy(*order_cols)))
+    bounds = parted.groupBy("_pid").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last"))
+    edge = (parted.join(F.broadcast(bounds), "_pid")
+            .filter((F.col("_key") == F.col("_first")) | (F.col("_key") == F.col("_last")))
+            .groupBy("_pid", "_key").agg(F.count(F.lit(1)).alias("_n")))
+    w = Window.partitionBy("_key").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = edge.select("_pid", "_key", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    # one or two rows per task: bounded by the partition count
+    return (local.join(F.broadcast(offsets), ["_pid", "_key"], "left")
+            .withColumn(name, (F.coalesce("_off", F.lit(0)) + F.col("_local")).cast("bigint"))
+            .drop("_pid", "_key", "_local", "_off"))
+
+
+def forward_fill(df: DataFrame, part_cols, order_cols, col: str, out: str) -> DataFrame:
+    """Last non-null ``col`` at or before each row within its group, as an
+    equi-join instead of a per-group window: a null row's fill is the
+    non-null row whose rank among non-null rows equals
+    ``rank among all rows - rank among null rows``."""
+    part_cols = list(part_cols)
+    isnull = F.col(col).isNull()
+    allr = group_row_number(df.withColumn("_isnull", isnull), part_cols, order_cols, "_rall")
+    byk = group_row_number(allr, part_cols + ["_isnull"], order_cols, "_rk")
+    vals = byk.filter(~F.col("_isnull")).select(*part_cols, F.col("_rk").alias("_src"),
+                                                F.col(col).alias("_fill"))
+    tgt = byk.withColumn("_src", F.when(F.col("_isnull"), F.col("_rall") - F.col("_rk"))
+                         .otherwise(F.col("_rk")))
+    return (tgt.join(vals, part_cols + ["_src"], "left")
+            .withColumn(out, F.col("_fill")).drop("_isnull", "_rall", "_rk", "_src", "_fill"))
+
+
+def islands(df: DataFrame, part_cols, order_cols, key_col: str, out: str = "island") -> DataFrame:
+    """Runs of consecutive equal ``key_col`` inside each group (gaps and
+    islands): ``out`` = rank among all rows − rank among rows of the same
+    key, unique per (group, key) run."""
+    part_cols = list(part_cols)
+    a = group_row_number(df, part_cols, order_cols, "_ra")
+    b = group_row_number(a, part_cols + [key_col], order_cols, "_rb")
+    return b.withColumn(out, (F.col("_ra") - F.col("_rb")).cast("bigint")).drop("_ra", "_rb")
