@@ -178,3 +178,21 @@ def ivf_search(queries: DataFrame, items: DataFrame, centroids: DataFrame, k: in
 def dot_scores(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Inner product of two vector columns of the same row."""
     return pairs.withColumn("score", rounded(dot(a, b)))
+
+
+# --- D1 -------------------------------------------------------------------------
+def embed_corpus(docs: DataFrame, text_col: str, dim: int = 1024, min_doc_freq: int = 1) -> DataFrame:
+    """Distributed stand-in for the sentence encoder (D1): term hashing to
+    ``dim`` features, IDF weighting (one distributed aggregation to fit),
+    L2 normalisation. Adds ``embedding`` (array<double>). Vectors made by
+    a real model come in as a column instead."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+    from pyspark.ml.functions import vector_to_array
+    stages = [RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[^\p{L}\p{N}]+"),
+              HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim),
+              IDF(inputCol="_tf", outputCol="_idf", minDocFreq=min_doc_freq),
+              Normalizer(inputCol="_idf", outputCol="_vec", p=2.0)]
+    model = Pipeline(stages=stages).fit(docs)
+    out = model.transform(docs)
+    return out.withColumn("embedding", vector_to_array("_vec")).drop("_tok", "_tf", "_idf", "_vec")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quarry.plans import answering, evaluation, ingest, layout_dialogue, retrieval, vector_search  # noqa: F401  (register queries)
+from quarry.plans import (answering, evaluation, ingest, layout_dialogue, retrieval,  # noqa: F401
+                          streams, vector_search)
 from quarry.plans.registry import NOTES, ORACLE, QUERIES
 
 
