@@ -132,9 +132,9 @@ def chunk_recursive(docs: DataFrame, text_col: str = "text", size: int = CHUNK_S
                         rows[c].append(pdf[c].iat[i])
                     ids.append(j + 1)
                     contents.append(piece)
-            out = pd.DataFrame(rows, columns=keep)
-            out["cont_id"] = pd.Series(ids, dtype="int64")
-            out["content"] = pd.Series(contents, dtype="object")
-            yield out
+            cols = {c: pd.Series(rows[c], dtype=pdf[c].dtype if len(rows[c]) else "object") for c in keep}
+            cols["cont_id"] = pd.Series(ids, dtype="int64")
+            cols["content"] = pd.Series(contents, dtype="object")
+            yield pd.DataFrame(cols)
 
     return docs.select(*keep, text_col).mapInPandas(run, out_schema)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.fixed import LEXICAL_TOPK
 from quarry.functions.text import terms
-from quarry.plans.strategy import fits_broadcast, rounded, sized_broadcast, top_k
+from quarry.plans.strategy import broadcast_limit, fits_broadcast, rounded, top_k
 
 K1 = 1.2
 B = 0.75
@@ -134,7 +134,9 @@ def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int = LEXICAL_TOPK,
     if not carry:
         return top
     attrs = chunks.select(*keys, *carry)
-    return attrs.join(sized_broadcast(top), keys).select(qid, *keys, "score", "rank", *carry)
+    # hits ≤ questions × k: checking the question table bounds the hit table
+    small = fits_broadcast(questions.select(qid), max(1, broadcast_limit(questions.sparkSession) // k))
+    return attrs.join(F.broadcast(top) if small else top, keys).select(qid, *keys, "score", "rank", *carry)
 
 
 def distinct_first(hits: DataFrame, qid: str = "item_id", content: str = "content",

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.vectors import dot
-from quarry.plans.strategy import fits_broadcast, rounded, top_k
+from quarry.plans.strategy import rounded, top_k
 
 Q_ROWS = 1024
 I_ROWS = 16384
@@ -77,9 +77,9 @@ def dense_topk(queries: DataFrame, items: DataFrame, k: int, qid: str = "qid", i
     it = it.filter(F.col(ivec).isNotNull())
     qs = q.groupBy(g).agg(F.ceil(F.count(F.lit(1)) / q_rows).cast("int").alias("qb"))
     isz = it.groupBy(g).agg(F.ceil(F.count(F.lit(1)) / i_rows).cast("int").alias("ib"))
-    blocks = qs.join(isz, g)
-    # one row per group: bounded by the number of groups (cells)
-    blocks = F.broadcast(blocks) if fits_broadcast(blocks) else blocks
+    # one row per group; groups are the whole collection or the cells of an
+    # index (``nlist``), so the table is bounded by a parameter
+    blocks = F.broadcast(qs.join(isz, g))
     qx = (q.join(blocks, g)
           .select(qid, qvec, g, F.pmod(F.xxhash64(qid), F.col("qb")).cast("int").alias("_qblk"),
                   F.explode(F.sequence(F.lit(0), F.col("ib") - 1)).alias("_iblk")))
@@ -158,18 +158,36 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame, iid: str, vec: str) -
     return best.select(F.col("_q").alias(iid), F.col("_c").alias("cell"), "score")
 
 
+def build_ivf_index(items: DataFrame, centroids: DataFrame, iid: str, ivec: str,
+                    item_cells: DataFrame | None = None, path: str | None = None) -> DataFrame:
+    """Write every item with its cell, bucketed by cell, under the shared
+    checkpoint folder (the coarse index, built once); returns the table."""
+    import uuid
+
+    from quarry.session import shared_dir
+    spark = items.sparkSession
+    cells = item_cells if item_cells is not None else assign_cells(items, centroids, iid, ivec)
+    rows = items.select(iid, ivec).join(cells.select(iid, "cell"), iid)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = "quarry_ivf_" + uuid.uuid4().hex[:12]
+    (rows.write.mode("overwrite").option("path", path or shared_dir(spark, "ivf-index"))
+     .bucketBy(n, "cell").saveAsTable(name))
+    return spark.table(name)
+
+
 def ivf_search(queries: DataFrame, items: DataFrame, centroids: DataFrame, k: int, nprobe: int,
                qid: str = "qid", iid: str = "iid", qvec: str = "qvec", ivec: str = "ivec",
-               item_cells: DataFrame | None = None, exclude_self: bool = False) -> DataFrame:
+               item_cells: DataFrame | None = None, exclude_self: bool = False,
+               index: DataFrame | None = None) -> DataFrame:
     """Cell-pruned search (E3): each question probes its ``nprobe`` best
     cells; candidates are joined by ``cell`` (an equi-join, so items are
     only read in the cells probed) and ranked exactly within them.
-    With ``nprobe`` = number of cells this equals ``dense_topk``."""
+    With ``nprobe`` = number of cells this equals ``dense_topk``. ``index``
+    is a table from ``build_ivf_index`` (built here when absent)."""
     cq = queries.select(F.col(qid).alias("_q"), F.col(qvec).alias("_qv"))
     cc = centroids.select(F.col("cell").alias("_c"), F.col("centroid").alias("_cv"))
     probes = dense_topk(cq, cc, nprobe, qid="_q", iid="_c", qvec="_qv", ivec="_cv")
-    cells = item_cells if item_cells is not None else assign_cells(items, centroids, iid, ivec)
-    it = items.join(cells.select(iid, "cell"), iid)
+    it = index if index is not None else build_ivf_index(items, centroids, iid, ivec, item_cells)
     qc = queries.join(probes.select(F.col("_q").alias(qid), F.col("_c").alias("cell")), qid)
     return dense_topk(qc, it, k, qid=qid, iid=iid, qvec=qvec, ivec=ivec, group="cell",
                       exclude_self=exclude_self)

@@ -13,7 +13,7 @@ from quarry.operators import vectors as V
 from quarry.plans.registry import register
 from quarry.plans.retrieval import PROMPT_CTES, flagship, lexical_contexts, windows
 from quarry.plans.sqlparts import bm25_ctes, chunks_cte, lit, rerank_ctes
-from quarry.plans.strategy import sized_broadcast
+from quarry.plans.strategy import broadcast_limit, fits_broadcast
 from quarry.plans.vector_search import FIXTURE_THRESHOLD
 from quarry.session import load_table
 
@@ -33,7 +33,9 @@ def vector_leg(spark, sf_dir, k=VECTOR_TOPK, min_score=FIXTURE_THRESHOLD):
     hits = V.threshold(V.dense_topk(q, it, k, qid="item_id", iid="doc_id", qvec="qvec", ivec="ivec"),
                        min_score)
     docs = d.select("doc_id", "source", F.substring("text", 1, 250).alias("content"))
-    return docs.join(sized_broadcast(hits), "doc_id").select(
+    # hits ≤ questions × k: checking the question table bounds the hit table
+    small = fits_broadcast(b.select("item_id"), max(1, broadcast_limit(spark) // k))
+    return docs.join(F.broadcast(hits) if small else hits, "doc_id").select(
         "item_id", "doc_id", "content", "source", "score", "rank")
 
 
