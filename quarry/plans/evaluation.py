@@ -17,7 +17,7 @@ from quarry.operators import lexical, prompt, retrieve
 from quarry.plans.registry import register
 from quarry.plans.retrieval import windows
 from quarry.plans.sqlparts import chunks_cte, lexical_context_ctes, values
-from quarry.plans.strategy import global_row_number
+from quarry.plans.strategy import _checkpointed, global_row_number
 from quarry.session import load_table, shared_dir
 from quarry.sources import files
 
@@ -51,7 +51,11 @@ def qa_contexts(spark, sf_dir):
     rr = retrieve.rerank(qa, ctx, keep=RERANK_KEEP, qid="qa_id", qtext="question")
     p = prompt.build_prompt(rr, qa, qid="qa_id", qtext="question")
     hand = spark.createDataFrame(HAND_QA, "qa_id long, question string, answer string, contexts string")
-    return qa.join(p.select("qa_id", "contexts"), "qa_id").unionByName(hand)
+    # one row per answer: materialised once so every metric below reads it
+    # instead of re-running retrieval (reliable checkpoint, shared folder)
+    out = _checkpointed(qa.join(p.select("qa_id", "contexts"), "qa_id").unionByName(hand))
+    # every metric joins, windows or groups on qa_id: partition once by it
+    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "qa_id")
 
 
 QA_SQL = f"""WITH {chunks_cte()},

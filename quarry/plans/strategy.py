@@ -56,11 +56,13 @@ def rounded(col: Column | str, digits: int = 6) -> Column:
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint under ``spark.checkpoint.dir`` (set from the
-    session's configuration, or a private folder only when unset)."""
+    """Materialise ``df`` once as parquet under the shared checkpoint folder
+    (``spark.checkpoint.dir``) and read it back: the lineage is cut and,
+    unlike an unpersisted ``checkpoint()``, the plan runs only once."""
     from quarry.session import shared_dir
-    shared_dir(df.sparkSession)  # registers the checkpoint dir if needed
-    return df.checkpoint(eager=True)
+    path = shared_dir(df.sparkSession, "materialized")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def global_row_number(df: DataFrame, order_cols, name: str = "rn", partitions: int | None = None) -> DataFrame:
