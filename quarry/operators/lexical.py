@@ -18,7 +18,7 @@ does not create a hot partition. N and avgdl are scalar subqueries.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.fixed import LEXICAL_TOPK
@@ -120,16 +120,78 @@ def bm25_scores(questions: DataFrame, index: LexicalIndex, qid: str = "item_id",
             .withColumn("score", rounded("score")))
 
 
+def bm25_topk_pruned(questions: DataFrame, index: LexicalIndex, k: int, qid: str = "item_id",
+                     qtext: str = "text", k1: float = K1, b: float = B, rare: int = 2) -> DataFrame:
+    """Exact top-k BM25 without aggregating every (question, chunk) pair.
+
+    MaxScore-style, in two passes over the bucketed postings:
+
+    1. partial scores from each question's ``rare`` highest-idf terms give,
+       per question, the k-th best partial score θ — a lower bound of the
+       true k-th best full score (partial ≤ full for every chunk);
+    2. each term's contribution is bounded by ``qtf·idf·max(tf/(tf+K))``
+       over its postings; the question's terms whose bounds (in ascending
+       order) sum to less than θ − 1e-6 are *non-essential*: a chunk with
+       only those terms cannot reach the top k, even after rounding.
+       Only chunks holding an essential term are scored in full (their
+       non-essential rows are kept by a semi-join), so the aggregation
+       covers the plausible candidates instead of every shared-term pair.
+    """
+    from quarry.plans.strategy import _checkpointed
+    keys = index.keys
+    spark = questions.sparkSession
+    qt = query_terms(questions, qid, qtext)
+    small = fits_broadcast(qt)
+
+    def bc(d):
+        return F.broadcast(d) if small else d
+    n, avgdl = index.stats()
+    kfac = k1 * (1.0 - b + b * F.col("dl") / avgdl)
+    frac = F.col("tf") / (F.col("tf") + kfac)
+    post = index.postings.join(bc(qt.select("term").distinct()), "term", "left_semi")
+    dfs = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(frac).alias("ub"))
+    idf = F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    qs = (qt.join(dfs, "term").withColumn("idf", idf)
+          .withColumn("u", F.col("qtf") * F.col("idf") * F.col("ub")))
+    w_rare = Window.partitionBy(qid).orderBy(F.desc("idf"), "term")
+    w_cum = Window.partitionBy(qid).orderBy("u", "term").rowsBetween(Window.unboundedPreceding, 0)
+    # per-question windows over the question's own terms (bounded by its length)
+    qs = _checkpointed(qs.withColumn("_r", F.row_number().over(w_rare))
+                       .withColumn("cum_u", F.sum("u").over(w_cum))
+                       .select(qid, "term", "qtf", "idf", "_r", "cum_u"))
+    contrib = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + kfac)
+    p1 = (index.postings.join(bc(qs.filter(F.col("_r") <= rare)), "term")
+          .groupBy(qid, *keys).agg(F.sum(contrib).alias("_s")))
+    theta = (top_k(p1, [qid], [F.desc("_s"), *keys], k)
+             .groupBy(qid).agg(F.min("_s").alias("_t"), F.count(F.lit(1)).alias("_m"))
+             .select(qid, F.when(F.col("_m") >= k, F.col("_t")).otherwise(F.lit(0.0)).alias("theta")))
+    qs2 = _checkpointed(qs.join(theta, qid, "left").withColumn(
+        "ess", F.coalesce(F.col("cum_u") >= F.col("theta") - 1e-6, F.lit(True))))
+    ess_rows = index.postings.join(bc(qs2.filter("ess")), "term")
+    cand = _checkpointed(ess_rows.select(qid, *keys).distinct())
+    cand_small = cand.count() <= broadcast_limit(spark)
+    rest = (index.postings.join(bc(qs2.filter(~F.col("ess"))), "term")
+            .join(F.broadcast(cand) if cand_small else cand, [qid, *keys], "left_semi"))
+    cols = [qid, *keys, contrib.alias("_c")]
+    scores = (ess_rows.select(*cols).unionByName(rest.select(*cols))
+              .groupBy(qid, *keys).agg(F.sum("_c").alias("score"))
+              .withColumn("score", rounded("score")))
+    return top_k(scores, [qid], [F.desc("score"), *keys], k)
+
+
 def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int = LEXICAL_TOPK,
               qid: str = "item_id", qtext: str = "text", keys=("doc_id", "cont_id"),
               text_col: str = "content", carry=("source", "content"),
-              k1: float = K1, b: float = B) -> DataFrame:
+              k1: float = K1, b: float = B, prune: bool = False) -> DataFrame:
     """Top-k chunks per question by BM25; ties broken by chunk key.
     Output ``(qid, keys..., score, rank, carry...)``."""
     keys = list(keys)
     index = LexicalIndex.build(chunks, keys, text_col)
-    scores = bm25_scores(questions, index, qid, qtext, k1, b)
-    top = top_k(scores, [qid], [F.desc("score"), *keys], k)
+    if prune:
+        top = bm25_topk_pruned(questions, index, k, qid, qtext, k1, b)
+    else:
+        scores = bm25_scores(questions, index, qid, qtext, k1, b)
+        top = top_k(scores, [qid], [F.desc("score"), *keys], k)
     carry = [c for c in carry if c not in keys]
     if not carry:
         return top
