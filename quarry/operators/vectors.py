@@ -71,21 +71,28 @@ def dense_topk(queries: DataFrame, items: DataFrame, k: int, qid: str = "qid", i
     ``(qid, iid, score, rank)``, score rounded to 6 places, ties by item id.
     """
     g = group or "_grp"
-    q = queries.select(qid, qvec, *([F.col(group)] if group else [F.lit(0).alias(g)]))
-    it = items.select(iid, ivec, *([F.col(group)] if group else [F.lit(0).alias(g)]))
-    q = q.filter(F.col(qvec).isNotNull())
-    it = it.filter(F.col(ivec).isNotNull())
-    qs = q.groupBy(g).agg(F.ceil(F.count(F.lit(1)) / q_rows).cast("int").alias("qb"))
-    isz = it.groupBy(g).agg(F.ceil(F.count(F.lit(1)) / i_rows).cast("int").alias("ib"))
-    # one row per group; groups are the whole collection or the cells of an
-    # index (``nlist``), so the table is bounded by a parameter
-    blocks = F.broadcast(qs.join(isz, g))
-    qx = (q.join(blocks, g)
-          .select(qid, qvec, g, F.pmod(F.xxhash64(qid), F.col("qb")).cast("int").alias("_qblk"),
-                  F.explode(F.sequence(F.lit(0), F.col("ib") - 1)).alias("_iblk")))
-    ix = (it.join(blocks, g)
-          .select(iid, ivec, g, F.pmod(F.xxhash64(iid), F.col("ib")).cast("int").alias("_iblk"),
-                  F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("_qblk")))
+    q = queries.select(qid, qvec, *([F.col(group)] if group else [])).filter(F.col(qvec).isNotNull())
+    it = items.select(iid, ivec, *([F.col(group)] if group else [])).filter(F.col(ivec).isNotNull())
+    if group is None:
+        # one group: block counts are scalar subqueries, so no join at all
+        qb = q.agg(F.ceil(F.count(F.lit(1)) / q_rows).cast("int")).scalar()
+        ib = it.agg(F.ceil(F.count(F.lit(1)) / i_rows).cast("int")).scalar()
+        qx = q.select(qid, qvec, F.lit(0).alias(g), F.pmod(F.xxhash64(qid), qb).cast("int").alias("_qblk"),
+                      F.explode(F.sequence(F.lit(0), ib - 1)).alias("_iblk"))
+        ix = it.select(iid, ivec, F.lit(0).alias(g), F.pmod(F.xxhash64(iid), ib).cast("int").alias("_iblk"),
+                       F.explode(F.sequence(F.lit(0), qb - 1)).alias("_qblk"))
+    else:
+        qs = q.groupBy(g).agg(F.ceil(F.count(F.lit(1)) / q_rows).cast("int").alias("qb"))
+        isz = it.groupBy(g).agg(F.ceil(F.count(F.lit(1)) / i_rows).cast("int").alias("ib"))
+        # one row per group; the groups are the cells of an index (``nlist``),
+        # so the table is bounded by a parameter
+        blocks = F.broadcast(qs.join(isz, g))
+        qx = (q.join(blocks, g)
+              .select(qid, qvec, g, F.pmod(F.xxhash64(qid), F.col("qb")).cast("int").alias("_qblk"),
+                      F.explode(F.sequence(F.lit(0), F.col("ib") - 1)).alias("_iblk")))
+        ix = (it.join(blocks, g)
+              .select(iid, ivec, g, F.pmod(F.xxhash64(iid), F.col("ib")).cast("int").alias("_iblk"),
+                      F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("_qblk")))
     schema = T.StructType([T.StructField(qid, T.LongType()), T.StructField(iid, T.LongType()),
                            T.StructField("score", T.DoubleType())])
     fn = _block_topk(k, exclude_self, qid, iid, qvec, ivec)
