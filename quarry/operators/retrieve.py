@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.fixed import RERANK_KEEP
 from quarry.functions.text import terms, token_overlap
-from quarry.plans.strategy import rounded, top_k
+from quarry.plans.strategy import fits_broadcast, rounded, top_k
 
 
 def hybrid_context(vector_hits: DataFrame, lexical_hits: DataFrame, qid: str = "item_id",
@@ -31,12 +31,30 @@ def hybrid_context(vector_hits: DataFrame, lexical_hits: DataFrame, qid: str = "
 
 def exact_dedup(df: DataFrame, cols, order_col: str, carry=()) -> DataFrame:
     """Keep the first row (smallest ``order_col``) of each exact ``cols``
-    value. A grouped ``min`` is partially aggregated map-side, so a value
-    repeated in a third of all rows never gathers in one task."""
+    value.
+
+    Two phases so that the text itself is shuffled only for rows that may
+    be duplicates: first only 64-bit hashes of the key are shuffled
+    (partially aggregated) to find hashes seen more than once; rows with a
+    unique hash are unique by key and pass through map-side. The rest are
+    grouped exactly on the full key with a partial ``min(struct)``, so a
+    value repeated in a third of all rows never gathers in one task. When
+    the set of repeated hashes is too large to broadcast, all rows take
+    the exact grouping.
+    """
     cols, carry = list(cols), list(carry)
-    agg = F.min(F.struct(order_col, *carry)).alias("_f")
-    return df.groupBy(*cols).agg(agg).select(
-        *cols, F.col(f"_f.{order_col}").alias(order_col), *[F.col(f"_f.{c}").alias(c) for c in carry])
+    keyed = df.withColumn("_h", F.xxhash64(*cols))
+    dup = keyed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h")
+
+    def exact(rows):
+        agg = F.min(F.struct(order_col, *carry)).alias("_f")
+        return rows.groupBy(*cols).agg(agg).select(
+            *cols, F.col(f"_f.{order_col}").alias(order_col), *[F.col(f"_f.{c}").alias(c) for c in carry])
+    if not fits_broadcast(dup):
+        return exact(df)
+    dup = F.broadcast(dup)
+    unique = keyed.join(dup, "_h", "left_anti").select(*cols, order_col, *carry)
+    return unique.unionByName(exact(keyed.join(dup, "_h", "left_semi")))
 
 
 def rerank(questions: DataFrame, contexts: DataFrame, keep: int = RERANK_KEEP,
