@@ -57,3 +57,16 @@ def test_top_k_plans_partial_limit(spark):
     got = t.toPandas().sort_values(["g", "rank"])
     want = pdf.sort_values(["g", "t", "id"], ascending=[True, False, True]).groupby("g").head(3)
     assert got["id"].tolist() == want["id"].tolist()
+
+
+def test_exact_dedup_hot_duplicate(spark):
+    from quarry.operators.retrieve import exact_dedup
+    rows = [(i, "same text" if i % 3 == 0 else f"t{i % 50}", "s") for i in range(900)] + [(1000, None, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = lambda r: (r[0] is None, r[0] or "", r[1], r[2])
+    got = sorted((tuple(r) for r in exact_dedup(df, ["text", "source"], "doc_id").collect()), key=key)
+    pdf = pd.DataFrame(rows, columns=["doc_id", "text", "source"])
+    want = pdf.groupby(["text", "source"], dropna=False)["doc_id"].min().reset_index()
+    want = sorted(((t if isinstance(t, str) else None, s, int(d)) for t, s, d in want.itertuples(index=False)),
+                  key=key)
+    assert got == want
