@@ -55,3 +55,19 @@ def term_stats(chunks: DataFrame, text_col: str = "content", keys=("doc_id", "co
                  .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
     return per_chunk.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").cast("bigint").alias("cf"))
+
+
+def write_word_lists(spark: SparkSession, path: str, lists: dict) -> None:
+    """Write word lists as one-word-per-line ``<category>.dic`` files."""
+    for category, words in lists.items():
+        (spark.createDataFrame([(w,) for w in words], "value string").coalesce(1)
+         .write.mode("overwrite").text(f"{path}/{category}"))
+
+
+def read_word_lists(spark: SparkSession, path: str) -> DataFrame:
+    """``(category, term)`` from ``<path>/<category>/`` text files (C9):
+    one word per line, blank lines and a leading BOM dropped."""
+    raw = spark.read.option("recursiveFileLookup", "true").text(path)
+    cat = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)
+    term = F.trim(F.regexp_replace(F.col("value"), "^\x{feff}", ""))
+    return raw.select(cat.alias("category"), term.alias("term")).filter(F.length("term") > 0)

@@ -214,3 +214,26 @@ SELECT item_id, content, source, pos, pos AS rank FROM ctx""")
 def q_passthrough_rerank(spark, sf_dir):
     return retrieve.passthrough_rerank(lexical_contexts(spark, sf_dir)).select(
         "item_id", "content", "source", "pos", "rank")
+
+
+# --- C9 ---------------------------------------------------------------------
+WORD_LISTS = {"stopword": STOP_WORDS, "main": DICTIONARY}
+
+
+@register("word_list_hits", sql=f"""WITH lists AS (
+  SELECT 'stopword' AS category, term FROM {_STOP_SQL}
+  UNION ALL SELECT 'main', word FROM {values([(w,) for w in DICTIONARY], ['word'], ['VARCHAR'])}
+),
+t AS (SELECT unnest({terms_sql('text', False)}) AS term FROM documents)
+SELECT l.category, l.term, count(*)::BIGINT AS n FROM t JOIN lists l ON l.term = t.term
+GROUP BY l.category, l.term""")
+def q_word_list_hits(spark, sf_dir):
+    """Word lists written as .dic files, read back with their category and
+    unioned (C9), then matched against the corpus terms."""
+    from quarry.session import shared_dir
+    path = shared_dir(spark, "word-lists")
+    analyze.write_word_lists(spark, path, WORD_LISTS)
+    lists = analyze.read_word_lists(spark, path)
+    counts = analyze.term_counts(load_table(spark, sf_dir, "documents"), "text")
+    # the lists are fixed and small: broadcast by construction
+    return counts.join(F.broadcast(lists), "term").select("category", "term", "n")
