@@ -69,5 +69,5 @@ def read_word_lists(spark: SparkSession, path: str) -> DataFrame:
     one word per line, blank lines and a leading BOM dropped."""
     raw = spark.read.option("recursiveFileLookup", "true").text(path)
     cat = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)
-    term = F.trim(F.regexp_replace(F.col("value"), "^\x{feff}", ""))
+    term = F.trim(F.regexp_replace(F.col("value"), r"^\x{feff}", ""))
     return raw.select(cat.alias("category"), term.alias("term")).filter(F.length("term") > 0)
