@@ -50,6 +50,9 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+_CREATED: list[str] = []
+
+
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A fresh folder under the cluster's shared checkpoint location.
 
@@ -67,4 +70,24 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     else:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(base)
-    return "/".join([base.rstrip("/"), *parts, uuid.uuid4().hex])
+    path = "/".join([base.rstrip("/"), *parts, uuid.uuid4().hex])
+    _CREATED.append(path)
+    return path
+
+
+def release_intermediates(spark: SparkSession) -> int:
+    """Delete the intermediate folders (indexes, materialised steps, stream
+    sinks and checkpoints) that this process created under the shared
+    folder. Call it once the results built on them have been consumed;
+    DataFrames that still read those folders stop working afterwards.
+    Returns the number of folders removed. Uses the Hadoop FileSystem of
+    each path, so it works for cluster storage as well as local disk."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _CREATED:
+        p = jvm.org.apache.hadoop.fs.Path(_CREATED.pop())
+        fs = p.getFileSystem(conf)
+        if fs.exists(p) and fs.delete(p, True):
+            removed += 1
+    return removed

@@ -44,3 +44,13 @@ def test_stream_counts_equal_batch(spark):
     b = {(str(r.day), r.event_type): r.n for r in
          ev.groupBy(F.to_date("ts").alias("day"), "event_type").count().withColumnRenamed("count", "n").collect()}
     assert s == b
+
+
+def test_release_intermediates(spark):
+    from quarry.session import release_intermediates, shared_dir
+    release_intermediates(spark)  # forget folders of earlier tests
+    p = shared_dir(spark, "release-test")
+    spark.range(3).write.parquet(p)
+    assert spark.read.parquet(p).count() == 3
+    assert release_intermediates(spark) == 1
+    assert not os.path.exists(p.replace("file:", ""))
