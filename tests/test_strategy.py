@@ -70,3 +70,16 @@ def test_exact_dedup_hot_duplicate(spark):
     want = sorted(((t if isinstance(t, str) else None, s, int(d)) for t, s, d in want.itertuples(index=False)),
                   key=key)
     assert got == want
+
+
+def test_group_row_number_is_stable_across_evaluations(spark):
+    """Regression: the range split must be materialised once, or the
+    numbering and its correction table can see different splits."""
+    from pyspark.sql import Window
+    pdf, df = skewed(spark, n=5000, seed=11)
+    numbered = group_row_number(df.repartition(7), ["g"], ["t", "id"], "rn")
+    first = dict(numbered.select("id", "rn").collect())
+    second = dict(numbered.select("id", "rn").collect())
+    assert first == second
+    ref = df.withColumn("rn2", F.row_number().over(Window.partitionBy("g").orderBy("t", "id")))
+    assert first == {r.id: r.rn2 for r in ref.select("id", "rn2").collect()}
