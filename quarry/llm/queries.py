@@ -5,11 +5,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import dart_minhash, line_dedup
+import corpus_pipeline
+from quarry.llm import bestfit, dart_minhash, fertility, line_dedup, quality_cnn, secret_link, sp_encode
 from quarry.llm.common import table
 
+#: The vocabulary that operators 2 and 6 take; its path is a parameter of theirs.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece of a document: its bin and its place there."""
+    return bestfit.best_fit(table(spark, sf_dir, "documents"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: tokens, hash of the ids and of the decoded text."""
+    return sp_encode.encode_decode(table(spark, sf_dir, "documents"), sp_encode.read_model(PIECES))
+
 
 def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its class of near copies and its links."""
@@ -21,8 +36,27 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: base counts, token measures, and whether it is kept."""
+    return fertility.judge(table(spark, sf_dir, "documents"), sp_encode.read_model(PIECES))
+
+
+def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its score and the prediction."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_cnn.score(docs, quality_cnn.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_secret_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its base spans and all spans."""
+    return secret_link.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_dart_minhash, op5_line_dedup)
-}
+    f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_dart_minhash, op5_line_dedup,
+                            op6_fertility, op8_quality_cnn, op9_secret_link)
+} | {"pipeline": corpus_pipeline.run}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_secret_link": secret_link.oracle()}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
