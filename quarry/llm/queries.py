@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quarry.llm import bestfit, dart_minhash, fertility, line_dedup, quality_cnn, secret_link, sp_encode
+from quarry.llm import (bestfit, dart_minhash, fertility, html_extract, line_dedup, multi_index, quality_cnn,
+                        secret_link, sp_encode, url_tree)
 from quarry.llm.common import table
 
 #: The vocabulary that operators 2 and 6 take; its path is a parameter of theirs.
@@ -31,6 +32,11 @@ def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page: its main text."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: the text that stays, lines before and after."""
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -41,6 +47,11 @@ def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(table(spark, sf_dir, "documents"), sp_encode.read_model(PIECES))
 
 
+def op7_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page: host, path, rule and verdict."""
+    return url_tree.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its score and the prediction."""
     docs = table(spark, sf_dir, "documents")
@@ -52,11 +63,18 @@ def op9_secret_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_link.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found of every vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return multi_index.search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_dart_minhash, op5_line_dedup,
-                            op6_fertility, op8_quality_cnn, op9_secret_link)
+    f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_dart_minhash, op4_html_extract,
+                            op5_line_dedup, op6_fertility, op7_url_tree, op8_quality_cnn, op9_secret_link,
+                            op10_multi_index)
 } | {"pipeline": corpus_pipeline.run}
 
-ORACLE_SQL: dict[str, str] = {"op9_secret_link": secret_link.oracle()}
+ORACLE_SQL: dict[str, str] = {"op7_url_tree": url_tree.oracle(), "op9_secret_link": secret_link.oracle()}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
