@@ -31,8 +31,10 @@ def l2_norm_sql(a: str) -> str:
 
 def l2_normalize(a) -> Column:
     """Divide by the L2 norm; a zero vector stays zero."""
-    n = l2_norm(a)
-    return F.transform(_c(a), lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x.cast("double") / n))
+    # the norm is bound once for each row, not once for each element
+    scaled = F.transform(F.array(l2_norm(a)), lambda n: F.transform(
+        _c(a), lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x.cast("double") / n)))
+    return F.get(scaled, F.lit(0))
 
 
 def l2_normalize_sql(a: str) -> str:

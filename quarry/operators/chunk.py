@@ -24,11 +24,10 @@ def chunk_windows(docs: DataFrame, text_col: str = "text", size: int = CHUNK_SIZ
                   keep=("doc_id", "source")) -> DataFrame:
     """Fixed character windows (the splitter's fallback for text without
     separators). ``cont_id`` counts 1..n within a document (C5)."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text_col) - 1, F.lit(0)), F.lit(size))
-    return (docs.select(*keep, text_col, F.posexplode(starts).alias("pos", "start"))
-            .select(*keep, (F.col("pos") + 1).cast("bigint").alias("cont_id"),
-                    F.substring(text_col, F.col("start") + 1, size).alias("content"))
-            .filter(F.length("content") > 0))
+    # one pass over the text: a window is the next run of up to ``size`` characters
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return (docs.select(*keep, F.posexplode(pieces).alias("pos", "content"))
+            .select(*keep, (F.col("pos") + 1).cast("bigint").alias("cont_id"), "content"))
 
 
 def chunk_lines(docs: DataFrame, text_col: str = "text", keep=("doc_id", "source")) -> DataFrame:

@@ -53,11 +53,12 @@ def page_documents(pages: DataFrame, source: str, page: str) -> DataFrame:
     minus the first number of the source, and counts from a partial
     aggregate. A source holding a third of all pages is still split."""
     numbered = global_row_number(pages, [source, page], "_g")
-    firsts = numbered.groupBy(source).agg(F.min("_g").alias("_first"),
-                                          F.count(F.lit(1)).cast("bigint").alias("total_pages"))
-    return (numbered.join(firsts, source)
+    firsts = numbered.groupBy(F.col(source).alias("_s")).agg(
+        F.min("_g").alias("_first"), F.count(F.lit(1)).cast("bigint").alias("total_pages"))
+    # pages without a source are one source
+    return (numbered.join(firsts, numbered[source].eqNullSafe(firsts["_s"]))
             .withColumn("page_no", (F.col("_g") - F.col("_first")).cast("bigint"))
-            .drop("_g", "_first"))
+            .drop("_g", "_first", "_s"))
 
 
 def concat_pages(pages: DataFrame, source: str, page: str, text: str, sep: str = "\f") -> DataFrame:

@@ -88,10 +88,14 @@ def compress(contexts: DataFrame, questions: DataFrame, budget: int, qid: str =
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     kept = (scored.withColumn("_run", F.sum(F.length("sentence")).over(w))
             .filter(F.col("_run") <= budget))
-    return kept.groupBy(qid).agg(
+    text = kept.groupBy(qid).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank, "sent_pos", "sentence"))),
                                  lambda x: x.getField("sentence")), " ").alias("compressed"),
         F.count(F.lit(1)).cast("bigint").alias("kept_sentences"))
+    # a question whose best sentence is over the budget keeps its row, with nothing in it
+    return (contexts.select(qid).distinct().join(text, qid, "left")
+            .select(qid, F.coalesce("compressed", F.lit("")).alias("compressed"),
+                    F.coalesce("kept_sentences", F.lit(0)).cast("bigint").alias("kept_sentences")))
 
 
 def chat_messages(prompts: DataFrame, models, system_role: str, qid: str = "item_id",

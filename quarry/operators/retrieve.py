@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.fixed import RERANK_KEEP
 from quarry.functions.text import terms, token_overlap
-from quarry.plans.strategy import fits_broadcast, rounded, top_k
+from quarry.plans.strategy import rounded, top_k
 
 
 def hybrid_context(vector_hits: DataFrame, lexical_hits: DataFrame, qid: str = "item_id",
@@ -26,7 +26,8 @@ def hybrid_context(vector_hits: DataFrame, lexical_hits: DataFrame, qid: str = "
              .agg(F.min(F.struct("leg", "leg_rank")).alias("f"))
              .select(qid, content, source, F.col("f.leg").cast("bigint").alias("leg"),
                      F.col("f.leg_rank").alias("leg_rank")))
-    return top_k(first, [qid], ["leg", "leg_rank"], 1 << 30, "pos")
+    pos = F.row_number().over(Window.partitionBy(qid).orderBy("leg", "leg_rank"))
+    return first.withColumn("pos", pos.cast("bigint"))
 
 
 def exact_dedup(df: DataFrame, cols, order_col: str, carry=()) -> DataFrame:
@@ -38,9 +39,9 @@ def exact_dedup(df: DataFrame, cols, order_col: str, carry=()) -> DataFrame:
     (partially aggregated) to find hashes seen more than once; rows with a
     unique hash are unique by key and pass through map-side. The rest are
     grouped exactly on the full key with a partial ``min(struct)``, so a
-    value repeated in a third of all rows never gathers in one task. When
-    the set of repeated hashes is too large to broadcast, all rows take
-    the exact grouping.
+    value repeated in a third of all rows never gathers in one task. The
+    plan is the same at every size; how the hashes are joined is left to
+    the measured sizes (adaptive execution).
     """
     cols, carry = list(cols), list(carry)
     keyed = df.withColumn("_h", F.xxhash64(*cols))
@@ -50,9 +51,6 @@ def exact_dedup(df: DataFrame, cols, order_col: str, carry=()) -> DataFrame:
         agg = F.min(F.struct(order_col, *carry)).alias("_f")
         return rows.groupBy(*cols).agg(agg).select(
             *cols, F.col(f"_f.{order_col}").alias(order_col), *[F.col(f"_f.{c}").alias(c) for c in carry])
-    if not fits_broadcast(dup):
-        return exact(df)
-    dup = F.broadcast(dup)
     unique = keyed.join(dup, "_h", "left_anti").select(*cols, order_col, *carry)
     return unique.unionByName(exact(keyed.join(dup, "_h", "left_semi")))
 

@@ -179,9 +179,9 @@ run AS (
                                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r
   FROM sscored
 )
-SELECT item_id, string_agg(sentence, ' ' ORDER BY rank, sent_pos) AS compressed,
-       count(*)::BIGINT AS kept_sentences
-FROM run WHERE r <= {COMPRESS_OVER} GROUP BY item_id""")
+SELECT item_id, coalesce(string_agg(sentence, ' ' ORDER BY rank, sent_pos) FILTER (r <= {COMPRESS_OVER}), '') AS compressed,
+       count(*) FILTER (r <= {COMPRESS_OVER})::BIGINT AS kept_sentences
+FROM (SELECT DISTINCT item_id FROM rr) q LEFT JOIN run USING (item_id) GROUP BY item_id""")
 def q_compress_contexts(spark, sf_dir):
     questions = load_table(spark, sf_dir, "benchmark")
     rr = retrieve.rerank(questions, lexical_contexts(spark, sf_dir), keep=RERANK_KEEP)

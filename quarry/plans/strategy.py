@@ -126,12 +126,15 @@ def forward_fill(df: DataFrame, part_cols, order_cols, col: str, out: str) -> Da
     isnull = F.col(col).isNull()
     allr = group_row_number(df.withColumn("_isnull", isnull), part_cols, order_cols, "_rall")
     byk = group_row_number(allr, part_cols + ["_isnull"], order_cols, "_rk")
-    vals = byk.filter(~F.col("_isnull")).select(*part_cols, F.col("_rk").alias("_src"),
-                                                F.col(col).alias("_fill"))
-    tgt = byk.withColumn("_src", F.when(F.col("_isnull"), F.col("_rall") - F.col("_rk"))
-                         .otherwise(F.col("_rk")))
-    return (tgt.join(vals, part_cols + ["_src"], "left")
-            .withColumn(out, F.col("_fill")).drop("_isnull", "_rall", "_rk", "_src", "_fill"))
+    # null groups are groups like any other: the join is null-safe
+    vals = byk.filter(~F.col("_isnull")).select(
+        *[F.col(c).alias(f"_p{i}") for i, c in enumerate(part_cols)], F.col("_rk").alias("_vrk"), F.col(col).alias("_fill"))
+    tgt = byk.withColumn("_src", F.when(F.col("_isnull"), F.col("_rall") - F.col("_rk")))
+    same = F.col("_src") == F.col("_vrk")
+    for i, c in enumerate(part_cols):
+        same = same & F.col(c).eqNullSafe(F.col(f"_p{i}"))
+    return (tgt.join(vals, same, "left").withColumn(out, F.coalesce(F.col(col), F.col("_fill")))
+            .drop("_isnull", "_rall", "_rk", "_src", "_fill", "_vrk", *[f"_p{i}" for i in range(len(part_cols))]))
 
 
 def islands(df: DataFrame, part_cols, order_cols, key_col: str, out: str = "island") -> DataFrame:

@@ -39,15 +39,12 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table; the scan stays lazy so Catalyst can prune
     columns and push filters into the parquet reader.
 
-    A scan with fewer input splits than task slots (a small single-row-group
-    file) is spread round-robin so CPU-heavy text work uses every core; a
-    table of many splits, as on a cluster, is left untouched.
+    A session over a few small files, like the bench's, may ask for its scans
+    to be spread over ``quarry.read.partitions`` tasks; by default none is.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    slots = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        df = df.repartition(slots)
-    return df
+    spread = spark.conf.get("quarry.read.partitions", None)
+    return df.repartition(int(spread)) if spread else df
 
 
 _CREATED: list[str] = []
@@ -57,19 +54,19 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A fresh folder under the cluster's shared checkpoint location.
 
     The location comes from ``spark.checkpoint.dir`` as configured for the
-    session. Only when it is unset (unit tests, a bare local session) is a
-    private temporary folder chosen and registered as the checkpoint dir.
+    session, else from the context's checkpoint folder. Where neither is set, a
+    local session gets a temporary folder of its own; on a cluster that
+    would be a folder of the driver alone, so it is an error there.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="quarry-ckpt-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    else:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(base)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(base)
+        base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     path = "/".join([base.rstrip("/"), *parts, uuid.uuid4().hex])
     _CREATED.append(path)
     return path

@@ -18,12 +18,9 @@ def spark():
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.sql.adaptive.enabled", "true"))
+         .config("spark.sql.adaptive.enabled", "true")
+         # the tests' own shared folder, set before the session starts
+         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quarry-test-ckpt-")))
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
-    # tests set their own shared folder only where the session has none
-    if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="quarry-test-ckpt-")
-        s.conf.set("spark.checkpoint.dir", d)
-        s.sparkContext.setCheckpointDir(d)
     yield s

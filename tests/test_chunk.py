@@ -1,3 +1,5 @@
+import time
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -31,3 +33,20 @@ def test_chunk_windows(spark):
     df = spark.createDataFrame([(1, "s", "a" * 501), (2, "s", "")], "doc_id long, source string, text string")
     rows = sorted((r.doc_id, r.cont_id, len(r.content)) for r in chunk_windows(df).collect())
     assert rows == [(1, 1, 250), (1, 2, 250), (1, 3, 1)]
+
+
+def test_chunk_windows_han_and_newlines(spark):
+    texts = ["中" * 251, "a\nb\r\n" * 100, "é🙂" * 200, None]
+    df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    got = sorted((r.doc_id, r.cont_id, r.content) for r in chunk_windows(df).collect())
+    assert got == [(i, n // 250 + 1, t[n: n + 250]) for i, t in enumerate(texts) if t for n in range(0, len(t), 250)]
+
+
+def test_chunk_windows_is_linear(spark):
+    def seconds(n):
+        df = spark.range(4).selectExpr("id AS doc_id", "'s' AS source", f"repeat('word ', {n // 5}) AS text")
+        chunk_windows(df).write.format("noop").mode("overwrite").save()
+        t = time.perf_counter()
+        chunk_windows(df).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - t
+    assert seconds(800_000) < 4 * seconds(200_000) + 0.5

@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from quarry.operators.prepare import page_documents
 from quarry.plans.strategy import forward_fill, global_row_number, group_row_number, islands, top_k
 
 
@@ -83,3 +84,24 @@ def test_group_row_number_is_stable_across_evaluations(spark):
     assert first == second
     ref = df.withColumn("rn2", F.row_number().over(Window.partitionBy("g").orderBy("t", "id")))
     assert first == {r.id: r.rn2 for r in ref.select("id", "rn2").collect()}
+
+
+NULL_ROWS = [(1, None, 1, "a"), (2, None, 2, None), (3, "g", 1, None), (4, "g", 2, "b"), (5, None, 3, "c"), (6, "g", 3, None)]
+
+
+def test_null_groups_are_groups(spark):
+    df = spark.createDataFrame(NULL_ROWS, "id long, g string, t long, v string")
+    col = lambda out, c: {r["id"]: r[c] for r in out.collect()}
+    assert col(forward_fill(df, ["g"], ["t"], "v", "f"), "f") == {1: "a", 2: "a", 3: None, 4: "b", 5: "c", 6: "b"}
+    assert col(group_row_number(df, ["g"], ["t"], "rn"), "rn") == {1: 1, 2: 2, 3: 1, 4: 2, 5: 3, 6: 3}
+    assert sorted(col(global_row_number(df, ["g", "t"], "rn"), "rn").values()) == [1, 2, 3, 4, 5, 6]
+    isl = col(islands(df, ["g"], ["t"], "v"), "island")
+    assert len(isl) == 6
+    top = top_k(df, ["g"], ["t"], 1).collect()
+    assert sorted(r["id"] for r in top) == [1, 3]
+
+
+def test_pages_of_null_sources(spark):
+    df = spark.createDataFrame(NULL_ROWS, "id long, src string, p long, v string")
+    got = {r["id"]: (r["page_no"], r["total_pages"]) for r in page_documents(df, "src", "p").collect()}
+    assert got == {1: (0, 3), 2: (1, 3), 5: (2, 3), 3: (0, 3), 4: (1, 3), 6: (2, 3)}
