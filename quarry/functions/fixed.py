@@ -64,6 +64,8 @@ NPROBE = 10
 SOURCE_MAX = 100
 TEXT_MAX = 1000
 VECTOR_DIM = 1024
+EMBED_DIM = 256  # width of the encoder stand-in; own choice
+CHUNKS_PER_DOC = 1 << 20  # own choice, for chunk keys
 EMBED_TITLE_OVER = 128
 SAMPLE_CAP = 3000
 EVAL_PER_SOURCE = 100

@@ -69,6 +69,15 @@ def terms_sql(col: str, drop_stop_words: bool = True) -> str:
     return t
 
 
+def text_hash(col) -> Column:
+    """32 bits of a string's MD5 as BIGINT: the same number in any engine."""
+    return F.conv(F.substring(F.md5(_c(col)), 1, 8), 16, 10).cast("bigint")
+
+
+def text_hash_sql(col: str) -> str:
+    return f"('0x' || substring(md5({col}), 1, 8))::BIGINT"
+
+
 def normalize_newlines(col) -> Column:
     """Blank-line collapse first, then CRLF to LF, each to a fixpoint.
 

@@ -17,14 +17,18 @@ over ``Σ qb·ib`` tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.vectors import dot
-from quarry.plans.strategy import rounded, top_k
+from quarry.functions.fixed import CHUNKS_PER_DOC, EMBED_DIM
+from quarry.functions.text import terms, text_hash
+from quarry.plans.strategy import top_k
 
 Q_ROWS = 1024
 I_ROWS = 16384
@@ -200,24 +204,32 @@ def ivf_search(queries: DataFrame, items: DataFrame, centroids: DataFrame, k: in
                       exclude_self=exclude_self)
 
 
-def dot_scores(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Inner product of two vector columns of the same row."""
-    return pairs.withColumn("score", rounded(dot(a, b)))
-
-
 # --- D1 -------------------------------------------------------------------------
-def embed_corpus(docs: DataFrame, text_col: str, dim: int = 1024, min_doc_freq: int = 1) -> DataFrame:
-    """Distributed stand-in for the sentence encoder (D1): term hashing to
-    ``dim`` features, IDF weighting (one distributed aggregation to fit),
-    L2 normalisation. Adds ``embedding`` (array<double>). Vectors made by
-    a real model come in as a column instead."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-    stages = [RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[^\p{L}\p{N}]+"),
-              HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim),
-              IDF(inputCol="_tf", outputCol="_idf", minDocFreq=min_doc_freq),
-              Normalizer(inputCol="_idf", outputCol="_vec", p=2.0)]
-    model = Pipeline(stages=stages).fit(docs)
-    out = model.transform(docs)
-    return out.withColumn("embedding", vector_to_array("_vec")).drop("_tok", "_tf", "_idf", "_vec")
+def embed(df: DataFrame, text_col: str, out: str = "embedding", dim: int = EMBED_DIM) -> DataFrame:
+    """Stand-in for the sentence encoder (D1): the analyser's terms, hashed
+    to ``dim`` features by a portable hash, counted and L2-normalised, so
+    chunks and questions lie in one space. Adds ``out`` (array<double>); a
+    text without terms gets the zero vector. Map-only. Vectors made by a
+    real model come in as a column instead."""
+    names = [*df.columns, out]
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                features, n = part.column(part.num_columns - 1), part.num_rows
+                row = np.repeat(np.arange(n), np.diff(features.offsets.to_numpy()))
+                v = np.bincount(row * dim + features.flatten().to_numpy(), minlength=n * dim).reshape(n, dim)
+                norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+                unit = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * dim, (v / np.maximum(norm, 1)).ravel())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], unit], names)
+
+    features = F.transform(F.coalesce(terms(text_col), F.array()), lambda t: (text_hash(t) % dim).cast("int"))
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+    return df.withColumn("_features", features).mapInArrow(dense, schema)
+
+
+def chunk_key(doc_id="doc_id", cont_id="cont_id") -> Column:
+    """One BIGINT for a chunk, in (doc_id, cont_id) order; a document may
+    have 2**20 chunks."""
+    return (F.col(doc_id) * CHUNKS_PER_DOC + F.col(cont_id)).cast("bigint")

@@ -12,8 +12,7 @@ from quarry.operators import lexical, prompt, retrieve
 from quarry.operators import vectors as V
 from quarry.plans.registry import register
 from quarry.plans.retrieval import PROMPT_CTES, flagship, lexical_contexts, windows
-from quarry.plans.sqlparts import bm25_ctes, chunks_cte, lit, rerank_ctes
-from quarry.plans.strategy import broadcast_limit, fits_broadcast
+from quarry.plans.sqlparts import bm25_ctes, chunks_cte, feature_sql, lit, rerank_ctes
 from quarry.plans.vector_search import FIXTURE_THRESHOLD
 from quarry.session import load_table
 
@@ -22,21 +21,14 @@ DENOISE_MIN = 0.2
 
 
 def vector_leg(spark, sf_dir, k=VECTOR_TOPK, min_score=FIXTURE_THRESHOLD):
-    """Vector hits per benchmark question. The fixture's vectors are keyed
-    to ids: a question's vector is ``vec_id = item_id`` and a document's is
-    ``vec_id = doc_id``; a hit returns the document's first chunk."""
-    e = load_table(spark, sf_dir, "embeddings")
+    """Vector hits per benchmark question: every chunk and every question is
+    encoded into one space, and a hit is the chunk that matched, whole."""
     b = load_table(spark, sf_dir, "benchmark")
-    d = load_table(spark, sf_dir, "documents")
-    q = b.join(e, b.item_id == e.vec_id).select("item_id", F.col("embedding").alias("qvec"))
-    it = d.join(e, d.doc_id == e.vec_id).select("doc_id", F.col("embedding").alias("ivec"))
-    hits = V.threshold(V.dense_topk(q, it, k, qid="item_id", iid="doc_id", qvec="qvec", ivec="ivec"),
-                       min_score)
-    docs = d.select("doc_id", "source", F.substring("text", 1, 250).alias("content"))
-    # hits ≤ questions × k: checking the question table bounds the hit table
-    small = fits_broadcast(b.select("item_id"), max(1, broadcast_limit(spark) // k))
-    return docs.join(F.broadcast(hits) if small else hits, "doc_id").select(
-        "item_id", "doc_id", "content", "source", "score", "rank")
+    chunks = windows(spark, sf_dir).withColumn("chunk_id", V.chunk_key())
+    q = V.embed(b, "text", "qvec").select("item_id", "qvec")
+    items = V.embed(chunks, "content", "ivec").select("chunk_id", "ivec")
+    hits = V.threshold(V.dense_topk(q, items, k, qid="item_id", iid="chunk_id", qvec="qvec", ivec="ivec"), min_score)
+    return chunks.join(hits, "chunk_id").select("item_id", "doc_id", "cont_id", "content", "source", "score", "rank")
 
 
 def hybrid(spark, sf_dir):
@@ -44,14 +36,14 @@ def hybrid(spark, sf_dir):
     return retrieve.hybrid_context(vector_leg(spark, sf_dir), lex)
 
 
-VEC_SQL = f"""vq AS (SELECT b.item_id, e.embedding FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
-vd AS (SELECT d.doc_id, d.source, substring(d.text, 1, 250) AS content, e.embedding
-       FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
-vs AS (SELECT vq.item_id, vd.doc_id, vd.source, vd.content,
-              round(list_dot_product(vq.embedding::DOUBLE[], vd.embedding::DOUBLE[]), 6) AS score
-       FROM vq CROSS JOIN vd),
-vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::BIGINT AS rank
-                       FROM vs) WHERE rank <= {VECTOR_TOPK} AND score > {FIXTURE_THRESHOLD})"""
+VEC_SQL = f"""vq AS ({feature_sql("item_id", "text", "benchmark")}),
+vc AS ({feature_sql("doc_id, cont_id", "content", "chunks")}),
+vs AS (SELECT vq.item_id, vc.doc_id, vc.cont_id, round(sum(vq.w * vc.w), 6) AS score
+       FROM vq JOIN vc ON vq.pos = vc.pos GROUP BY vq.item_id, vc.doc_id, vc.cont_id),
+vec AS (SELECT v.item_id, v.doc_id, v.cont_id, c.content, c.source, v.score, v.rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, cont_id)::BIGINT AS rank FROM vs) v
+        JOIN chunks c ON c.doc_id = v.doc_id AND c.cont_id = v.cont_id
+        WHERE v.rank <= {VECTOR_TOPK} AND v.score > {FIXTURE_THRESHOLD})"""
 
 HYBRID_SQL = f"""WITH {chunks_cte()},
 {bm25_ctes(LEXICAL_TOPK)},
@@ -72,8 +64,9 @@ ctx AS (
 
 
 # --- E1 leg of E8 ------------------------------------------------------------
-@register("vector_leg", sql=f"""WITH {VEC_SQL}
-SELECT item_id, doc_id, content, source, score, rank FROM vec""")
+@register("vector_leg", sql=f"""WITH {chunks_cte()},
+{VEC_SQL}
+SELECT item_id, doc_id, cont_id, content, source, score, rank FROM vec""")
 def q_vector_leg(spark, sf_dir):
     return vector_leg(spark, sf_dir)
 
@@ -87,12 +80,12 @@ def q_hybrid_context(spark, sf_dir):
 
 # --- I4 ----------------------------------------------------------------------
 @register("leg_counts", sql=HYBRID_SQL + """,
-vc AS (SELECT item_id, count(*)::BIGINT AS n FROM vec GROUP BY item_id),
+vcount AS (SELECT item_id, count(*)::BIGINT AS n FROM vec GROUP BY item_id),
 lc AS (SELECT item_id, count(*)::BIGINT AS n FROM lex GROUP BY item_id),
 mc AS (SELECT item_id, count(*)::BIGINT AS n FROM ctx GROUP BY item_id)
-SELECT b.item_id, coalesce(vc.n, 0)::BIGINT AS vector_hits, coalesce(lc.n, 0)::BIGINT AS lexical_hits,
+SELECT b.item_id, coalesce(vcount.n, 0)::BIGINT AS vector_hits, coalesce(lc.n, 0)::BIGINT AS lexical_hits,
        coalesce(mc.n, 0)::BIGINT AS merged
-FROM benchmark b LEFT JOIN vc ON vc.item_id = b.item_id LEFT JOIN lc ON lc.item_id = b.item_id
+FROM benchmark b LEFT JOIN vcount ON vcount.item_id = b.item_id LEFT JOIN lc ON lc.item_id = b.item_id
 LEFT JOIN mc ON mc.item_id = b.item_id""")
 def q_leg_counts(spark, sf_dir):
     b = load_table(spark, sf_dir, "benchmark").select("item_id")

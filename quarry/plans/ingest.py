@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from quarry.functions.fixed import (EVAL_PER_SOURCE, QUERY_INSTRUCTION, SAMPLE_CAP, SOURCE_MAX,
                                     TASK_INSTRUCTIONS, TEXT_MAX)
-from quarry.functions.text import normalize_newlines_sql
+from quarry.functions.text import normalize_newlines_sql, text_hash, text_hash_sql
 from quarry.operators import chunk
 from quarry.operators import prepare as P
+from quarry.operators import vectors as V
 from quarry.plans.registry import register
 from quarry.plans.sqlparts import chunks_cte, lit, values
+from quarry.plans.strategy import _checkpointed
 from quarry.session import load_table, shared_dir
 from quarry.sources import files
 
@@ -163,31 +165,32 @@ def q_eval_csv_roundtrip(spark, sf_dir):
 
 # --- A14-A17 ------------------------------------------------------------------------------
 @register("table_lifecycle", sql=f"""WITH {chunks_cte()}
-SELECT 'docs' AS store, count(*)::BIGINT AS n_rows, count(DISTINCT source)::BIGINT AS n_sources,
-       5::BIGINT AS n_columns FROM chunks
-UNION ALL
-SELECT 'vectors' AS store, count(*)::BIGINT, count(DISTINCT d.source)::BIGINT, 4::BIGINT
-FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id""")
+SELECT store, source, count(*)::BIGINT AS n_rows, sum(length(content))::BIGINT AS n_chars,
+       sum({text_hash_sql('content')})::BIGINT AS hash_sum, CASE store WHEN 'docs' THEN 6 ELSE 4 END::BIGINT AS n_columns
+FROM chunks, (VALUES ('docs'), ('vectors')) AS s(store) GROUP BY store, source""")
 def q_table_lifecycle(spark, sf_dir):
-    d = load_table(spark, sf_dir, "documents")
-    e = load_table(spark, sf_dir, "embeddings")
+    chunks = chunk.chunk_windows(load_table(spark, sf_dir, "documents"))
     prefix = "quarry_" + uuid.uuid4().hex[:10]
     lex, vec = files.create_store_tables(spark, prefix, shared_dir(spark, "stores"))
     files.create_store_tables(spark, prefix, shared_dir(spark, "stores-again"))  # exists: no-op
-    files.append_chunks(chunk.chunk_windows(d), lex, "string")
-    rows = e.join(d, e.vec_id == d.doc_id).select(
-        F.col("vec_id").alias("pk"), "source", P.truncate("text").alias("text"),
-        F.col("embedding").alias("embeddings"))
-    files.append_vectors(rows, vec)
+    files.append_chunks(chunks, lex, "string")
+    files.append_vectors(V.embed(chunks, "content", "embeddings").select(
+        V.chunk_key().alias("pk"), "source", F.col("content").alias("text"), "embeddings"), vec)
     names = {t.name for t in spark.catalog.listTables() if t.name.startswith(prefix)}
     assert names == {lex, vec}, names
 
-    def summary(store, table):
+    def summary(store, table, text):
         ncols = len(files.describe(spark, table).filter(~F.col("col_name").startswith("#")).collect())
-        t = spark.table(table)
-        return t.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("source").alias("n_sources")) \
-            .select(F.lit(store).alias("store"), "n_rows", "n_sources", F.lit(ncols).cast("bigint").alias("n_columns"))
-    return summary("docs", lex).unionByName(summary("vectors", vec))
+        return spark.table(table).groupBy("source").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.sum(F.length(text)).cast("bigint").alias("n_chars"),
+            F.sum(text_hash(text)).alias("hash_sum")).select(
+            F.lit(store).alias("store"), "source", "n_rows", "n_chars", "hash_sum", F.lit(ncols).cast("bigint").alias("n_columns"))
+    out = _checkpointed(summary("docs", lex, "content").unionByName(summary("vectors", vec, "text")))
+    for t in (lex, vec):
+        files.drop_table(spark, t)
+    left = {t.name for t in spark.catalog.listTables() if t.name.startswith(prefix)}
+    assert not left, left
+    return out
 
 
 # --- B1 / B2 -------------------------------------------------------------------------------

@@ -3,8 +3,8 @@ computations the Spark operators express with the DataFrame API)."""
 
 from __future__ import annotations
 
-from quarry.functions.fixed import CHUNK_SIZE
-from quarry.functions.text import terms_sql
+from quarry.functions.fixed import CHUNK_SIZE, EMBED_DIM
+from quarry.functions.text import terms_sql, text_hash_sql
 
 
 def lit(s: str) -> str:
@@ -48,6 +48,13 @@ def chunks_cte(size: int = CHUNK_SIZE, docs: str = "documents") -> str:
 )"""
 
 
+def feature_sql(keys: str, text: str, table: str, dim: int = EMBED_DIM) -> str:
+    """The non-zero elements (pos, w) of each row's embedding, by ``keys``."""
+    return f"""SELECT {keys}, pos, n / sqrt(sum(n * n) OVER (PARTITION BY {keys})) AS w
+FROM (SELECT {keys}, {text_hash_sql('term')} % {dim} AS pos, count(*)::DOUBLE AS n
+      FROM (SELECT {keys}, unnest({terms_sql(text)}) AS term FROM {table}) GROUP BY ALL)"""
+
+
 def bm25_ctes(k: int, questions: str = "benchmark", qid: str = "item_id", qtext: str = "text",
               k1: float = 1.2, b: float = 0.75) -> str:
     """CTEs ``post, stats, qt, dfs, qs, sc, lex`` over a ``chunks`` CTE;

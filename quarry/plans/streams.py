@@ -5,13 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.fixed import CHUNK_SIZE
+from quarry.functions.fixed import CHUNK_SIZE, CHUNKS_PER_DOC
 from quarry.functions.text import normalize_newlines_sql
-from quarry.functions.vectors import l2_norm
 from quarry.operators import chunk
 from quarry.operators import vectors as V
 from quarry.plans.registry import register
-from quarry.plans.sqlparts import chunks_cte
+from quarry.plans.sqlparts import chunks_cte, feature_sql
 from quarry.session import load_table
 from quarry.streaming import ingest as J
 
@@ -26,21 +25,26 @@ def q_stream_ingest(spark, sf_dir):
 
 
 # --- J2 ---------------------------------------------------------------------------
-@register("stream_dedup", sql="""SELECT DISTINCT source FROM documents""")
+@register("stream_dedup", sql="""SELECT DISTINCT source, md5(text) AS text_md5 FROM documents""")
 def q_stream_dedup(spark, sf_dir):
-    return J.stream_dedup(spark, sf_dir).select("source")
+    return J.stream_dedup(spark, sf_dir).select("source", "text_md5")
 
 
 # --- J3 ---------------------------------------------------------------------------
-@register("stream_two_sinks", sql=f"""WITH {chunks_cte()}
-SELECT 'docs' AS store, count(*)::BIGINT AS n_rows FROM chunks
+@register("stream_two_sinks", sql=f"""WITH {chunks_cte()},
+f AS ({feature_sql("doc_id, cont_id", "content", "chunks")}),
+v AS (SELECT doc_id, cont_id, round(sum(w), 6) AS weight FROM f GROUP BY ALL)
+SELECT 'docs' AS store, doc_id * {CHUNKS_PER_DOC} + cont_id AS pk, source, content, NULL::DOUBLE AS weight FROM chunks
 UNION ALL
-SELECT 'vectors', count(*)::BIGINT FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id""")
+SELECT 'vectors', doc_id * {CHUNKS_PER_DOC} + cont_id, source, content, coalesce(weight, 0)
+FROM chunks LEFT JOIN v USING (doc_id, cont_id)""")
 def q_stream_two_sinks(spark, sf_dir):
     lex, vec = J.stream_two_sinks(spark, sf_dir)
-    return (lex.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows")).select(F.lit("docs").alias("store"), "n_rows")
-            .unionByName(vec.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
-                         .select(F.lit("vectors").alias("store"), "n_rows")))
+    weight = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6)
+    return (lex.select(F.lit("docs").alias("store"), V.chunk_key().alias("pk"), "source", "content",
+                       F.lit(None).cast("double").alias("weight"))
+            .unionByName(vec.select(F.lit("vectors").alias("store"), "pk", "source", F.col("text").alias("content"),
+                                    weight.alias("weight"))))
 
 
 # --- J4 ---------------------------------------------------------------------------
@@ -63,10 +67,10 @@ def q_chunk_presplit(spark, sf_dir):
     return chunk.chunk_recursive(pages, size=CHUNK_SIZE, keep=("doc_id", "source", "page"))
 
 
-# --- D1 (no SQL twin: hashing + IDF fit; property: unit norm) -------------------------
-@register("embed_corpus", note="hashed TF-IDF, L2-normalised, 1024 wide")
+# --- D1: every chunk's vector, as its non-zero elements ------------------------------
+@register("embed_corpus", sql=f"""WITH {chunks_cte()}
+SELECT doc_id, cont_id, pos, round(w, 6) AS value FROM ({feature_sql("doc_id, cont_id", "content", "chunks")})""")
 def q_embed_corpus(spark, sf_dir):
-    d = load_table(spark, sf_dir, "documents").select("doc_id", "text")
-    e = V.embed_corpus(d, "text", dim=1024)
-    return e.select("doc_id", F.size("embedding").cast("bigint").alias("dim"),
-                    F.round(l2_norm("embedding"), 6).alias("norm"))
+    e = V.embed(chunk.chunk_windows(load_table(spark, sf_dir, "documents")), "content")
+    return (V.unpivot(e, ["doc_id", "cont_id"], "embedding").filter("value != 0")
+            .withColumn("value", F.round("value", 6)))

@@ -147,7 +147,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", schema: str |
 
 
 # --- A14-A17 ---------------------------------------------------------------------------------
-LEXICAL_SCHEMA = ("source STRING, cont_id INT, content STRING, file_type STRING, "
+LEXICAL_SCHEMA = ("source STRING, doc_id BIGINT, cont_id INT, content STRING, file_type STRING, "
                   "insert_time TIMESTAMP")
 VECTOR_SCHEMA = "pk BIGINT, source STRING, text STRING, embeddings ARRAY<FLOAT>"
 
@@ -163,9 +163,17 @@ def create_store_tables(spark: SparkSession, prefix: str, location: str) -> tupl
     return lex, vec
 
 
+def drop_table(spark: SparkSession, table: str) -> None:
+    """Drop a store table with its files."""
+    path = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Location'").first()["data_type"]
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def append_chunks(chunks: DataFrame, table: str, file_type: str) -> None:
     """Bulk append to the lexical table with an insert time."""
-    (chunks.select("source", F.col("cont_id").cast("int"), "content",
+    (chunks.select("source", "doc_id", F.col("cont_id").cast("int"), "content",
                    F.lit(file_type).alias("file_type"), F.current_timestamp().alias("insert_time"))
      .write.mode("append").insertInto(table))
 
@@ -179,8 +187,3 @@ def append_vectors(rows: DataFrame, table: str) -> None:
 
 def describe(spark: SparkSession, table: str) -> DataFrame:
     return spark.sql(f"DESCRIBE TABLE {table}")
-
-
-def drop_tables(spark: SparkSession, *tables: str) -> None:
-    for t in tables:
-        spark.sql(f"DROP TABLE IF EXISTS {t}")

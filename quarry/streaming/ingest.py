@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import normalize_newlines
 from quarry.operators.chunk import chunk_windows
+from quarry.operators.vectors import chunk_key, embed
 from quarry.session import shared_dir
 
 
@@ -46,31 +47,31 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ignore sources already ingested (J2): stateful ``dropDuplicates`` on
-    the source key; one row per source reaches the sink."""
+    """Ignore documents already ingested (J2): stateful ``dropDuplicates`` on
+    the document's source and a hash of its text, so a repeated delivery is
+    dropped and every different document reaches the sink. The tables carry
+    no time, so the state keeps one hash per document for good."""
     out, ckpt = shared_dir(spark, "stream-dedup"), shared_dir(spark, "stream-dedup-ckpt")
-    docs = file_stream(spark, sf_dir, "documents").select("source", "doc_id")
-    firsts = docs.dropDuplicates(["source"])
+    docs = file_stream(spark, sf_dir, "documents").select("source", F.md5("text").alias("text_md5"))
+    firsts = docs.dropDuplicates(["source", "text_md5"])
     run_available(firsts.writeStream.format("parquet").option("path", out)
                   .option("checkpointLocation", ckpt).outputMode("append"), "stream_dedup", spark)
     return spark.read.parquet(out)
 
 
 def stream_two_sinks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """One micro-batch feeds both stores (J3): chunks to the lexical table
-    and document vectors to the vector table, each written under
+    """One micro-batch feeds both stores (J3): the same chunks go to the
+    lexical table and, encoded, to the vector table, each written under
     ``batch=<id>`` with overwrite so a replayed batch replaces itself."""
     lex_path, vec_path = shared_dir(spark, "stream-lex"), shared_dir(spark, "stream-vec")
     ckpt = shared_dir(spark, "stream-two-ckpt")
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     docs = file_stream(spark, sf_dir, "documents")
 
     def write_both(batch: DataFrame, batch_id: int) -> None:
         chunks = chunk_windows(batch)
         chunks.write.mode("overwrite").parquet(f"{lex_path}/batch={batch_id}")
-        v = batch.join(vectors, batch.doc_id == vectors.vec_id).select(
-            F.col("doc_id").alias("pk"), "source", F.substring("text", 1, 1000).alias("text"), "embedding")
-        v.write.mode("overwrite").parquet(f"{vec_path}/batch={batch_id}")
+        embed(chunks, "content").select(chunk_key().alias("pk"), "source", F.col("content").alias("text"), "embedding") \
+            .write.mode("overwrite").parquet(f"{vec_path}/batch={batch_id}")
 
     run_available(docs.writeStream.foreachBatch(write_both).option("checkpointLocation", ckpt),
                   "stream_two_sinks", spark)
@@ -79,8 +80,9 @@ def stream_two_sinks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 def stream_daily_counts(spark: SparkSession, sf_dir: str, watermark: str = "1 hour") -> DataFrame:
     """Daily event counts per type (J4): event time with a watermark and a
-    one-day tumbling window, in complete mode through ``foreachBatch``
-    (the last batch overwrites the table with every group)."""
+    one-day tumbling window in update mode, so state of closed days is dropped;
+    each batch's changed counts are written under ``batch=<id>`` and a day's
+    latest batch counts."""
     out, ckpt = shared_dir(spark, "stream-daily"), shared_dir(spark, "stream-daily-ckpt")
     ev = (file_stream(spark, sf_dir, "events")
           .withColumn("ts", F.to_utc_timestamp(F.col("ts").cast("timestamp"), spark.conf.get("spark.sql.session.timeZone")))
@@ -93,8 +95,8 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str, watermark: str = "1 ho
     def overwrite(batch: DataFrame, batch_id: int) -> None:
         day = F.to_date(F.from_utc_timestamp(F.col("w.start"), tz))
         batch.select(day.alias("day"), "event_type", F.col("n").cast("bigint").alias("n")) \
-            .write.mode("overwrite").parquet(out)
+            .write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    run_available(counts.writeStream.outputMode("complete").foreachBatch(overwrite)
+    run_available(counts.writeStream.outputMode("update").foreachBatch(overwrite)
                   .option("checkpointLocation", ckpt), "stream_daily_counts", spark)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).groupBy("day", "event_type").agg(F.max_by("n", "batch").alias("n"))

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -56,3 +58,21 @@ def test_mean_pool_and_normalize(spark):
         assert np.allclose(mp[lab], x[label == lab].astype(np.float64).mean(axis=0), atol=1e-9)
     n = V.normalize(df, "embedding").select(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v).alias("s"))
     assert all(abs(r.s - 1.0) < 1e-9 for r in n.collect())
+
+
+def test_chunks_and_questions_share_a_space(spark):
+    rows = [(1, "厦门有什么好玩的地方"), (2, "推荐厦门好玩的地方"), (3, "股票市场今日上涨"), (4, ""), (5, None)]
+    e = {r.id: np.array(r.embedding) for r in V.embed(spark.createDataFrame(rows, "id long, text string"), "text").collect()}
+    assert e[1] @ e[2] > 0.3 > e[1] @ e[3]
+    assert all(np.isclose(np.linalg.norm(e[i]), 1.0) for i in (1, 2, 3))
+    assert not e[4].any() and not e[5].any()
+
+
+def test_normalise_is_linear_in_width(spark):
+    def seconds(width):
+        df = spark.range(200).select(F.transform(F.sequence(F.lit(1), F.lit(width)), lambda x: x.cast("double")).alias("v"))
+        V.normalize(df, "v").write.format("noop").mode("overwrite").save()
+        t = time.perf_counter()
+        V.normalize(df, "v").write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - t
+    assert seconds(1024) < 8 * seconds(256) + 0.5
