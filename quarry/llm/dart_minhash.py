@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import exact, free_name
 from quarry.llm.linkage import classes, in_bloom
-from quarry.llm.numtext import U, jaccard, mix, text_blocks, word_shingles
+from quarry.llm.numtext import U, element_sets, expand, jaccard, mix, text_blocks, word_shingles
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -128,6 +128,16 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(node[i:j][ok], BANDS))], ["key", "node"])
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The multiset of shingles as a set: the n-th copy of a shingle is an element of its own."""
+    for b in batches:
+        for i, j, data, offs in text_blocks(b.column(1)):
+            row, item, weight, _ = _weighted(data, offs)
+            of, copy = expand(weight.astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).slice(i, j - i), element_sets(row[of], mix(item[of] + copy.astype(U)), j - i)], ["node", "elements"])
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         a, c = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -169,7 +179,8 @@ def text_classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFr
         return nodes.filter("text is not null").mapInArrow(part, "node long, text string")
 
     return classes(nodes.filter("text is not null").mapInArrow(_band_rows, "key long, node long"), texts,
-                   lambda p: p.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long"))
+                   lambda p: p.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long"),
+                   lambda t: t.select("node", "text").mapInArrow(_elements, "node long, elements binary"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,13 +3,18 @@
 Items are *nodes*: 64-bit content hashes, so equal items are one node from the
 start and a group of exact copies never meets as a group. The steps:
 
-1. ``bucket_pairs``: band rows are dealt by band key and streamed in (key, node)
+1. ``first_pairs``: band rows are dealt by band key and streamed in (key, node)
    order; each node is paired with its bucket's first node (the hub) and with
    the node before it. Two pairs for each member, not all pairs, and the
-   state is a few numbers whatever a bucket holds.
+   state is three numbers whatever a bucket holds.
 2. Exact similarity of the pairs; then union-find over the pairs that hold.
-3. Members still apart from their hubs form their bucket anew, under four times
-   as many hubs, until none is left. No bucket, member or round is dropped.
+3. Buckets whose members are not yet all in one component are streamed again, with
+   its set of 32-bit shingle hashes to each node: a node is held against the
+   bucket's first ``HUBS`` nodes by an inverted list, and goes to the exact check
+   with the most similar one of each other component (within ``CLOSE``, a little
+   under the similarity sought). Nodes beyond the hubs form the bucket anew,
+   under eight times as many, until none is left. No bucket, member or
+   round is dropped, and no more than verified links and members are ever rows.
 
 A fixed-size Bloom filter over the paired nodes spares the shuffle the texts of
 unpaired items. It only saves work: joins decide, so at a scale where it
@@ -26,10 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import discard, materialise
-from quarry.llm.numtext import U, mix
+from quarry.llm.numtext import U, expand, mix
 
 BLOOM_BITS = 1 << 24
 BLOOM_HASHES = 4
+CLOSE = 0.79
+HUBS = 512
+HUB_ELEMENTS = 1 << 22
+EDGES = 200_000
 
 
 def _positions(node: np.ndarray) -> np.ndarray:
@@ -60,123 +69,207 @@ def bloom_of(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def _runs(hubs: int, chain: bool):
+def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (key, node) rows to (key, hub, node): each node but the first of a
+    bucket with the bucket's first and with the one before it."""
+    key0 = node0 = hub0 = None  # of the last row
+    for b in batches:
+        key, node = (b.column(i).to_numpy() for i in (0, 1))
+        if not len(key):
+            continue
+        if key0 is not None:  # the last row goes before the batch
+            key, node = np.append(key0, key), np.append(node0, node)
+        new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+        key, node = key[new], node[new]
+        head = np.append(True, key[1:] != key[:-1])
+        start = np.flatnonzero(head)[np.cumsum(head) - 1]
+        hub = node[start]
+        if key0 is not None:
+            hub[start == 0] = hub0
+        x = np.flatnonzero(~head)
+        prev = x[hub[x] != node[x - 1]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(key[x], key[prev])), pa.array(np.append(hub[x], node[prev - 1])),
+             pa.array(np.append(node[x], node[prev]))], ["key", "hub", "node"])
+        key0, node0, hub0 = key[-1], node[-1], hub[-1]
+
+
+def first_pairs(bands: DataFrame) -> DataFrame:
+    """(key, hub, node) pairs of each bucket; ``bands`` has (key, node), repeats allowed."""
+    return (bands.select("key", "node").repartition("key").sortWithinPartitions("key", "node")
+            .mapInArrow(_first_pairs, "key long, hub long, node long"))
+
+
+class _Hubs:
+    """The first nodes of the open bucket, with their elements in one inverted list."""
+
+    def __init__(self, most: int):
+        self.most, self.nodes, self.roots, self.sets, self.elements = most, [], [], [], 0
+        self._list = None
+
+    def full(self) -> bool:
+        return len(self.nodes) >= self.most or self.elements >= HUB_ELEMENTS
+
+    def add(self, node: int, root: int, elements: np.ndarray) -> None:
+        self.nodes.append(node)
+        self.roots.append(root)
+        self.sets.append(elements)
+        self.elements += len(elements)
+
+    def similar(self, root: int, elements: np.ndarray) -> list[int]:
+        """Of each other root, the hub most similar to a node, if that is similar enough."""
+        if all(r == root for r in self.roots):
+            return []
+        n = len(self.sets)
+        if not self._list or n - self._list[3] > 8 + self._list[3] // 8:  # the newest hubs are held against one by one
+            flat = np.concatenate(self.sets)
+            of = np.repeat(np.arange(n), [len(x) for x in self.sets])
+            order = np.argsort(flat, kind="stable")
+            self._list = flat[order], of[order], np.array([len(x) for x in self.sets]), n
+        flat, of, size, known = self._list
+        lo, hi = np.searchsorted(flat, elements, "left"), np.searchsorted(flat, elements, "right")
+        idx, pos = expand(hi - lo)
+        both = np.bincount(of[lo[idx] + pos], minlength=known).astype(float)
+        size = size.astype(float)
+        if n > known:
+            both = np.append(both, [len(np.intersect1d(self.sets[i], elements, assume_unique=True)) if self.roots[i] != root
+                                    else 0 for i in range(known, n)])
+            size = np.append(size, [len(x) for x in self.sets[known:]])
+        sim = both / np.maximum(size + len(elements) - both, 1)
+        best: dict[int, int] = {}
+        for j in np.flatnonzero(sim >= CLOSE):
+            r = self.roots[j]
+            if r != root and (r not in best or sim[j] > sim[best[r]]):
+                best[r] = int(j)
+        return [self.nodes[j] for j in best.values()]
+
+
+def _close_pairs(hubs: int):
+    """Sorted (key, node, root, elements) rows to (key, hub, node, rest): a node with
+    the most similar of its bucket's first ``hubs`` nodes, one of each other
+    root; and, as rest, the nodes after those, which are still to be compared."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        had = np.zeros(0, np.int64)  # the open bucket so far: its first ``hubs`` nodes
-        key0 = node0 = None
-        count = 0
+        open_key, held = None, _Hubs(hubs)
         for b in batches:
-            key, node = (b.column(i).to_numpy() for i in (0, 1))
-            new = np.append(key0 is None or len(key) == 0 or key[0] != key0 or node[0] != node0,
-                            (key[1:] != key[:-1]) | (node[1:] != node[:-1])) if len(key) else np.zeros(0, bool)
-            key, node = key[new], node[new]
-            if not len(key):
-                continue
-            if key0 is not None and key[0] == key0:  # the open bucket goes on: put its hubs before the batch
-                front, skip = had, count - len(had)
-            else:
-                front, skip = had[:0], 0
-            k, v = np.append(np.full(len(front), key[0]), key), np.append(front, node)
-            head = np.append(True, k[1:] != k[:-1])
-            start = np.flatnonzero(head)[np.cumsum(head) - 1]
-            pos = np.arange(len(k)) - start
-            fresh = np.arange(len(k)) >= len(front)
-            at = pos + np.where(start == 0, np.where(fresh, skip, 0), 0)
-            out = []
-            for j in range(min(hubs, int(pos.max()))):
-                x = np.flatnonzero(fresh & (pos > j))
-                out.append((k[x], v[start[x] + j], v[x], at[x] >= hubs))
-            if chain:
-                x = np.flatnonzero(fresh & (at > hubs))
-                before = np.where(x - 1 >= len(front), v[x - 1], node0 if node0 is not None else 0)
-                out.append((k[x], before.astype(np.int64), v[x], np.zeros(len(x), bool)))
+            out: list[tuple[int, int, int, bool]] = []
+            for key, node, root, raw in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if key != open_key:
+                    open_key, held = key, _Hubs(hubs)
+                elements = np.frombuffer(raw, np.uint32)
+                out += [(key, h, node, False) for h in held.similar(root, elements)] if held.nodes else []
+                if held.full():
+                    out.append((key, node, node, True))
+                else:
+                    held.add(node, root, elements)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)],
-                                                 ["key", "hub", "node", "rest"])
-            tail = start[-1]
-            count = int(at[-1]) + 1
-            had, key0, node0 = v[tail: tail + hubs].copy(), k[-1], v[-1]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["key", "hub", "node", "rest"])
     return run
 
 
-def bucket_pairs(bands: DataFrame, hubs: int = 1, chain: bool = False) -> DataFrame:
-    """(key, hub, node, rest): each node of a bucket with those of the bucket's
-    ``hubs`` smallest nodes that precede it; rest: the node is not itself one of
-    them. ``chain`` adds the pair with the node before it (rest false).
-
-    ``bands`` has (key, node), repeated rows allowed."""
-    return (bands.select("key", "node").repartition("key").sortWithinPartitions("key", "node")
-            .mapInArrow(_runs(hubs, chain), "key long, hub long, node long, rest boolean"))
+def _star(small: bool):
+    """One star step over (a, b) rows sorted by both: the first b of an a is the
+    smallest, so a and its other neighbours are joined to min(a, b) as they
+    pass. A large star joins only the neighbours above a; a small star,
+    whose rows all point down, joins a too."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (None, None, None)  # a, b, root of the last row
+        for batch in batches:
+            a, b = (batch.column(i).to_numpy() for i in (0, 1))
+            if not len(a):
+                continue
+            new = np.append((a[0], b[0]) != last[:2], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+            a, b = a[new], b[new]
+            if not len(a):
+                continue
+            head = np.append(a[0] != last[0], a[1:] != a[:-1])
+            start = np.maximum.accumulate(np.where(head, np.arange(len(a)), 0))
+            root = np.minimum(a, b)[start]
+            if not head[0]:
+                root[: int(np.argmax(head)) if head.any() else len(a)] = last[2]
+            last = (a[-1], b[-1], root[-1])
+            if small:
+                child, top = np.append(b, a[head]), np.append(root, root[head])
+            else:
+                child, top = b[b > a], root[b > a]
+            keep = child != top
+            yield pa.RecordBatch.from_arrays([pa.array(child[keep]), pa.array(top[keep])], ["a", "b"])
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Union-find by alternating large and small stars: (node, root) for each
     node of ``edges`` (a, b), roots themselves excepted; the root is the
-    component's smallest node. Each round is a few joins and aggregates with
-    map-side combining, written to the shared folder."""
-    def star(e: DataFrame) -> DataFrame:
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
-        return e.join(low, "a")
-
-    e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                    .filter("a != b").distinct(), "edges")
-    state = None
+    component's smallest node. A step is one shuffle and a stream of constant
+    state, whatever a node's degree; each round is written to the shared folder,
+    and takes a task for every EDGES rows."""
+    def step(e: DataFrame, small: bool, tasks: int) -> DataFrame:
+        return (e.repartition("a").coalesce(tasks).sortWithinPartitions("a", "b")
+                .mapInArrow(_star(small), "a long, b long"))
+
+    e, state, made = edges.select("a", "b"), (edges.count(), None), False
     while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = star(large.filter("a != b").distinct())
-        nxt = (small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")),
-                                              F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("p"))
-               .select("p.a", "p.b").filter("a != b").distinct())
-        nxt = materialise(nxt, "edges")
-        discard(e)
-        e = nxt
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+                                  ).alias("p")).select("p.a", "p.b")
+        tasks = 1 + state[0] // EDGES
+        after = materialise(step(step(both, False, tasks), True, tasks), "edges")
+        if made:
+            discard(e)
+        e, made = after, True
+        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
 
 
-def classes(bands: DataFrame, texts: Callable[[np.ndarray], DataFrame],
-            similar: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def classes(bands: DataFrame, texts: Callable[[np.ndarray], DataFrame], similar: Callable[[DataFrame], DataFrame],
+            elements: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Classes of nodes linked by similar pairs that share a band.
 
     bands: (key, node). texts(bloom): a (node, text) table, a row for each node in the
     filter at least. similar: keeps the similar rows of (a, b, text_a, text_b), as (a, b).
+    elements: (node, text) to (node, elements), the distinct 32-bit hashes of the
+    set whose Jaccard similarity is meant, ascending, as bytes.
 
     Returns (node, root) of nodes whose root is another node, and the verified
     links (a, b)."""
-    hubs = 1
-    members = materialise(bucket_pairs(bands, hubs, chain=True), "members")
+    members = materialise(first_pairs(bands), "members")
     pairs = lambda m: (m.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
                        .distinct())
     todo = materialise(pairs(members), "pairs")
     nodes = todo.select(F.explode(F.array("a", "b")).alias("node"))
     held = materialise(texts(bloom_of(nodes)).groupBy("node").agg(F.first("text").alias("text"))
                        .join(nodes.distinct(), "node", "left_semi"), "texts")
-    side = lambda s: held.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"))
-    links = materialise(similar(todo.join(side("b"), "b").join(side("a"), "a")), "links")
-    root, checked = components(links), todo
+
+    def verified(p: DataFrame) -> DataFrame:
+        side = lambda s: held.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"))
+        return materialise(similar(p.join(side("b"), "b").join(side("a"), "a")), "links")
+
+    def divided(rows: DataFrame, least: int) -> DataFrame:
+        """(key, node, root) rows of the buckets of ``least`` nodes or more that have several roots."""
+        rows = rows.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        several = (rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
+                   .filter(f"low != high and n >= {least}"))
+        return rows.join(several.select("key"), "key", "left_semi")
+
+    links = verified(todo)
+    root = components(links)
+    # of two or three nodes every pair has been checked: hub, and node before
+    left = divided(members.select("key", F.explode(F.array("hub", "node")).alias("node")).distinct(), 4)
+    hubs, sets = HUBS, None
     while True:
-        of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-        apart = (members.filter("rest").join(of("node"), "node", "left").join(of("hub"), "hub", "left")
-                 .groupBy("key", "node")
-                 .agg(F.bool_or(F.expr("coalesce(node_root, node) = coalesce(hub_root, hub)")).alias("joined"))
-                 .filter("not joined"))
-        hubs *= 4
-        rest = materialise(bucket_pairs(apart, hubs), "members")
-        if rest.isEmpty():
-            discard(rest)
+        left = materialise(left, "divided")
+        if left.isEmpty():
             break
-        discard(members)
-        members = rest
-        todo = materialise(pairs(members).join(checked, ["a", "b"], "left_anti"), "pairs")
-        checked = checked.unionByName(todo)
-        found = materialise(similar(todo.join(side("b"), "b").join(side("a"), "a")), "links")
+        if sets is None:
+            sets = materialise(elements(held.join(left.select("node").distinct(), "node", "left_semi")), "sets")
+        close = materialise(left.join(sets, "node").select("key", "node", "root", "elements")
+                            .repartition("key").sortWithinPartitions("key", "node")
+                            .mapInArrow(_close_pairs(hubs), "key long, hub long, node long, rest boolean"), "members")
+        found = verified(pairs(close.filter("not rest")))
         if not found.isEmpty():
             links = links.unionByName(found)
             root = components(links)
-    discard(members)
-    discard(held)
+        left, hubs = divided(close.filter("rest").select("key", "node"), 2), hubs * 8
+    for done in (members, todo, held, left):
+        discard(done)
     return root, links

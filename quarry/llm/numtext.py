@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 U = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -64,6 +64,21 @@ class Spans:
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self._c[end] - self._c[start]) * self._i[start] + (end - start).astype(U))
 
+    def grams(self, chars: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of the bytes from each of ``chars`` (ascending) to the k-th after it."""
+        if len(chars) == len(self._c):  # one byte each
+            c, inv = self._c, self._i[: len(chars)]
+        else:
+            c, inv = self._c[chars], self._i[chars]
+        if len(chars) <= k:
+            return np.zeros(0, U)
+        h = c[k:] - c[:-k]
+        h *= inv[:-k]
+        h ^= h >> U(32)
+        h *= U(0xD6E8FEB86659FD93)
+        h ^= h >> U(32)
+        return h
+
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets of the rows) of a string column; null rows are empty."""
@@ -165,8 +180,14 @@ def char_shingles(spans: Spans, start: np.ndarray, end: np.ndarray, k: int) -> t
     n = hi - lo
     count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     idx, pos = expand(count)
-    a = lo[idx] + pos
-    return idx, spans.hash(chars[a], chars[np.minimum(a + k, hi[idx])])
+    at = lo[idx] + pos
+    grams = spans.grams(chars, k)
+    if (n >= k).all():
+        return idx, grams[at]
+    short = np.flatnonzero((n < k) & (n > 0))
+    out = grams[np.minimum(at, max(len(grams) - 1, 0))] if len(grams) else np.zeros(len(at), U)
+    out[(np.cumsum(count) - count)[short]] = spans.hash(start[short], end[short])
+    return idx, out
 
 
 def word_shingles(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,6 +207,14 @@ def word_shingles(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarra
     return idx, out, words
 
 
+def element_sets(row: np.ndarray, h: np.ndarray, rows: int) -> pa.Array:
+    """The distinct upper halves of each row's hashes, ascending, as bytes."""
+    key = np.unique((row.astype(U) << U(32)) | (h >> U(32)))
+    ends = np.searchsorted(key, np.arange(1, rows + 1).astype(U) << U(32))
+    low = key.astype(np.uint32)
+    return pa.array([x.tobytes() for x in np.split(low, ends[:-1])], pa.binary())
+
+
 def jaccard(group_a: np.ndarray, hash_a: np.ndarray, group_b: np.ndarray, hash_b: np.ndarray,
             groups: int, weighted: bool) -> np.ndarray:
     """Jaccard similarity of the two shingle (multi)sets of each of ``groups``
