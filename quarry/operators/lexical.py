@@ -3,17 +3,16 @@ questions is answered in one job.
 
 Plan shape (``bm25_topk``)::
 
-    chunks --explode terms--> postings(keys, dl, term, tf)       map + partial agg
-    questions --> qterms(qid, term, qtf)                          small
-    postings ⋉ broadcast(query vocabulary)                        map-only
-       --groupBy(term)--> df                                      partial agg, tiny shuffle
-    postings ⋈ broadcast(qterms + idf)  --> BM25 contributions    map-only
-       --groupBy(qid, keys) sum-->                                shuffle of candidates
+    chunks --in-row term counts--> postings(keys, dl, term, tf)   one shuffle of chunk text, written by chunk
+    questions --> qterms(qid, term, qtf)                          written
+    postings ⋉ query vocabulary --groupBy(term)--> df             partial agg, small shuffle
+    postings ⋈ qterms + idf  --> BM25 contributions
+       --groupBy(qid, keys) sum-->                                inside the postings bucket, if the terms are broadcast
        --row_number() <= k per qid-->                             partial + final WindowGroupLimit
 
-The question side is broadcast only after its size is checked; the
-corpus side is never shuffled by term, so a term present in every chunk
-does not create a hot partition. N and avgdl are scalar subqueries.
+The question side is written first, so the planner knows its size and broadcasts
+it under its own threshold; beyond that the join is by term, and adaptive
+execution splits the postings of a hot term. N and avgdl are scalar subqueries.
 """
 
 from __future__ import annotations
@@ -23,22 +22,12 @@ from pyspark.sql import functions as F
 
 from quarry.functions.fixed import LEXICAL_TOPK
 from quarry.functions.text import terms
-from quarry.plans.strategy import broadcast_limit, fits_broadcast, rounded, top_k
+from quarry.plans.strategy import _checkpointed, rounded, top_k
 
 K1 = 1.2
 B = 0.75
 
 
-def postings(chunks: DataFrame, keys, text_col: str = "content") -> DataFrame:
-    """Inverted-index rows ``(keys..., dl, term, tf)``. All rows of a chunk
-    are produced in one task, so partial aggregation combines them before
-    the exchange."""
-    t = chunks.select(*keys, terms(text_col).alias("_t"))
-    return (t.select(*keys, F.size("_t").cast("bigint").alias("dl"), F.explode_outer("_t").alias("term"))
-            .filter(F.col("term").isNotNull())
-            .groupBy(*keys, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-
-
 def corpus_stats(post: DataFrame):
     """(N, avgdl) over chunks with ≥1 term, as scalar-subquery columns,
     from postings alone: per chunk the ``tf`` sum to ``dl``, so
@@ -53,10 +42,10 @@ def corpus_stats(post: DataFrame):
 class LexicalIndex:
     """Postings of a chunk table, tokenized once and written as a table.
 
-    ``build`` repartitions the chunks by ``doc_id`` (the only shuffle of the
-    build: chunk text, not term rows), counts term frequencies inside those
-    partitions (no further exchange) and writes the postings bucketed by
-    ``doc_id`` under the shared checkpoint folder (``spark.checkpoint.dir``).
+    ``build`` repartitions the chunks by all their keys (the only shuffle of
+    the build: chunk text, not term rows, and a long document's chunks are
+    spread), counts term frequencies inside each row and writes the postings
+    bucketed by the keys under the shared checkpoint folder.
     At query time the per-(question, chunk) sum is then co-located with its
     bucket and needs no shuffle; the written table also cuts the lineage so
     a lost executor never forces re-tokenizing the corpus.
@@ -76,14 +65,15 @@ class LexicalIndex:
         spark = chunks.sparkSession
         n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         base = path or shared_dir(spark, "lexical-index")
-        t = chunks.repartition(n, keys[0]).select(*keys, terms(text_col).alias("_t"))
-        post = (t.select(*keys, F.size("_t").cast("bigint").alias("dl"),
-                         F.explode_outer("_t").alias("term"))
-                .filter(F.col("term").isNotNull())
-                .groupBy(*keys, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+        t = chunks.repartition(n, *keys).select(*keys, terms(text_col).alias("_t"))
+        # a chunk's terms are counted within its row
+        tf = F.transform(F.array_distinct("_t"), lambda x: F.struct(
+            x.alias("term"), F.size(F.filter("_t", lambda y: y == x)).cast("bigint").alias("tf")))
+        post = (t.select(*keys, F.size("_t").cast("bigint").alias("dl"), F.explode(tf).alias("_p"))
+                .select(*keys, "dl", "_p.term", "_p.tf"))
         name = "quarry_postings_" + uuid.uuid4().hex[:12]
         (post.write.mode("overwrite").option("path", base + "/postings")
-         .bucketBy(n, keys[0]).sortBy("term").saveAsTable(name))
+         .bucketBy(n, *keys).sortBy("term").saveAsTable(name))
         return cls(spark.table(name), keys)
 
     def stats(self):
@@ -101,104 +91,37 @@ def bm25_scores(questions: DataFrame, index: LexicalIndex, qid: str = "item_id",
     """All (question, chunk) pairs sharing a term, with Okapi BM25 score
     (any-term match; repeated query terms count once per occurrence)."""
     keys = index.keys
-    qt = query_terms(questions, qid, qtext)
-    # one size check on the question terms bounds both broadcast sides
-    # (the vocabulary and the idf-weighted terms have at most as many rows)
-    small = fits_broadcast(qt)
-    vocab = qt.select("term").distinct()
-    vocab = F.broadcast(vocab) if small else vocab
-    post = index.postings.join(vocab, "term", "left_semi")
+    # written once, so the planner knows their size and broadcasts them or not;
+    # beyond that, adaptive execution splits the postings of a hot term
+    qt = _checkpointed(query_terms(questions, qid, qtext))
+    post = index.postings.join(qt.select("term").distinct(), "term", "left_semi")
     dfs = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, avgdl = index.stats()
-    qs = (qt.join(dfs, "term")
-          .withColumn("idf", F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-          .select(qid, "term", "qtf", "idf"))
-    cand = index.postings.join(F.broadcast(qs) if small else qs, "term")
+    qs = _checkpointed(qt.join(dfs, "term")
+                       .withColumn("idf", F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+                       .select(qid, "term", "qtf", "idf"))
+    cand = index.postings.join(qs, "term")
     contrib = (F.col("qtf") * F.col("idf") * F.col("tf")
                / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / avgdl)))
     return (cand.groupBy(qid, *keys).agg(F.sum(contrib).alias("score"))
             .withColumn("score", rounded("score")))
 
 
-def bm25_topk_pruned(questions: DataFrame, index: LexicalIndex, k: int, qid: str = "item_id",
-                     qtext: str = "text", k1: float = K1, b: float = B, rare: int = 2) -> DataFrame:
-    """Exact top-k BM25 without aggregating every (question, chunk) pair.
-
-    MaxScore-style, in two passes over the bucketed postings:
-
-    1. partial scores from each question's ``rare`` highest-idf terms give,
-       per question, the k-th best partial score θ — a lower bound of the
-       true k-th best full score (partial ≤ full for every chunk);
-    2. each term's contribution is bounded by ``qtf·idf·max(tf/(tf+K))``
-       over its postings; the question's terms whose bounds (in ascending
-       order) sum to less than θ − 1e-6 are *non-essential*: a chunk with
-       only those terms cannot reach the top k, even after rounding.
-       Only chunks holding an essential term are scored in full (their
-       non-essential rows are kept by a semi-join), so the aggregation
-       covers the plausible candidates instead of every shared-term pair.
-    """
-    from quarry.plans.strategy import _checkpointed
-    keys = index.keys
-    spark = questions.sparkSession
-    qt = query_terms(questions, qid, qtext)
-    small = fits_broadcast(qt)
-
-    def bc(d):
-        return F.broadcast(d) if small else d
-    n, avgdl = index.stats()
-    kfac = k1 * (1.0 - b + b * F.col("dl") / avgdl)
-    frac = F.col("tf") / (F.col("tf") + kfac)
-    post = index.postings.join(bc(qt.select("term").distinct()), "term", "left_semi")
-    dfs = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(frac).alias("ub"))
-    idf = F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    qs = (qt.join(dfs, "term").withColumn("idf", idf)
-          .withColumn("u", F.col("qtf") * F.col("idf") * F.col("ub")))
-    w_rare = Window.partitionBy(qid).orderBy(F.desc("idf"), "term")
-    w_cum = Window.partitionBy(qid).orderBy("u", "term").rowsBetween(Window.unboundedPreceding, 0)
-    # per-question windows over the question's own terms (bounded by its length)
-    qs = _checkpointed(qs.withColumn("_r", F.row_number().over(w_rare))
-                       .withColumn("cum_u", F.sum("u").over(w_cum))
-                       .select(qid, "term", "qtf", "idf", "_r", "cum_u"))
-    contrib = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + kfac)
-    p1 = (index.postings.join(bc(qs.filter(F.col("_r") <= rare)), "term")
-          .groupBy(qid, *keys).agg(F.sum(contrib).alias("_s")))
-    theta = (top_k(p1, [qid], [F.desc("_s"), *keys], k)
-             .groupBy(qid).agg(F.min("_s").alias("_t"), F.count(F.lit(1)).alias("_m"))
-             .select(qid, F.when(F.col("_m") >= k, F.col("_t")).otherwise(F.lit(0.0)).alias("theta")))
-    qs2 = _checkpointed(qs.join(theta, qid, "left").withColumn(
-        "ess", F.coalesce(F.col("cum_u") >= F.col("theta") - 1e-6, F.lit(True))))
-    ess_rows = index.postings.join(bc(qs2.filter("ess")), "term")
-    cand = _checkpointed(ess_rows.select(qid, *keys).distinct())
-    cand_small = cand.count() <= broadcast_limit(spark)
-    rest = (index.postings.join(bc(qs2.filter(~F.col("ess"))), "term")
-            .join(F.broadcast(cand) if cand_small else cand, [qid, *keys], "left_semi"))
-    cols = [qid, *keys, contrib.alias("_c")]
-    scores = (ess_rows.select(*cols).unionByName(rest.select(*cols))
-              .groupBy(qid, *keys).agg(F.sum("_c").alias("score"))
-              .withColumn("score", rounded("score")))
-    return top_k(scores, [qid], [F.desc("score"), *keys], k)
-
-
 def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int = LEXICAL_TOPK,
               qid: str = "item_id", qtext: str = "text", keys=("doc_id", "cont_id"),
               text_col: str = "content", carry=("source", "content"),
-              k1: float = K1, b: float = B, prune: bool = False) -> DataFrame:
+              k1: float = K1, b: float = B) -> DataFrame:
     """Top-k chunks per question by BM25; ties broken by chunk key.
     Output ``(qid, keys..., score, rank, carry...)``."""
     keys = list(keys)
     index = LexicalIndex.build(chunks, keys, text_col)
-    if prune:
-        top = bm25_topk_pruned(questions, index, k, qid, qtext, k1, b)
-    else:
-        scores = bm25_scores(questions, index, qid, qtext, k1, b)
-        top = top_k(scores, [qid], [F.desc("score"), *keys], k)
+    scores = bm25_scores(questions, index, qid, qtext, k1, b)
+    top = top_k(scores, [qid], [F.desc("score"), *keys], k)
     carry = [c for c in carry if c not in keys]
     if not carry:
         return top
     attrs = chunks.select(*keys, *carry)
-    # hits ≤ questions × k: checking the question table bounds the hit table
-    small = fits_broadcast(questions.select(qid), max(1, broadcast_limit(questions.sparkSession) // k))
-    return attrs.join(F.broadcast(top) if small else top, keys).select(qid, *keys, "score", "rank", *carry)
+    return attrs.join(top, keys).select(qid, *keys, "score", "rank", *carry)
 
 
 def distinct_first(hits: DataFrame, qid: str = "item_id", content: str = "content",

@@ -1,8 +1,5 @@
 """Physical-strategy helpers shared by the operators.
 
-* ``sized_broadcast``: broadcast a join side only after proving its row
-  count is under a bound; above it the plan falls back to a shuffle join
-  (with AQE skew splitting).
 * ``top_k``: per-group top-k as ``row_number() <= k``; Catalyst plans a
   partial WindowGroupLimit before the exchange (map-side top-k), so a hot
   group ships at most k rows per map partition.
@@ -13,28 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_limit(spark) -> int:
-    return int(spark.conf.get("quarry.broadcast.maxRows", str(DEFAULT_BROADCAST_ROWS)))
-
-
-def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows (a bounded count job)."""
-    bound = max_rows if max_rows is not None else broadcast_limit(df.sparkSession)
-    return df.limit(bound + 1).count() <= bound
-
-
-def sized_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Return ``broadcast(df)`` if ``df`` has at most ``max_rows`` rows.
-
-    The check is a bounded job (``limit(max_rows + 1).count()``); it never
-    pulls rows to the driver. Above the bound the side is returned as is and
-    Spark picks a shuffle join.
-    """
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
-
 
 def top_k(df: DataFrame, part_cols, order_cols, k: int, rank_col: str = "rank") -> DataFrame:
     """Keep the first ``k`` rows of each group in ``order_cols`` order.

@@ -64,3 +64,21 @@ def test_benchmark_passages_are_found(spark):
     found = {(r.item_id, r.doc_id) for r in hits}
     for i in items:
         assert any((i, d) in found for j, d in truth if j == i), i
+
+
+def test_same_rows_without_broadcasts(spark):
+    """A term in every chunk, joined by term alone: the plan a large question table gets."""
+    chunks = spark.createDataFrame([(i, 1, "s", f"hot word{i % 7} word{i % 11} hot") for i in range(300)],
+                                   "doc_id long, cont_id long, source string, content string")
+    questions = spark.createDataFrame([(1, "hot word3"), (2, "hot"), (3, "word5 word10")], "item_id long, text string")
+
+    def top():
+        rows = lexical.bm25_topk(questions, chunks, k=5).collect()
+        return sorted((r.item_id, r["rank"], r.doc_id, r.score) for r in rows)
+    small = top()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert top() == small and len(small) == 15
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
