@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import exact
+from quarry.llm.common import exact, materialise
 from quarry.llm.url_tree import host_path
 
 MIN_PAGES = 5
@@ -59,6 +59,7 @@ breadcrumbs byline comment commentlist comments consent cookie cookies copyright
 hidden legal login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall
 popup privacy promo promotion recommended related reply replies respond responses search share sharing sidebar signup skip social
 sponsor sponsored sponsors subscribe subscription tags teaser toolbar topbar widget widgets""".split())
+THREADS = frozenset("comment commentlist comments discussion disqus recommended related replies reply respond responses".split())
 CONTAINERS = frozenset("div section table form fieldset details center".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
@@ -87,10 +88,13 @@ class Element:
             return False
         if a.get("role", "").lower() in NOT_CONTENT_ROLES:
             return False
-        if self.tag in ("html", "body", "article", "main") and self.tag != "article":
+        if self.tag in ("html", "body", "main"):
             return True
-        words = {w.lower() for k in ("class", "id") for w in _WORD.findall(a.get(k, ""))}
-        return not words & NOT_CONTENT_NAMES
+        return not self.words() & NOT_CONTENT_NAMES
+
+    def words(self) -> set[str]:
+        a = self.names()
+        return {w.lower() for k in ("class", "id") for w in _WORD.findall(a.get(k, ""))}
 
 
 def parse(page: str) -> Element:
@@ -166,11 +170,19 @@ def digest(root: Element) -> list[Element]:
 
 def _left(root: Element, templates: frozenset[int]) -> tuple[list[Element], list[Element]]:
     """(article elements, main elements) that are not deleted, outermost ones, in page order."""
+    # what holds every article of the page is its frame, whatever its name (has-sidebar) or a missing end tag says
+    held: dict[int, int] = {}
+    marked = [e for e in _walk(root) if e.tag in ("article", "main")]
+    for e in marked:
+        while e.parent is not None:
+            e = e.parent
+            held[id(e)] = held.get(id(e), 0) + 1
     articles, mains = [], []
     stack = [root]
     while stack:
         e = stack.pop()
-        if e.parent is not None and (not e.is_content(False) or e.digest in templates and e.tag not in ("article", "main")):
+        frame = e.parent is None or held.get(id(e)) == len(marked) and not e.words() & THREADS
+        if not frame and (not e.is_content(False) or e.digest in templates and e.tag not in ("article", "main")):
             continue
         if e.tag == "article":
             articles.append(e)
@@ -244,7 +256,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """page_id, url, text, n_chars of every row."""
     src = pages.select(exact(page_id).alias("page_id"), exact(url).alias("url"), exact(html).alias("html"),
                        host_path(exact(url))[0].alias("host"))
-    known = src.join(templates(pages, url, html), "host", "left").select("page_id", "url", "html", "templates")
+    # written first, so that its size is known: pages are shuffled by host only if it is too large to broadcast
+    known = src.join(materialise(templates(pages, url, html), "templates"), "host", "left").select(
+        "page_id", "url", "html", "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -89,7 +89,9 @@ def test_encode_odd_rows(spark):
     ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "a b c d"),
     ("<header>site</header><article><header><h1>t</h1></header> x \n y </article>", "t x y"),
     ("<div hidden>h</div><p style='display: none'>n</p><div role=navigation>r</div>1 < 2", "1 < 2"),
-    ("<article>a</article><article>b</article>", "a b"), ("</p></div>x<", "x<"), ("<div class=shadow>s</div>", "s"),
+    ("<article>a</article><article>b</article>", "a b"), ("<div>x</div><div id=comments><article>c</article></div>", "x"),
+    ("<div class=ad>x<article>in", "in"), ("<form>f<main>m</main></form>", "m"),
+    ("<div class='page has-sidebar'><div id=sidebar><article>t</article></div><article>a</article></div>", "a"), ("</p></div>x<", "x<"), ("<div class=shadow>s</div>", "s"),
 ])
 def test_page_text(page, text):
     assert html_extract.text_of(html_extract.parse(page), frozenset()) == text
