@@ -120,28 +120,35 @@ class _Hubs:
         """Of each other root, the hub most similar to a node, if that is similar enough."""
         if all(r == root for r in self.roots):
             return []
-        n = len(self.sets)
-        if not self._list or n - self._list[3] > 8 + self._list[3] // 8:  # the newest hubs are held against one by one
+        n, mine = len(self.sets), len(elements)
+        known = self._list[3] if self._list else 0
+        if n - known > 16 + known // 8:  # fewer new hubs are held against one by one
             flat = np.concatenate(self.sets)
             of = np.repeat(np.arange(n), [len(x) for x in self.sets])
             order = np.argsort(flat, kind="stable")
             self._list = flat[order], of[order], np.array([len(x) for x in self.sets]), n
-        flat, of, size, known = self._list
-        lo, hi = np.searchsorted(flat, elements, "left"), np.searchsorted(flat, elements, "right")
-        idx, pos = expand(hi - lo)
-        both = np.bincount(of[lo[idx] + pos], minlength=known).astype(float)
-        size = size.astype(float)
-        if n > known:
-            both = np.append(both, [len(np.intersect1d(self.sets[i], elements, assume_unique=True)) if self.roots[i] != root
-                                    else 0 for i in range(known, n)])
-            size = np.append(size, [len(x) for x in self.sets[known:]])
-        sim = both / np.maximum(size + len(elements) - both, 1)
-        best: dict[int, int] = {}
-        for j in np.flatnonzero(sim >= CLOSE):
+            known = n
+        near: list[tuple[float, int]] = []
+        if known:
+            flat, of, size, _ = self._list
+            lo, hi = np.searchsorted(flat, elements, "left"), np.searchsorted(flat, elements, "right")
+            idx, pos = expand(hi - lo)
+            both = np.bincount(of[lo[idx] + pos], minlength=known)
+            sim = both / np.maximum(size + mine - both, 1)
+            near = [(sim[j], int(j)) for j in np.flatnonzero(sim >= CLOSE)]
+        for j in range(known, n):
+            size = len(self.sets[j])
+            if self.roots[j] != root and min(size, mine) >= CLOSE * max(size, mine):  # else too unlike in size
+                at = np.minimum(np.searchsorted(self.sets[j], elements), size - 1)
+                both = int((self.sets[j][at] == elements).sum())
+                if both >= CLOSE * (size + mine - both):
+                    near.append((both / (size + mine - both), j))
+        best: dict[int, tuple[float, int]] = {}
+        for sim, j in near:
             r = self.roots[j]
-            if r != root and (r not in best or sim[j] > sim[best[r]]):
-                best[r] = int(j)
-        return [self.nodes[j] for j in best.values()]
+            if r != root and (r not in best or sim > best[r][0]):
+                best[r] = sim, j
+        return [self.nodes[j] for _, j in best.values()]
 
 
 def _close_pairs(hubs: int):

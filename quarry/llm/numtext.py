@@ -138,9 +138,10 @@ def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     a row of k newlines has k + 1 lines, empty ones included."""
     nl = np.flatnonzero(data == 0x0A)
     rows = len(offs) - 1
-    start = np.concatenate((offs[:-1], nl + 1))
-    row = np.concatenate((np.arange(rows), np.searchsorted(offs, nl, "right") - 1))
-    order = np.lexsort((start, row))
+    # where both begin at one place, the line after a feed belongs to the row before
+    start = np.concatenate((nl + 1, offs[:-1]))
+    row = np.concatenate((np.searchsorted(offs, nl, "right") - 1, np.arange(rows)))
+    order = np.argsort(start, kind="stable")
     start, row = start[order], row[order]
     end = np.empty_like(start)
     last = np.append(row[1:] != row[:-1], True) if len(row) else np.zeros(0, bool)
@@ -165,6 +166,13 @@ def char_starts(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero((data & 0xC0) != 0x80)
 
 
+def member(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the ascending array ``ordered``."""
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
 def expand(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row index and position within the row, for rows of ``count`` entries."""
     idx = np.repeat(np.arange(len(count)), count)
