@@ -232,6 +232,35 @@ def test_lines_odd_tables(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_short_lines_with_one_changed_character(spark):
+    """Lines of 60 characters of which one inner one differs are alike (0.836 of five-character shingles)."""
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60))
+    other = line[:30] + "#" + line[31:]
+    shingles = lambda x: {x[j: j + 5] for j in range(len(x) - 4)}
+    assert len(shingles(line) & shingles(other)) >= 0.8 * len(shingles(line) | shingles(other))
+    rows = [(1, line), (2, other), (3, line[:20] + "##" + line[22:40] + "##" + line[42:])]
+    got = {r.doc_id: r.n_kept for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 0, 3: 1}
+
+
+def test_lines_of_whole_table_by_five_characters(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
+    at = sorted((i, n, x.strip(" \t\n\v\f\r")) for i, t in docs for n, x in enumerate((t or "").split("\n")))
+    at = [x for x in at if x[2]]
+    sets = {x: {x[j: j + 5] for j in range(max(1, len(x) - 4))} for _, _, x in at}
+    place = {x: n for n, x in enumerate(sets)}
+    names = list(sets)
+    links = [(a, b) for a in range(len(names)) for b in range(a)
+             if len(sets[names[a]] & sets[names[b]]) >= 0.8 * len(sets[names[a]] | sets[names[b]]) - 1e-12]
+    root = union_find(range(len(names)), links)
+    first = {}
+    for i, _, x in at:
+        first.setdefault(root[place[x]], i)
+    want = collections.Counter(first.values())
+    assert {r.doc_id: r.n_kept for r in QUERIES["op5_line_dedup"](spark, SF001).collect()} == {i: want[i] for i, _ in docs}
+
+
 def test_queries_on_whole_tables(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
     want, _ = near_classes(docs)
