@@ -261,6 +261,21 @@ def test_lines_of_whole_table_by_five_characters(spark):
     assert {r.doc_id: r.n_kept for r in QUERIES["op5_line_dedup"](spark, SF001).collect()} == {i: want[i] for i, _ in docs}
 
 
+def test_band_rows_do_not_depend_on_runs(monkeypatch):
+    rng = random.Random(9)
+    lines = [" ".join("w%d" % rng.randrange(500) for _ in range(rng.randrange(1, 12))) for _ in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["\n".join(lines)])], ["text"])
+    want = flat(line_dedup._band_rows([batch]))
+    assert len({n for _, n in want}) == len(set(lines))
+    most, whole = [], line_dedup.signatures
+    monkeypatch.setattr(line_dedup, "RUN", 7)
+    monkeypatch.setattr(line_dedup, "signatures", lambda line, h, n: most.append(n) or whole(line, h, n))
+    assert sorted(flat(line_dedup._band_rows([batch]))) == sorted(want)
+    assert max(most) == 7 and sum(most) == len(set(lines))
+    with pytest.raises(ValueError):  # the number would wrap
+        whole(np.zeros(0, np.int64), np.zeros(0, np.uint64), (1 << 20) + 1)
+
+
 def test_queries_on_whole_tables(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
     want, _ = near_classes(docs)
