@@ -7,7 +7,7 @@ lists, until the cells it took hold its budget of entries; those are reranked
 by their true distance to the original vectors.
 
 Centroids (Lloyd) and the budget, a share of all entries, are fitted on a bounded
-sample, the ``SAMPLE`` rows of smallest id hash: the share is the smallest that
+sample, the ``SAMPLE`` rows of smallest hash: the share is the smallest that
 finds ``TARGET`` of the sample's own nearest neighbours. Every row is indexed.
 Cells are laid into blocks of about ``BLOCK`` entries, large cells over several
 blocks by a hash of the id, and queries are dealt likewise, so no task holds more
@@ -15,8 +15,8 @@ than a block of entries and a share of the queries, whatever a cell holds.
 
 Defined cases: vectors that are null, zero, of another length than most of the
 sample, or hold null or non-finite components take no part, nor do null ids. Rows
-that repeat an id count once as a query, and once in a result, at their
-least distance. With fewer than k candidates all are returned; an empty
+that repeat an id and its vector are one entry. Rows that repeat an id count once as
+a query, and once in a result and towards its k, at their least distance. With fewer than k candidates all are returned; an empty
 table gives no rows. Extra columns are not read.
 """
 
@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import exact, materialise
+from quarry.llm.common import discard, exact, materialise
 
 CENTROIDS = 64
 SAMPLE = 8192
@@ -148,6 +148,7 @@ def _blocks(counts: dict[int, int], cells: int) -> tuple[np.ndarray, np.ndarray]
 def _nearest(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     """The k nearest entries (left) of each query (right) among the query's cells."""
     out_q, out_v, out_s = [], [], []
+    left = left.sort_by("vec_id")
     ids = left["vec_id"].to_numpy()
     cell = left["cell"].to_numpy()
     if len(ids) and right.num_rows:
@@ -161,8 +162,9 @@ def _nearest(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
             for i in range(len(part)):
                 ok = np.flatnonzero(np.isin(cell, wanted[at + i]) & (ids != own[at + i]))
                 d = rough[i, ok]
-                if len(ok) > k:  # all that rounding may have put behind the k-th stay
-                    edge = np.partition(d, k - 1)[k - 1]
+                head = np.flatnonzero(np.append(True, ids[ok][1:] != ids[ok][:-1])) if len(ok) else ok
+                if len(head) > k:  # all that rounding may have put behind the k-th id stay
+                    edge = np.partition(np.minimum.reduceat(d, head), k - 1)[k - 1]
                     ok = ok[d <= edge + 1e-9 * (1 + abs(edge) + norm.max())]
                 true = np.sqrt(((x[ok] - part[i]) ** 2).sum(1))
                 _, one = np.unique(ids[ok[np.lexsort((true, ids[ok]))]], return_index=True)
@@ -182,13 +184,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "v
     spark = vectors.sparkSession
     tidy = lambda df: df.select(exact(vec_id).cast("long").alias("vec_id"), exact(embedding).alias("e")).filter(
         "vec_id is not null and e is not null")
-    entries, asked = tidy(vectors), tidy(queries)
-    sample = (entries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow())
+    entries, asked = materialise(tidy(vectors).distinct(), "entries"), tidy(queries)
+    # by the whole row, so an id of many vectors takes no more than its share
+    sample = (entries.orderBy(F.xxhash64("vec_id", "e"), "vec_id", "e").limit(SAMPLE).toArrow())
     kind = "query_id long, vec_id long, score double"
     size = pc.list_value_length(sample["e"]).to_numpy() if sample.num_rows else np.zeros(0, np.int64)
     dim = int(np.bincount(size).argmax()) if len(size) else 0
     x = _matrix(sample["e"].combine_chunks(), dim)[1] if dim else np.zeros((0, 0))
     if not len(x):
+        discard(entries)
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = fit(x, k)
 
@@ -201,6 +205,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "v
                      pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * dim, v.ravel())], ["cell", "vec_id", "v"])
 
     indexed = materialise(entries.mapInArrow(assign, "cell long, vec_id long, v array<double>"), "index")
+    discard(entries)
     # one count for each pair of centroids at most
     counts = {r["cell"]: r["n"] for r in indexed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())

@@ -264,6 +264,35 @@ def test_neighbours_odd_rows(spark, monkeypatch):
     assert len(ids) == len(x)
 
 
+def test_repeated_ids_against_brute_force(spark, monkeypatch):
+    """Ids stored more often than k, with one vector and with several, fill no list."""
+    monkeypatch.setattr(multi_index, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    near = [int(i) for i in np.argsort(((x - x[0]) ** 2).sum(1))[1:5]]
+    rows += [(i, x[i].tolist()) for i in near for _ in range(25)]
+    rows += [(near[0], (x[near[0]] + 1e-3 * rng.normal(size=6)).tolist()) for _ in range(25)]
+    index = multi_index.Index(np.zeros((1, 3)), np.zeros((1, 3)), 1.0)
+    monkeypatch.setattr(multi_index, "fit", lambda sample, k: seen.append(len(sample)) or index)
+    seen = []
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in multi_index.search(df, df.filter("vec_id % 20 = 0")).orderBy("rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert seen == [105]  # 80 rows and 25 other vectors of one id
+    assert set(got) == {0, 20, 40, 60}
+    for q, found in got.items():
+        best = {}
+        for i, v in rows:
+            d = float(np.sqrt(((np.array(v) - x[q]) ** 2).sum()))
+            if i != q:
+                best[i] = min(d, best.get(i, d))
+        want = sorted((d, i) for i, d in best.items())[:10]
+        assert [i for i, _ in found] == [i for _, i in want]
+        assert [s for _, s in found] == pytest.approx([d for d, _ in want], abs=1e-12)
+
+
 # pipeline and registry
 
 def test_pipeline(spark):
