@@ -90,9 +90,9 @@ def q_page_text(spark, sf_dir):
 def q_docx_text(spark, sf_dir):
     d = load_table(spark, sf_dir, "documents")
     path = shared_dir(spark, "docx")
-    files.write_docx_files(d, path, "doc_id", "text")
-    r = files.read_docx(spark, path)
-    return r.select(F.regexp_extract("source", r"/(-?\d+)\.docx$", 1).cast("bigint").alias("doc_id"), "content")
+    files.write_docx_rows(d, path, "doc_id", "text")
+    r = files.read_docx_rows(spark, path)
+    return r.select(F.regexp_extract("source", r"^(-?\d+)\.docx$", 1).cast("bigint").alias("doc_id"), "content")
 
 
 # --- A6 / A7 / A8 ------------------------------------------------------------------

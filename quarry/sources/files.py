@@ -87,30 +87,36 @@ def docx_text(data: bytes) -> str:
     return "\n".join(out)
 
 
-def write_docx_files(df: DataFrame, path: str, name_col: str, text_col: str) -> None:
-    """Write one DOCX per row as ``path/<name>.docx`` from the executors
-    (the folder must be shared storage on a cluster)."""
-    import os
+_DOCUMENT = T.StructType([T.StructField("source", T.StringType()), T.StructField("content", T.StringType())])
 
-    def run(rows):
-        os.makedirs(path, exist_ok=True)
-        for r in rows:
-            with open(os.path.join(path, f"{r[0]}.docx"), "wb") as f:
-                f.write(docx_bytes(r[1] or ""))
-    df.select(name_col, text_col).foreachPartition(run)
 
+def write_docx_rows(df: DataFrame, path: str, name_col: str, text_col: str) -> None:
+    """One row ``(path, content)`` per row of ``df``, the name ``<name>.docx`` and a
+    DOCX's bytes, written by Spark: ``path`` may be on any store it can write."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"path": pdf["name"] + ".docx", "content": [docx_bytes(t or "") for t in pdf["text"]]})
+    (df.select(F.col(name_col).cast("string").alias("name"), F.col(text_col).alias("text"))
+     .mapInPandas(run, "path string, content binary").write.mode("overwrite").parquet(path))
 
-def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """``(source, content)`` for each ``*.docx`` under ``path``: the binary
-    files are read by Spark and unzipped in Arrow batches on executors."""
-    raw = (spark.read.format("binaryFile").option("pathGlobFilter", "*.docx")
-           .option("recursiveFileLookup", "true").load(path).select("path", "content"))
-    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("content", T.StringType())])
 
+def _unzipped(raw: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"source": pdf["path"], "content": [docx_text(b) for b in pdf["content"]]})
-    return raw.mapInPandas(run, schema)
+    return raw.select("path", "content").mapInPandas(run, _DOCUMENT)
+
+
+def read_docx_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``(source, content)`` of each row that ``write_docx_rows`` wrote."""
+    return _unzipped(spark.read.schema("path string, content binary").parquet(path))
+
+
+def read_docx(spark: SparkSession, path: str) -> DataFrame:
+    """``(source, content)`` for each ``*.docx`` under ``path``: the binary
+    files are read by Spark and unzipped in Arrow batches on executors."""
+    return _unzipped(spark.read.format("binaryFile").option("pathGlobFilter", "*.docx")
+                     .option("recursiveFileLookup", "true").load(path))
 
 
 # --- A10 / A13 -------------------------------------------------------------------------

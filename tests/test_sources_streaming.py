@@ -28,6 +28,19 @@ def test_docx_roundtrip():
     assert files.docx_text(files.docx_bytes(text)) == text
 
 
+def test_docx_query_writes_no_file_of_its_own(spark, monkeypatch):
+    """Bytes go through Spark's writer, and read_docx reads given files."""
+    d = tempfile.mkdtemp(prefix="quarry-docx-")
+    df = spark.createDataFrame([(1, "a\nb"), (-2, None), (3, "<&>")], "doc_id long, text string")
+    files.write_docx_rows(df, f"{d}/rows", "doc_id", "text")
+    assert not [x for _, _, names in os.walk(d) for x in names if x.endswith(".docx")]
+    want = {"1.docx": "a\nb", "-2.docx": "", "3.docx": "<&>"}
+    assert {r.source: r.content for r in files.read_docx_rows(spark, f"{d}/rows").collect()} == want
+    with open(os.path.join(d, "given.docx"), "wb") as f:
+        f.write(files.docx_bytes("x\ny"))
+    assert [(r.source.split("/")[-1], r.content) for r in files.read_docx(spark, d).collect()] == [("given.docx", "x\ny")]
+
+
 def test_allowed_and_route(spark):
     names = ["a.txt", "a.PDF", "noext", "http://x/y.pdf", "http://x/y", "", "a.", "b.docx"]
     df = spark.createDataFrame([(n,) for n in names], "path string")
