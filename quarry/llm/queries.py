@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quarry.llm import (bestfit, dart_minhash, fertility, html_extract, line_dedup, multi_index, quality_cnn,
-                        secret_link, sp_encode, url_tree)
+from quarry.llm import (bestfit, dart_minhash, divergence, fertility, html_extract, line_dedup, multi_index, pii,
+                        quality_cnn, secret_link, sp_encode, strata_index, url_tree)
 from quarry.llm.common import table
 
 #: The vocabulary that operators 2 and 6 take; its path is a parameter of theirs.
@@ -69,12 +69,29 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
+def op11_candidate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its base spans and all spans of personal data."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.scan(docs, pii.train(docs))
+
+
+def op12_strata_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return strata_index.search(strata_index.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distances between the sources of each language, and their risen terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_dart_minhash, op4_html_extract,
                             op5_line_dedup, op6_fertility, op7_url_tree, op8_quality_cnn, op9_secret_link,
-                            op10_multi_index)
+                            op10_multi_index, op11_candidate_pii, op12_strata_search, op13_divergence_audit)
 } | {"pipeline": corpus_pipeline.run}
 
-ORACLE_SQL: dict[str, str] = {"op7_url_tree": url_tree.oracle(), "op9_secret_link": secret_link.oracle()}
+ORACLE_SQL: dict[str, str] = {"op7_url_tree": url_tree.oracle(), "op9_secret_link": secret_link.oracle(),
+                              "op12_strata_search": strata_index.oracle(), "op13_divergence_audit": divergence.oracle()}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
