@@ -77,7 +77,7 @@ def op11_candidate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_strata_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item."""
-    return strata_index.search(strata_index.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    return strata_index.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

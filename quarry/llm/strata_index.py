@@ -9,15 +9,18 @@ postings by (term, tf), each a list of places in the stratum. Searching:
 * a stratum's bound for an item is the sum, over the item's terms, of the impact of
   the largest tf that the stratum holds; strata are visited in falling order of
   bound, in waves, and an item is done once the next bound is below the
-  k-th score it has. That score is carried from batch to batch of a task;
+  k-th score it has. That score is carried on through a task;
 * each task returns k rows for each item at most, and a partial and final
   limit by rank merges them.
 
 Strata are cut where texts are cut for memory (``SEGMENT`` bytes), so a stratum,
 however common its m, is many rows of bounded size, spread as the texts were, and
-small strata have tight bounds. The build shuffles nothing: one pass
-counts terms (N and L), one writes the index. The index holds every term of every
-document; ``df`` is summed over posting lists.
+small strata have tight bounds. A search takes up ``STRATA`` of them at once, whatever a
+batch holds. The build shuffles nothing: one pass
+counts terms (N and L), one writes the index. An index to keep (``build``, ``search``) holds
+every term of every document; ``rank`` answers given items at once, and for each
+block of them writes the postings of the block's terms only. ``df`` is
+summed over posting lists.
 
 Items are answered in blocks of about ``ITEM_TERMS`` terms: what is sent to the
 tasks has that bound (one item's own terms at least), however many items there are.
@@ -32,7 +35,7 @@ each of its texts. Without documents there are no rows. Extra columns are not re
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,7 +48,8 @@ from quarry.llm.common import exact, materialise
 from quarry.llm.numtext import expand
 from quarry.llm.terms import ALNUM, count_terms, counted, term_runs, text_runs
 
-SEGMENT = 1 << 22
+SEGMENT = 1 << 21
+STRATA = 64
 ITEM_TERMS = 1 << 18
 WAVE = 4
 SCALE = 1_000_000_000
@@ -64,7 +68,7 @@ class Index:
 def normalisers(n: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
     """m of documents with ``n`` terms each; the product is taken in whole numbers of any size."""
     lengths, at = np.unique(n, return_inverse=True)
-    m = np.array([100 - 90 + (90 * int(x) * n_docs) // n_terms for x in lengths], np.int64)
+    m = np.array([100 - 90 + (90 * int(x) * n_docs) // max(n_terms, 1) for x in lengths], np.int64)
     return m[at] if len(m) else np.zeros(0, np.int64)
 
 
@@ -77,11 +81,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([docs]), pa.array([terms])], ["docs", "terms"])
 
 
-def _segment(ids: pa.Array, data: np.ndarray, offs: np.ndarray, n_docs: int, n_terms: int) -> pa.RecordBatch:
-    """The strata of one run of texts."""
+def _segment(ids: pa.Array, data: np.ndarray, offs: np.ndarray, n_docs: int, n_terms: int, only: pa.Array | None) -> pa.RecordBatch:
+    """The strata of one run of texts, with the postings of ``only`` if that is given."""
     terms, row = term_runs(data, offs, ALNUM)
     names, code, row, tf = counted(terms, row)
     n = np.bincount(row, tf, minlength=len(offs) - 1).astype(np.int64)
+    if only is not None:
+        asked = pc.is_in(names, only).to_numpy(zero_copy_only=False)[code]
+        code, row, tf = code[asked], row[asked], tf[asked]
     m = normalisers(n, n_docs, n_terms)
     some = np.flatnonzero(n > 0)
     by_m = some[np.argsort(m[some], kind="stable")]  # documents by stratum
@@ -104,16 +111,23 @@ def _segment(ids: pa.Array, data: np.ndarray, offs: np.ndarray, n_docs: int, n_t
                                       ["m", "docs", "postings"])
 
 
-def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
-    """Index every document: two passes over the texts, no shuffle."""
-    n_docs, n_terms = docs.select(exact(text)).mapInArrow(_counts, "docs long, terms long").agg(
-        F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
+def totals(docs: DataFrame, text: str = "text") -> tuple[int, int]:
+    """(N, L): documents with a term, and all their terms."""
+    return tuple(docs.select(exact(text)).mapInArrow(_counts, "docs long, terms long").agg(
+        F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first())
+
+
+def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", only: pa.Array | None = None,
+          counts: tuple[int, int] | None = None) -> Index:
+    """Index every document (of the terms ``only``, if given), without a shuffle."""
+    n_docs, n_terms = counts or totals(docs, text)
     kind = docs.select(exact(doc_id)).schema[0].dataType.simpleString()
+    asked = None if only is None else only.cast(pa.large_string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offs in text_runs(b.column(1), SEGMENT):
-                out = _segment(b.column(0).slice(i, j - i), data, offs, n_docs, n_terms)
+                out = _segment(b.column(0).slice(i, j - i), data, offs, n_docs, n_terms, asked)
                 if len(out):
                     yield out
 
@@ -121,13 +135,18 @@ def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
     return Index(materialise(strata, "strata"), n_docs, n_terms)
 
 
+def _runs(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(b), STRATA):
+        yield b.slice(at, STRATA)
+
+
 def document_frequency(index: Index, terms: list[str]) -> dict[str, int]:
     """In how many documents each of ``terms`` is (those in any)."""
     known = pa.array(terms, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(known), np.int64)
-        for b in batches:
+        for b in (r for whole in batches for r in _runs(whole)):
             p = b.column(0).flatten()
             code = pc.index_in(p.field("term"), known).fill_null(-1).to_numpy(zero_copy_only=False)
             size = pc.list_value_length(p.field("docs")).to_numpy(zero_copy_only=False)
@@ -240,47 +259,62 @@ def _item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[tuple[li
         yield ids, terms
 
 
-def search(index: Index, items: DataFrame, k: int = 10, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """item_id, rank, doc_id, score: each item's ``k`` best documents of score above 0."""
-    spark = index.strata.sparkSession
-    item_kind = items.select(exact(item_id)).schema[0].dataType
-    doc_kind = index.strata.schema["docs"].dataType.elementType
-    schema = f"n long, item_id {item_kind.simpleString()}, doc_id {doc_kind.simpleString()}, score long"
-    parts, number = [], 0
+def _answers(index: Index, ids: list, texts: list[pa.Array], number: int, k: int, item_type: str) -> DataFrame:
+    """(n, item_id, doc_id, score): for each task, the ``k`` best of each item of a
+    block; n numbers the items, from ``number``."""
+    sc = index.strata.sparkSession.sparkContext
+    terms = pa.concat_arrays(texts).unique()
+    df = document_frequency(index, terms.to_pylist())
+    terms = sorted(df)  # a term of no document adds nothing
+    known = pa.array(terms, pa.string())
+    w = np.array([weight(df[t], index.n_docs) for t in terms], np.int64)
+    codes = [pc.index_in(t, known).drop_null().to_numpy(zero_copy_only=False).astype(np.int64) for t in texts]
+    sent = sc.broadcast((ids, codes, terms, w))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, codes, terms, w = sent.value
+        known, best = pa.array(terms, pa.string()), [_Best(k) for _ in ids]
+        for b in (r for whole in batches for r in _runs(whole)):
+            _visit(b, known, codes, w, best)
+        rows = [len(x.score) for x in best]
+        if sum(rows):
+            of = np.repeat(np.arange(len(ids)), rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(of + number), pa.array([ids[i] for i in of]),
+                 pa.concat_arrays([x.doc for x in best if len(x.doc)]), pa.array(np.concatenate([x.score for x in best]))],
+                ["n", "item_id", "doc_id", "score"])
+
+    doc_type = index.strata.schema["docs"].dataType.elementType.simpleString()
+    return index.strata.mapInArrow(run, f"n long, item_id {item_type}, doc_id {doc_type}, score long")
+
+
+def _ranked(index_of: Callable[[pa.Array], Index], docs_type: str, items: DataFrame, k: int, item_id: str, text: str) -> DataFrame:
+    """Answer items block by block, each from the index that ``index_of`` gives for its terms."""
+    item_type = items.select(exact(item_id)).schema[0].dataType.simpleString()
+    out, number = None, 0
     for ids, texts in _item_blocks(items, item_id, text):
-        terms = pa.concat_arrays(texts).unique()
-        df = document_frequency(index, terms.to_pylist())
-        terms = pa.array(sorted(df), pa.string())  # a term of no document adds nothing
-        w = np.array([weight(df[t], index.n_docs) for t in terms.to_pylist()], np.int64)
-        coded = [c[c >= 0] for c in (pc.index_in(t, terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-                                     for t in texts)]
-        sent = spark.sparkContext.broadcast((ids, coded, terms.to_pylist(), w))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, number=number) -> Iterator[pa.RecordBatch]:
-            ids, coded, terms, w = sent.value
-            known, best = pa.array(terms, pa.string()), [_Best(k) for _ in ids]
-            for b in batches:
-                _visit(b, known, coded, w, best)
-            rows = [len(x.score) for x in best]
-            if sum(rows):
-                of = np.repeat(np.arange(len(ids)), rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(of + number), pa.array([ids[i] for i in of]),
-                     pa.concat_arrays([x.doc for x in best if len(x.doc)]), pa.array(np.concatenate([x.score for x in best]))],
-                    ["n", "item_id", "doc_id", "score"])
-
-        parts.append(index.strata.mapInArrow(run, schema))
-        number += len(ids)
-    if not parts:
-        return spark.createDataFrame([], f"item_id {item_kind.simpleString()}, rank int, doc_id {doc_kind.simpleString()}, score long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        part = _answers(index_of(pa.concat_arrays(texts).unique()), ids, texts, number, k, item_type)
+        out, number = part if out is None else out.unionByName(part), number + len(ids)
+    if out is None:
+        return items.sparkSession.createDataFrame([], f"item_id {item_type}, rank int, doc_id {docs_type}, score long")
     best = Window.partitionBy("n").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return (out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"))
 
 
+def search(index: Index, items: DataFrame, k: int = 10, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """item_id, rank, doc_id, score: each item's ``k`` best documents of score above 0."""
+    kind = index.strata.schema["docs"].dataType.elementType.simpleString()
+    return _ranked(lambda _: index, kind, items, k, item_id, text)
+
+
+def rank(docs: DataFrame, items: DataFrame, k: int = 10, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """As ``search`` of an index of ``docs``, which holds the terms of ``items`` alone."""
+    counts = totals(docs, text)
+    kind = docs.select(exact(doc_id)).schema[0].dataType.simpleString()
+    return _ranked(lambda terms: build(docs, doc_id, text, terms, counts), kind, items, k, item_id, text)
+
+
 def oracle() -> str:
     """DuckDB SQL for ``search`` of the benchmark's items over documents."""
     terms = r"""unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
