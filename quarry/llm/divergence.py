@@ -41,7 +41,7 @@ from quarry.llm.numtext import Spans, U, mix, utf8
 from quarry.llm.terms import LETTERS, counted, term_runs, text_runs
 
 LEAST = 30
-SHARD = 1 << 14
+SHARD = 1 << 12
 LEVELS = 32
 SENT = 1 << 26
 DENSE = 1 << 26
@@ -59,6 +59,11 @@ def _place(h: np.ndarray, level: int, size: int) -> np.ndarray:
     return (mix(h ^ mix(np.array([level + 1], U))) % U(size)).astype(np.int64)
 
 
+def part_of(h: np.ndarray, parts: np.ndarray | int) -> np.ndarray:
+    """The shard of the terms of these hashes, of so many."""
+    return (mix(h + U(1)) % np.asarray(parts).astype(U)).astype(np.int64)
+
+
 @dataclass
 class PerfectHash:
     """Bits of each level and, in slot order, the terms; those whose 64-bit
@@ -92,9 +97,9 @@ class PerfectHash:
         self._tail = self.terms.slice(n)
         self._known = n
 
-    def slots(self, terms: pa.Array) -> np.ndarray:
-        """The slot of each of ``terms``, -1 for those not held."""
-        h, slot = term_hash(terms), np.full(len(terms), -1, np.int64)
+    def slots(self, terms: pa.Array, h: np.ndarray | None = None) -> np.ndarray:
+        """The slot of each of ``terms`` (whose hashes are ``h``), -1 for those not held."""
+        h, slot = term_hash(terms) if h is None else h, np.full(len(terms), -1, np.int64)
         open_ = np.arange(len(terms))
         for level, (bits, before) in enumerate(zip(self.levels, self._before, strict=True)):
             at = _place(h[open_], level, len(bits))
@@ -151,13 +156,20 @@ def _build(table: pa.Table) -> pa.Table:
                      "terms": pa.array([p.terms.to_pylist()], pa.list_(pa.string())), "rest": pa.array([p.rest], pa.int32())})
 
 
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, term, parts) to (lang, part, term)."""
+    for b in batches:
+        part = part_of(term_hash(b.column(1)), b.column(2).to_numpy())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(part.astype(np.int32)), b.column(1)], ["lang", "part", "term"])
+
+
 def perfect_hashes(kept: DataFrame, shard: int = SHARD) -> DataFrame:
     """(lang, part, levels, sizes, terms, rest) of each shard of kept terms (lang, term),
     with ``parts``, the language's shards, and ``vocabulary``, its kept terms."""
     per = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("vocabulary")).withColumn(
         "parts", F.ceil(F.col("vocabulary") / shard).cast("int"))
-    dealt = kept.join(per, "lang").withColumn("part", F.pmod(F.xxhash64("term"), F.col("parts")).cast("int"))
-    built = dealt.select("lang", "part", "term").groupBy("lang", "part").applyInArrow(
+    dealt = kept.join(per, "lang").select("lang", "term", "parts").mapInArrow(_dealt, "lang string, part int, term string")
+    built = dealt.groupBy("lang", "part").applyInArrow(
         _build, "lang string, part int, levels array<binary>, sizes array<int>, terms array<string>, rest int")
     return built.join(per, "lang")
 
@@ -217,18 +229,23 @@ def _recount(sent) -> object:
                     mine = np.flatnonzero(of_lang == li)
                     own, back = np.unique(code[mine], return_inverse=True)
                     words = known.take(pa.array(own))
-                    for part, table in held[name].items():
-                        slot = table.slots(words)[back]
-                        hit = np.flatnonzero(slot >= 0)
-                        order = hit[np.argsort(of[mine][hit], kind="stable")]
-                        g = of[mine][order]
-                        cuts = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else []
-                        for lo, hi in zip(cuts, [*cuts[1:], len(g)], strict=True):
-                            where = name, part, sources[group[g[lo]] % len(sources)]
-                            if where not in dense:
-                                dense[where] = np.zeros(len(table.terms), np.int64)
-                                used += dense[where].nbytes
-                            dense[where][slot[order[lo:hi]]] += n[mine][order[lo:hi]]  # a slot is once in a group's entries
+                    h = term_hash(words)
+                    part, slot = part_of(h, parts[name]), np.full(len(own), -1, np.int64)
+                    for p in np.unique(part):
+                        if p in held[name]:
+                            some = np.flatnonzero(part == p)
+                            slot[some] = held[name][p].slots(words.take(pa.array(some)), h[some])
+                    hit = np.flatnonzero(slot[back] >= 0)
+                    # entries by (group, shard); a slot is once in each
+                    order = hit[np.lexsort((part[back][hit], of[mine][hit]))]
+                    g, q = of[mine][order], part[back][order]
+                    cuts = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (q[1:] != q[:-1]))) if len(g) else []
+                    for lo, hi in zip(cuts, [*cuts[1:], len(g)], strict=True):
+                        where = name, int(q[lo]), sources[group[g[lo]] % len(sources)]
+                        if where not in dense:
+                            dense[where] = np.zeros(len(held[name][q[lo]].terms), np.int64)
+                            used += dense[where].nbytes
+                        dense[where][slot[back][order[lo:hi]]] += n[mine][order[lo:hi]]
                 if used > DENSE:
                     yield from flush()
                     dense, used = {}, 0
