@@ -2,19 +2,22 @@
 import collections
 import hashlib
 import html
+import math
+import random
 import re
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from conftest import SF001, SF01
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.llm import fertility, html_extract, quality_cnn, sp_encode
+from quarry.llm import fertility, html_extract, numtext, quality_cnn, sp_encode
 from quarry.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -132,13 +135,13 @@ def plain_base(text):
 
 
 def plain_measures(text):
-    ids = SP.encode(text or "")
-    if not (text or "").strip(" \t\n\v\f\r"):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    ids = [i for w in words for i in SP.encode(w)]
+    if not ids:
         return 0, 0.0, 0.0, 0.0
     p = np.array(list(collections.Counter(ids).values())) / len(ids)
-    fallback = sum(SP.is_byte(i) for i in ids) - sum(text.count(c) for c in "\n\t\v\f\r")
     entropy = -(p * np.log2(p)).sum() / np.log2(len(ids)) if len(ids) > 1 else 0.0
-    return len(ids), len(text) / len(ids), max(0, fallback) / len(ids), abs(entropy)
+    return len(ids), sum(map(len, words)) / len(ids), sum(SP.is_byte(i) for i in ids) / len(ids), abs(entropy)
 
 
 def test_fertility_query(spark):
@@ -153,11 +156,13 @@ def test_fertility_query(spark):
         assert (r.n_tokens, r.chars_per_token, r.byte_share, r.entropy) == pytest.approx(plain_measures(docs[r.doc_id].text))
         if not r.base_failed:
             for m in fertility.MEASURES:
-                bands[r.lang_or_script][m].append(r[m])
+                bands[r.lang_or_script, int(math.log2(r.n_tokens))][m].append(r[m])
     for r in rows:
         kept = not r.base_failed
         for m, least in fertility.LEAST.items():
-            v = np.sort(bands[r.lang_or_script][m])
+            v = np.sort(bands[r.lang_or_script, int(math.log2(max(r.n_tokens, 1)))][m])
+            if len(v) < fertility.ENOUGH:
+                continue
             low, high = (v[int(np.ceil(q * len(v))) - 1] for q in (0.25, 0.75))
             reach = fertility.WIDTH * max(high - low, least)
             kept &= low - reach <= r[m] <= high + reach
@@ -177,10 +182,34 @@ def test_fertility_odd_rows(spark):
     assert fertility.judge(df.limit(0), MODEL).count() == 0
 
 
-def test_long_texts_are_measured_whole(monkeypatch):
-    monkeypatch.setattr(fertility, "STRETCH", 100)
-    whole = plain_measures("the cat sat on " * 100)
-    assert fertility.token_measures("the cat sat on " * 100, MODEL) == pytest.approx(whole, rel=0.05)
+def test_texts_are_measured_in_any_cut(monkeypatch):
+    texts = ["the cat sat on " * 100, "", "日本語\tthe " * 40, "x", "  \n", "the cat é🙂 \u200b"]
+    data, offs = numtext.utf8(pa.array(texts))
+    for most in (3, 1 << 18):
+        monkeypatch.setattr(fertility, "WORDS", most)
+        got = fertility.token_measures(data, offs, fertility.tokeniser(MODEL))
+        for i, t in enumerate(texts):
+            assert [got[m][i] for m in ("n_tokens", *fertility.MEASURES)] == pytest.approx(plain_measures(t))
+
+
+def test_fertility_rejects_what_does_not_fit(spark):
+    """Texts under a wrong language, mojibake and shuffled characters go; the clean ones they were made of stay."""
+    rng = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    clean = {r.doc_id: r for r in QUERIES["op6_fertility"](spark, "/root/testdata/sf0.1").collect() if r.kept and r.n_tokens > 600}
+    of = collections.defaultdict(list)
+    for r in docs.filter(docs.doc_id.isin([*clean][:400])).collect():
+        of[r.lang].append(r)
+    bad = [(10**6 + i, t, lang, "s", 0) for i, (t, lang) in enumerate(
+        [(r.text, "en") for r in of["es"][:20] + of["fr"][:20]] + [(r.text, "fr") for r in of["en"][:20]]
+        + [("".join(rng.sample(r.text, len(r.text))), "en") for r in of["en"][20:40]]
+        + [(r.text.encode().decode("latin1"), "fr") for r in of["fr"][:20]])]
+    planted = spark.createDataFrame(bad, docs.schema)
+    rows = fertility.judge(docs.unionByName(planted), MODEL).collect()
+    sound = [r for r in rows if r.doc_id >= 10**6 and not r.base_failed]
+    assert len(sound) > 90 and sum(not r.kept for r in sound) >= 0.9 * len(sound)
+    still = [r for r in rows if r.doc_id in clean]
+    assert sum(r.kept for r in still) >= 0.99 * len(still)
 
 
 # 8: byte network
