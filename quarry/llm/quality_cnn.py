@@ -226,13 +226,15 @@ def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "te
 
 
 def filter_quality(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """``docs`` without the rows that the network rejects."""
-
+    """``docs`` without the rows that the network rejects; null and empty texts are
+    scored like others, and repeated rows go or stay together."""
+    text_at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [net.scores(data, offs) for _, _, data, offs in text_blocks(b.column(text_at))]
             yield b.filter(pa.array((np.concatenate(got) if got else np.zeros(0)) >= THRESHOLD))
 
-    text_at = docs.columns.index(text)
-    return docs.mapInArrow(run, docs.schema)
+    # columns go by place: their names may hold dots or clash but for case
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
