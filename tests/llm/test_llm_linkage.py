@@ -192,7 +192,7 @@ def kept_lines(rows):
     lines = sorted(x for x in lines if x[2])
     sets = {}
     for _, _, x in lines:
-        sets.setdefault(x, {x[j: j + 8] for j in range(max(1, len(x) - 7))})
+        sets.setdefault(x, {x[j: j + 5] for j in range(max(1, len(x) - 4))})
     names = list(sets)
     links = [(a, b) for a in range(len(names)) for b in range(a)
              if len(sets[names[a]] & sets[names[b]]) >= 0.8 * len(sets[names[a]] | sets[names[b]]) - 1e-12]
