@@ -112,8 +112,10 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, text) to the (key, node) of its bands."""
     for b in batches:
         node = b.column(0).to_numpy()
+        _, once = np.unique(node, return_index=True)  # of a batch's copies one is enough
+        once = np.sort(once)
         for i, j, data, offs in text_blocks(b.column(1)):
-            _, pick = np.unique(node[i:j], return_index=True)  # copies within a block: one is enough
+            pick = once[(once >= i) & (once < j)] - i
             row, item, weight, words = _weighted(data, offs)
             ok = np.zeros(j - i, bool)
             ok[pick] = True
@@ -185,20 +187,17 @@ def text_classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFr
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its class),
-    class_size (rows), n_links (verified near links of its text to other texts), kept
-    (the first row of its class; one of equal rows only)."""
-    root, links = text_classes(docs, text)
-    degree = (links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node")
-              .agg(F.count(F.lit(1)).alias("n_links")))
+    class_size (rows), kept (the first row of its class; one of equal rows only)."""
+    root, _ = text_classes(docs, text)
     rows = docs.select(exact(doc_id).alias("doc_id"), _node(exact(text)).alias("node"))
     # rows of a text are counted before anything is joined, so copies cost one row each map task
     by_text = (rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-               .join(root, "node", "left").join(degree, "node", "left")
+               .join(root, "node", "left")
                .withColumn("root", F.coalesce("root", "node")))
     by_class = by_text.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"))
-    known = by_text.select("node", "root", "n_links").join(by_class, "root")
+    known = by_text.select("node", "root").join(by_class, "root")
     out = rows.join(known, "node").select(
-        "doc_id", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "root",
+        "doc_id", "class_id", "class_size", "root",
         F.col("doc_id").eqNullSafe(F.col("class_id")).alias("top"))
     # only a class's rows of the smallest doc_id, repeated rows, are numbered
     nth = F.row_number().over(Window.partitionBy("root", F.when(~F.col("top"), F.xxhash64("doc_id", F.rand(7))))

@@ -224,7 +224,9 @@ def components(edges: DataFrame) -> DataFrame:
         e, made = after, True
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out._llm_path = e._llm_path
+            return out
         state = now
 
 
@@ -259,12 +261,14 @@ def classes(bands: DataFrame, texts: Callable[[np.ndarray], DataFrame], similar:
         return rows.join(several.select("key"), "key", "left_semi")
 
     links = verified(todo)
+    discard(todo)
     root = components(links)
     # of two or three nodes every pair has been checked: hub, and node before
     left = divided(members.select("key", F.explode(F.array("hub", "node")).alias("node")).distinct(), 4)
-    hubs, sets = HUBS, None
+    hubs, sets, source = HUBS, None, members
     while True:
         left = materialise(left, "divided")
+        discard(source)  # all that ``left`` was made of, but for the links and roots
         if left.isEmpty():
             break
         if sets is None:
@@ -272,11 +276,14 @@ def classes(bands: DataFrame, texts: Callable[[np.ndarray], DataFrame], similar:
         close = materialise(left.join(sets, "node").select("key", "node", "root", "elements")
                             .repartition("key").sortWithinPartitions("key", "node")
                             .mapInArrow(_close_pairs(hubs), "key long, hub long, node long, rest boolean"), "members")
+        discard(left)
         found = verified(pairs(close.filter("not rest")))
         if not found.isEmpty():
-            links = links.unionByName(found)
+            links, before = links.unionByName(found), root
             root = components(links)
-        left, hubs = divided(close.filter("rest").select("key", "node"), 2), hubs * 8
-    for done in (members, todo, held, left):
-        discard(done)
+            discard(before)
+        source, left, hubs = close, divided(close.filter("rest").select("key", "node"), 2), hubs * 8
+    for done in (left, held, sets):
+        if done is not None:
+            discard(done)
     return root, links

@@ -28,7 +28,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: its class of near copies and its links."""
+    """One row per document: its class of near copies."""
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
