@@ -11,6 +11,19 @@ STOP_WORDS = [
     "with",
 ]
 
+# --- fixed values: word lists shipped with the lexical analyser (the longer ones, of quantifiers and
+# single characters, are read from files of the same form) ---
+PREPOSITIONS = "不 也 了 仍 从 以 使 则 却 又 及 对 就 并 很 或 把 是 的 着 给 而 被 让 但".split()
+SUFFIXES = ("乡 井 亭 党 区 厅 县 园 塔 家 寺 局 巷 市 弄 所 斯基 楼 江 河 海 湖 省 维奇 署 苑 街 觀 观 诺夫 路 部 镇 "
+            "阁 山 子 娃").split()
+SURNAMES = ("丁 万 万俟 上官 东方 乔 于 令狐 仲孙 任 何 余 候 傅 公冶 公孙 公羊 冯 刘 单 单于 卢 史 叶 司徒 司空 司马 吕 吴 周 唐 夏 "
+            "夏侯 太叔 姚 姜 孔 孙 孟 宇文 宋 宗政 尉迟 尹 崔 常 康 廖 张 彭 徐 慕容 戴 文 方 易 曹 曾 朱 李 杜 杨 林 梁 欧阳 武 段 毛 江 汤 "
+            "沈 淳于 潘 澹台 濮阳 熊 王 田 申屠 白 皇甫 石 秦 程 罗 肖 胡 苏 范 董 蒋 薛 袁 许 诸葛 谢 谭 贺 贾 赖 赫连 赵 轩辕 邓 邱 邵 "
+            "邹 郑 郝 郭 金 钟 钟离 钱 长孙 闻人 闾丘 阎 陆 陈 雷 韩 顾 马 高 魏 鲜于 黄 黎 龙 龚").split()
+EXTRA_STOP_WORDS = ("也 了 仍 从 以 使 则 却 又 及 对 就 并 很 或 把 是 的 着 给 而 被 让 在 还 比 等 当 与 于 但 的 地 得 是 什么 多少 "
+                    "那么 这样 这个 那个 这么").split()
+USER_WORDS = "林西强 戚发轫 芯片".split()
+
 # --- fixed values: upload extension allow-list (last suffix, case-sensitive) ---
 ALLOWED_EXTENSIONS = ["txt", "pdf", "docx"]
 

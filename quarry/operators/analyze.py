@@ -1,5 +1,4 @@
-"""Text analysis: terms, stop words, dictionary hits, index statistics
-(C6-C9, E6)."""
+"""Text analysis: terms, stop words, dictionary hits."""
 
 from __future__ import annotations
 
@@ -47,14 +46,57 @@ def dictionary_hits(df: DataFrame, text_col: str, words, keys) -> DataFrame:
     return df.select(*keys, F.explode_outer(hits).alias("word")).filter(F.col("word").isNotNull())
 
 
-def term_stats(chunks: DataFrame, text_col: str = "content", keys=("doc_id", "cont_id")) -> DataFrame:
-    """Index statistics per term: document frequency ``df`` (chunks that
-    contain it) and collection frequency ``cf`` (occurrences)."""
-    per_chunk = (chunks.select(*keys, F.explode_outer(terms(text_col)).alias("term"))
-                 .filter(F.col("term").isNotNull())
-                 .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
-    return per_chunk.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").cast("bigint").alias("cf"))
+def trie_pattern(words) -> str:
+    """A regular expression for the longest of ``words`` at a place: the words'
+    prefix tree, where a node tries its children before it ends. What a place
+    costs is the depth of the tree, not the number of words."""
+    root: dict = {}
+    for w in words:
+        node = root
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def quoted(c: str) -> str:
+        return "\\" + c if c in r"\.[]{}()<>*+-=!?^$|&#~" else c
+
+    def tree(node: dict) -> str:
+        # single children are one run of characters: no deep nesting for long words
+        ends, parts = "" in node, []
+        for c, child in sorted((c, n) for c, n in node.items() if c):
+            run = quoted(c)
+            while len(child) == 1 and "" not in child:
+                (c, child), = child.items()
+                run += quoted(c)
+            rest = tree(child) if set(child) != {""} else ""
+            parts.append(run + rest)
+        if not parts:
+            return ""
+        body = parts[0] if len(parts) == 1 and not ends else "(?:" + "|".join(parts) + ")"
+        return body + "?" if ends else body
+
+    heads = "".join(sorted(quoted(c) for c in root))
+    return f"(?=[{heads}]){tree(root)}" if root else "(?!)"
+
+
+def dictionary_matches(df: DataFrame, text_col: str, lists: DataFrame, keys) -> DataFrame:
+    """Forward maximum matches of all categories of word lists (C8, C9):
+    ``(keys..., category, word, n)``.
+
+    From left to right, the longest word of any list that starts at a place is
+    taken and the scan goes on behind it; where none starts, at the next character. A word
+    of several lists counts for each. ``lists(category, term)`` is a dictionary, so it
+    is bounded: it is read by the driver and becomes one expression, and each
+    text is scanned once whatever the number of words.
+    """
+    by: dict[str, list[str]] = {}
+    for r in lists.select("category", "term").distinct().collect():
+        by.setdefault(r["term"], []).append(r["category"])
+    found = F.regexp_extract_all(F.col(text_col), F.lit(trie_pattern(by)), F.lit(0))
+    hits = (df.select(*keys, F.explode_outer(found).alias("word")).filter(F.col("word").isNotNull())
+            .groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n")))
+    return hits.join(F.broadcast(lists.select("category", F.col("term").alias("word")).distinct()), "word").select(
+        *keys, "category", "word", "n")
 
 
 def write_word_lists(spark: SparkSession, path: str, lists: dict) -> None:

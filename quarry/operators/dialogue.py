@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.fixed import MODEL_SPEAKER_FMT, USER_SPEAKER
+from quarry.plans.strategy import _checkpointed, group_running_sum
 
 
 def dialogue_log(pairs: DataFrame, models, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -33,6 +36,30 @@ def history(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
                         .alias("history"))
 
 
+def recent_history(turns: DataFrame, most: int, conv: str = "conv_id", turn: str = "turn", role: str = "role",
+                   text: str = "text") -> DataFrame:
+    """The last earlier turns of a conversation that fit in ``most`` characters (I2), as
+    ``role: text`` lines of which each counts one more for its end:
+    ``(conv, turn, n_prev, history)``.
+
+    By running lengths (distributed, with a carry) a turn needs the lines that
+    begin at most ``most`` before it, so it meets lines of its own stretch of that length and
+    of the one before, by an equi-join on (conversation, stretch). What a turn gets is
+    bounded by ``most``, so the result is linear however long the conversation."""
+    line = F.concat(F.col(role), F.lit(": "), F.col(text))
+    x = group_running_sum(turns.select(conv, turn, line.alias("_line")), [conv], [turn], F.length("_line") + 1, "_at")
+    x = x.withColumn("_b", F.floor(F.col("_at") / most).cast("long"))
+    x = _checkpointed(x)
+    asks = x.select(conv, turn, "_at", F.explode(F.array(F.col("_b"), F.col("_b") - 1)).alias("_b"))
+    lines = x.select(F.col(conv).alias("_c"), F.col(turn).alias("_t"), F.col("_at").alias("_s"), "_b", "_line")
+    near = asks.join(lines, asks[conv].eqNullSafe(lines["_c"]) & (asks["_b"] == lines["_b"])).filter(
+        (F.col("_t") < F.col(turn)) & (F.col("_at") - F.col("_s") <= most))
+    got = near.groupBy(conv, turn).agg(F.array_sort(F.collect_list(F.struct("_t", "_line"))).alias("_h"))
+    return x.select(conv, turn).join(got, [conv, turn], "left").select(
+        conv, turn, F.coalesce(F.size("_h"), F.lit(0)).cast("bigint").alias("n_prev"),
+        F.coalesce(F.array_join(F.transform("_h", lambda h: h["_line"]), "\n"), F.lit("")).alias("history"))
+
+
 def render_log_lines(events: DataFrame, name: str = "quarry") -> DataFrame:
     """``{time} - {name} - {level} - {message}`` lines."""
     line = F.concat_ws(" - ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(name),
@@ -58,3 +85,28 @@ def retained(logs: DataFrame, ts: str, days: int) -> DataFrame:
     is a scalar subquery."""
     newest = logs.agg(F.max(ts)).scalar()
     return logs.filter(F.col(ts) >= newest - F.expr(f"INTERVAL {int(days)} DAYS"))
+
+
+def write_log_files(logs: DataFrame, path: str) -> None:
+    """Log rows under ``day=<d>/level=<l>`` (I3): a run replaces the (day, level) folders it
+    has rows for and leaves the others."""
+    (logs.repartition("day", "level").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("day", "level").parquet(path))
+
+
+def expire_log_files(spark: SparkSession, path: str, days: int) -> int:
+    """Delete the day folders that are ``days`` or more older than the newest; how many."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = {s.getPath().getName().removeprefix("day="): s.getPath() for s in fs.listStatus(p)
+             if s.getPath().getName().startswith("day=")}
+    if not found:
+        return 0
+    keep = datetime.date.fromisoformat(max(found)) - datetime.timedelta(days=days)
+    old = [q for d, q in found.items() if datetime.date.fromisoformat(d) <= keep]
+    return sum(bool(fs.delete(q, True)) for q in old)
+
+
+def read_log_files(spark: SparkSession, path: str) -> DataFrame:
+    """The log rows; filters on ``day`` and ``level`` prune folders."""
+    return spark.read.schema("event_id long, time timestamp_ntz, name string, message string, day date, level string").parquet(path)

@@ -3,11 +3,11 @@ blocks, not PDF bytes (byte decoding is outside the engine)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.fixed import TABLE_BOTTOM_GAP
-from quarry.plans.strategy import forward_fill, group_row_number, islands
+from quarry.plans.strategy import forward_fill, group_row_number, islands, ordered_sessions
 
 
 def fill_header(cells: DataFrame, table_cols, order_cols, text: str, out: str = "header") -> DataFrame:
@@ -53,17 +53,28 @@ def merge_continued(parts: DataFrame, doc: str = "doc", page: str = "page", head
     """Join a table continued on the next page (H4): a part continues the
     previous one when it is on the following page, has an equal header,
     and the previous part ends within ``gap`` of its page bottom. Adds
-    ``table_page`` = page of the first part of the merged table. The
-    window runs over table parts of one document (a page count)."""
-    w = Window.partitionBy(doc).orderBy(page)
-    prev_ok = ((F.lag(page).over(w) == F.col(page) - 1)
-               & (F.lag(header).over(w) == F.col(header))
-               & (F.lag(F.col(page_height) - F.col(y_bottom)).over(w) <= gap))
-    brk = F.when(prev_ok, F.lit(0)).otherwise(F.lit(1))
-    x = parts.withColumn("_brk", brk).withColumn(
-        "_grp", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    first = Window.partitionBy(doc, "_grp")
-    return x.withColumn("table_page", F.min(page).over(first)).drop("_brk", "_grp")
+    ``table_page``, the page of the merged table's first part. No window over a document:
+    see ``ordered_sessions``."""
+    room = F.col(page_height) - F.col(y_bottom)
+
+    def goes_on(prev: Column) -> Column:
+        return (prev["doc"].eqNullSafe(F.col(doc)) & (prev["page"] == F.col(page) - 1)
+                & (prev["header"] == F.col(header)) & (prev["room"] <= gap))
+
+    state = [F.col(doc).alias("doc"), F.col(page).alias("page"), F.col(header).alias("header"), room.alias("room")]
+    x = ordered_sessions(parts, [doc, page], goes_on, state, "_run", first=page)
+    return x.withColumnRenamed(f"{page}_of_run", "table_page").drop("_run")
+
+
+def merged_tables(cells: DataFrame, parts: DataFrame, value_cols, page_rows: int = 50, doc: str = "doc", page: str = "page",
+                  row: str = "row") -> DataFrame:
+    """The rows of continued tables concatenated in order and rendered (H4):
+    ``(doc, page, piece, markdown)`` with the table's first page, in pieces of
+    ``page_rows`` rows. ``cells`` has (doc, page, row, values), ``parts`` a row with
+    ``table_page`` for each (doc, page)."""
+    x = cells.join(parts.select(doc, page, "table_page"), [doc, page]).withColumn("_ord", F.struct(page, row))
+    m = markdown_pages(x.drop(page).withColumnRenamed("table_page", "_tbl"), [doc, "_tbl"], "_ord", value_cols, page_rows)
+    return m.select(doc, F.col("_tbl").alias("table_page"), F.col("page").alias("piece"), "markdown").withColumnRenamed("table_page", page)
 
 
 def page_layout(blocks: DataFrame, skip: DataFrame, doc: str = "doc", page: str = "page",

@@ -1,122 +1,266 @@
-"""Full-text ranking over a chunk table (E4-E7): a whole table of
-questions is answered in one job.
+"""Full-text ranking over a chunk table (E4-E7), from a store that is built once
+and appended to (A14, A16).
 
-Plan shape (``bm25_topk``)::
+``LexicalStore`` keeps posting lists. The terms of each run of up to ``SHARD``
+chunks of a task are turned into one shard: a row for each of its terms with the
+chunks that hold it. An append tokenizes the new chunks only and shuffles
+nothing; a long document's chunks are simply several shards. Everything that
+ranking needs merges over shards and segments: N and the length sum are kept in the
+manifest, ``df`` and ``cf`` are sums of columns. ``compact`` merges small shards.
 
-    chunks --in-row term counts--> postings(keys, dl, term, tf)   one shuffle of chunk text, written by chunk
-    questions --> qterms(qid, term, qtf)                          written
-    postings ⋉ query vocabulary --groupBy(term)--> df             partial agg, small shuffle
-    postings ⋈ qterms + idf  --> BM25 contributions
-       --groupBy(qid, keys) sum-->                                inside the postings bucket, if the terms are broadcast
-       --row_number() <= k per qid-->                             partial + final WindowGroupLimit
-
-The question side is written first, so the planner knows its size and broadcasts
-it under its own threshold; beyond that the join is by term, and adaptive
-execution splits the postings of a hot term. N and avgdl are scalar subqueries.
+A search runs no tokenizer on the corpus: the question terms (in blocks of
+bounded size) select posting lists map-side, these go to their shard's task,
+and each question's sums stay in that task; only its k best chunks leave.
+A shard holds a bounded number of chunks however hot a term or a document is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.functions.fixed import LEXICAL_TOPK
 from quarry.functions.text import terms
-from quarry.plans.strategy import _checkpointed, rounded, top_k
+from quarry.plans.strategy import top_k
+from quarry.session import shared_dir
+from quarry.sources.segments import Segments
 
 K1 = 1.2
 B = 0.75
+SHARD = 8192
+BLOCK_TERMS = 200_000
 
 
-def corpus_stats(post: DataFrame):
-    """(N, avgdl) over chunks with ≥1 term, as scalar-subquery columns,
-    from postings alone: per chunk the ``tf`` sum to ``dl``, so
-    ``sum(tf / dl)`` counts chunks and ``sum(tf)`` is the total length.
-    One global aggregate, combined map-side."""
-    s = post.agg(F.struct(F.round(F.sum(F.col("tf") / F.col("dl"))).alias("n"),
-                          F.sum("tf").cast("double").alias("total")).alias("s")).scalar()
-    n = s.getField("n")
-    return n, s.getField("total") / n
+def query_terms(questions: DataFrame, qid: str, text_col: str) -> DataFrame:
+    return (questions.select(qid, F.explode_outer(terms(text_col)).alias("term"))
+            .filter(F.col("term").isNotNull())
+            .groupBy(qid, "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
-class LexicalIndex:
-    """Postings of a chunk table, tokenized once and written as a table.
+def _expand(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, .. of each run, one run after another."""
+    at = np.cumsum(count) - count
+    return np.repeat(start - at, count) + np.arange(int(count.sum()))
 
-    ``build`` repartitions the chunks by all their keys (the only shuffle of
-    the build: chunk text, not term rows, and a long document's chunks are
-    spread), counts term frequencies inside each row and writes the postings
-    bucketed by the keys under the shared checkpoint folder.
-    At query time the per-(question, chunk) sum is then co-located with its
-    bucket and needs no shuffle; the written table also cuts the lineage so
-    a lost executor never forces re-tokenizing the corpus.
-    """
 
-    def __init__(self, postings_df: DataFrame, keys):
-        self.postings = postings_df
-        self.keys = list(keys)
+def _postings(n_keys: int):
+    """(keys.., terms) rows to the posting lists of each run of SHARD chunks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        shard = TaskContext.get().partitionId() << 24
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SHARD):
+                b = whole.slice(lo, SHARD)
+                lists = b.column(n_keys)  # null for a null text
+                dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                words = lists.flatten().dictionary_encode()
+                if not len(words):
+                    continue
+                row = np.repeat(np.arange(len(dl)), dl)
+                code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                pair, tf = np.unique(code * len(dl) + row, return_counts=True)
+                code, row = pair // len(dl), pair % len(dl)
+                first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+                at = pa.array(row)
+                ends = pa.array(np.append(first, len(code)).astype(np.int32))
+                posts = pa.StructArray.from_arrays(
+                    [pa.array(row.astype(np.int32)), pa.array(dl[row].astype(np.int32)), pa.array(tf.astype(np.int32)),
+                     *(b.column(i).take(at) for i in range(n_keys))],
+                    ["pos", "dl", "tf", *(f"k{i}" for i in range(n_keys))])
+                n = len(first)
+                # the shard's own counts stand in its first row
+                once = lambda v: pa.array(np.append(v, np.zeros(n - 1, np.int64)))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, shard)), words.dictionary.take(pa.array(code[first])),
+                     pa.array(np.diff(np.append(first, len(code)))), pa.array(np.add.reduceat(tf, first).astype(np.int64)),
+                     once(int((dl > 0).sum())), once(int(dl.sum())), pa.ListArray.from_arrays(ends, posts)],
+                    ["shard", "term", "df", "cf", "n_chunks", "n_terms", "posts"])
+                shard += 1
+    return run
+
+
+class LexicalStore:
+    """Posting lists of a growing chunk table under ``path``."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.segments = spark, Segments(spark, path)
+        facts = self.segments.manifest()["facts"]
+        self.keys: list[str] = facts["keys"]
+        self.key_types: list[str] = facts["key_types"]
 
     @classmethod
-    def build(cls, chunks: DataFrame, keys=("doc_id", "cont_id"), text_col: str = "content",
-              buckets: int | None = None, path: str | None = None) -> "LexicalIndex":
-        import uuid
-
-        from quarry.session import shared_dir
-        keys = list(keys)
-        spark = chunks.sparkSession
-        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        base = path or shared_dir(spark, "lexical-index")
-        t = chunks.repartition(n, *keys).select(*keys, terms(text_col).alias("_t"))
-        # a chunk's terms are counted within its row
-        tf = F.transform(F.array_distinct("_t"), lambda x: F.struct(
-            x.alias("term"), F.size(F.filter("_t", lambda y: y == x)).cast("bigint").alias("tf")))
-        post = (t.select(*keys, F.size("_t").cast("bigint").alias("dl"), F.explode(tf).alias("_p"))
-                .select(*keys, "dl", "_p.term", "_p.tf"))
-        name = "quarry_postings_" + uuid.uuid4().hex[:12]
-        (post.write.mode("overwrite").option("path", base + "/postings")
-         .bucketBy(n, *keys).sortBy("term").saveAsTable(name))
-        return cls(spark.table(name), keys)
-
-    def stats(self):
-        return corpus_stats(self.postings)
+    def create(cls, spark: SparkSession, path: str, like: DataFrame, keys=("doc_id", "cont_id")) -> LexicalStore:
+        """An empty store for chunks with the key columns of ``like``."""
+        s = Segments(spark, path)
+        types = [like.select(k).schema[0].dataType.simpleString() for k in keys]
+        s.commit(s.manifest(), facts={"keys": list(keys), "key_types": types})
+        return cls(spark, path)
 
+    def _schema(self) -> str:
+        fields = ", ".join(f"k{i}: {t}" for i, t in enumerate(self.key_types))
+        return ("shard long, term string, df long, cf long, n_chunks long, n_terms long, "
+                f"posts array<struct<pos: int, dl: int, tf: int, {fields}>>")
 
-def query_terms(questions: DataFrame, qid: str, text_col: str) -> DataFrame:
-    return (questions.select(qid, F.explode_outer(terms(text_col)).alias("term"))
-            .filter(F.col("term").isNotNull())
-            .groupBy(qid, "term").agg(F.count(F.lit(1)).alias("qtf")))
+    def postings(self) -> DataFrame:
+        return self.segments.read("postings", self._schema())
+
+    def _commit(self, at: dict, name: str, batches: list[str], drop=()) -> None:
+        path = self.segments.folder("postings", name)
+        n, total = self.spark.read.schema("n_chunks long, n_terms long").parquet(path).agg(
+            F.coalesce(F.sum("n_chunks"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
+        self.segments.commit(at, {name: {"batches": batches, "n_chunks": n, "n_terms": total}}, drop)
+
+    def append(self, chunks: DataFrame, text_col: str = "content", batch: str | None = None) -> bool:
+        """Tokenize and add chunks; False if a batch of this name is live already."""
+        at = self.segments.manifest()
+        if batch is not None and any(batch in f["batches"] for f in at["segments"].values()):
+            return False
+        name = self.segments.new_name()
+        (chunks.select(*self.keys, terms(text_col).alias("_t")).mapInArrow(_postings(len(self.keys)), self._schema())
+         .write.parquet(self.segments.folder("postings", name)))
+        self._commit(at, name, [batch or name])
+        return True
+
+    def stats(self) -> tuple[int, float]:
+        """(N, mean length) over chunks with a term, from the manifest alone."""
+        live = self.segments.manifest()["segments"].values()
+        n, total = sum(f["n_chunks"] for f in live), sum(f["n_terms"] for f in live)
+        return n, total / n if n else 0.0
+
+    def term_stats(self) -> DataFrame:
+        """(term, df, cf), summed over shards."""
+        return self.postings().groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+    def compact(self, shard: int = SHARD) -> None:
+        """One segment in place of all, its shards merged up to about ``shard`` chunks."""
+        at = self.segments.manifest()
+        live = at["segments"]
+        bins = max(1, -(-sum(f["n_chunks"] for f in live.values()) // shard))
+        rows = self.postings()
+        sizes = (rows.groupBy("segment", "shard").agg(F.max(F.array_max("posts.pos")).alias("last"))
+                 .withColumn("bin", F.pmod(F.xxhash64("segment", "shard"), F.lit(bins)).cast("long")))
+        # where a shard's chunks begin in its bin: a bin has a few shards
+        before = F.expr("sum(last + 1) over (partition by bin order by segment, shard rows between unbounded preceding and 1 preceding)")
+        placed = rows.join(sizes.select("segment", "shard", "bin", F.coalesce(before, F.lit(0)).cast("int").alias("base")),
+                           ["segment", "shard"])
+        moved = F.transform("posts", lambda p: p.withField("pos", p["pos"] + F.col("base")))
+        merged = (placed.select("bin", "term", "df", "cf", "n_chunks", "n_terms", moved.alias("posts"))
+                  .groupBy(F.col("bin").alias("shard"), "term")
+                  .agg(*[F.sum(c).alias(c) for c in ("df", "cf", "n_chunks", "n_terms")],
+                       F.flatten(F.collect_list("posts")).alias("posts")))
+        name = self.segments.new_name()
+        merged.write.parquet(self.segments.folder("postings", name))
+        self._commit(at, name, [b for f in live.values() for b in f["batches"]], drop=list(live))
+        self.segments.vacuum("postings")
+
+    def drop(self) -> None:
+        self.segments.drop()
+
+    def _blocks(self, questions: DataFrame, qid: str, qtext: str) -> Iterator[tuple[list, list[list], list[list]]]:
+        """(question ids, their terms, the terms' counts), about BLOCK_TERMS terms at a time."""
+        rows = (query_terms(questions, qid, qtext).groupBy(qid)
+                .agg(F.collect_list("term").alias("t"), F.collect_list("qtf").alias("n")))
+        ids, words, counts, held = [], [], [], 0
+        for r in rows.toLocalIterator():
+            ids.append(r[0])
+            words.append(r[1])
+            counts.append(r[2])
+            held += len(r[1])
+            if held >= BLOCK_TERMS:
+                yield ids, words, counts
+                ids, words, counts, held = [], [], [], 0
+        if ids:
+            yield ids, words, counts
+
+    def search(self, questions: DataFrame, k: int = LEXICAL_TOPK, qid: str = "item_id", qtext: str = "text",
+               k1: float = K1, b: float = B) -> DataFrame:
+        """(qid, keys.., score, rank): Okapi BM25, any-term match, repeated question terms
+        counted; score to 6 places, ties by the keys."""
+        n, avgdl = self.stats()
+        q_type = questions.select(qid).schema[0].dataType.simpleString()
+        names = ", ".join(f"{c} {t}" for c, t in zip(self.keys, self.key_types, strict=True))
+        schema, out = f"{qid} {q_type}, {names}, score double", None
+        for ids, words, counts in self._blocks(questions, qid, qtext):
+            known = sorted({w for ws in words for w in ws})
+            asked = self.spark.createDataFrame([(w,) for w in known], "term string")
+            # a block's terms are bounded, so they are broadcast
+            matched = self.postings().join(F.broadcast(asked), "term")
+            df = dict(map(tuple, matched.groupBy("term").agg(F.sum("df").alias("df")).collect()))
+            code = {w: i for i, w in enumerate(known)}
+            idf = np.array([math.log(1.0 + (n - df.get(w, 0) + 0.5) / (df.get(w, 0) + 0.5)) for w in known])
+            codes = [np.array([code[w] for w in ws], np.int64) for ws in words]
+            weights = [np.array(c, np.float64) * idf[at] for c, at in zip(counts, codes, strict=True)]
+            sent = self.spark.sparkContext.broadcast((ids, known, codes, weights))
+            q_arrow = to_arrow_type(questions.select(qid).schema[0].dataType)
+            part = matched.groupBy("segment", "shard").applyInArrow(
+                _best_chunks(sent, self.keys, qid, q_arrow, k, k1, b, avgdl), schema)
+            out = part if out is None else out.unionByName(part)
+        if out is None:
+            out = self.spark.createDataFrame([], schema)
+        return top_k(out, [qid], [F.desc("score"), *self.keys], k)
 
 
-def bm25_scores(questions: DataFrame, index: LexicalIndex, qid: str = "item_id",
-                qtext: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """All (question, chunk) pairs sharing a term, with Okapi BM25 score
-    (any-term match; repeated query terms count once per occurrence)."""
-    keys = index.keys
-    # written once, so the planner knows their size and broadcasts them or not;
-    # beyond that, adaptive execution splits the postings of a hot term
-    qt = _checkpointed(query_terms(questions, qid, qtext))
-    post = index.postings.join(qt.select("term").distinct(), "term", "left_semi")
-    dfs = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n, avgdl = index.stats()
-    qs = _checkpointed(qt.join(dfs, "term")
-                       .withColumn("idf", F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-                       .select(qid, "term", "qtf", "idf"))
-    cand = index.postings.join(qs, "term")
-    contrib = (F.col("qtf") * F.col("idf") * F.col("tf")
-               / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / avgdl)))
-    return (cand.groupBy(qid, *keys).agg(F.sum(contrib).alias("score"))
-            .withColumn("score", rounded("score")))
+def _best_chunks(sent, keys: list[str], qid: str, q_type: pa.DataType, k: int, k1: float, b: float, avgdl: float):
+    """One shard's matched posting lists to the ``k`` best chunks of each question."""
+    def run(table: pa.Table) -> pa.Table:
+        ids, known, codes, weights = sent.value
+        code = pc.index_in(table["term"], pa.array(known)).to_numpy(zero_copy_only=False)
+        lists = table["posts"].combine_chunks()
+        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        posts = lists.flatten()
+        pos, dl, tf = (posts.field(f).to_numpy(zero_copy_only=False) for f in ("pos", "dl", "tf"))
+        part = tf / (tf + k1 * (1.0 - b + b * dl / avgdl))
+        start, count = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+        start[code], count[code] = np.cumsum(size) - size, size
+        # a chunk's place among the shard's chunks in key order settles ties
+        chunk, at = np.unique(pos, return_index=True)
+        columns = {c: posts.field(f"k{i}").take(pa.array(at)) for i, c in enumerate(keys)}
+        place = np.zeros(int(chunk[-1]) + 1, np.int64)
+        place[chunk] = np.arange(len(chunk))
+        order = pc.sort_indices(pa.table(columns), [(c, "ascending") for c in keys]).to_numpy()
+        rank = np.empty(len(chunk), np.int64)
+        rank[order] = np.arange(len(chunk))
+        pos = place[pos]
+        which, found, scores = [], [], []
+        for q, (mine, w) in enumerate(zip(codes, weights, strict=True)):
+            idx = _expand(start[mine], count[mine])
+            if not len(idx):
+                continue
+            total = np.bincount(pos[idx], np.repeat(w, count[mine]) * part[idx], len(chunk))
+            some = np.flatnonzero(total)
+            s = np.round(total[some], 6)
+            if len(some) > k:
+                keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+                some, s = some[keep], s[keep]
+            best = np.lexsort((rank[some], -s))[:k]
+            which += [q] * len(best)
+            found.append(some[best])
+            scores.append(s[best])
+        rows = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
+        return pa.table({qid: pa.array([ids[i] for i in which], q_type), **{c: v.take(rows) for c, v in columns.items()},
+                         "score": pa.array(np.concatenate(scores) if scores else np.zeros(0))})
+    return run
 
 
 def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int = LEXICAL_TOPK,
               qid: str = "item_id", qtext: str = "text", keys=("doc_id", "cont_id"),
               text_col: str = "content", carry=("source", "content"),
-              k1: float = K1, b: float = B) -> DataFrame:
-    """Top-k chunks per question by BM25; ties broken by chunk key.
+              k1: float = K1, b: float = B, store: LexicalStore | None = None) -> DataFrame:
+    """Top-k chunks per question by BM25; ties broken by chunk key. ``store`` holds
+    the chunks' postings; without one they are indexed for this call.
     Output ``(qid, keys..., score, rank, carry...)``."""
     keys = list(keys)
-    index = LexicalIndex.build(chunks, keys, text_col)
-    scores = bm25_scores(questions, index, qid, qtext, k1, b)
-    top = top_k(scores, [qid], [F.desc("score"), *keys], k)
+    if store is None:
+        store = LexicalStore.create(chunks.sparkSession, shared_dir(chunks.sparkSession, "lexical-store"), chunks, keys)
+        store.append(chunks, text_col)
+    top = store.search(questions, k, qid, qtext, k1, b)
     carry = [c for c in carry if c not in keys]
     if not carry:
         return top

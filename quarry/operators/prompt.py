@@ -131,6 +131,42 @@ def envelope(pairs: DataFrame) -> DataFrame:
                         F.when(ok, F.lit("")).otherwise(F.lit("no answer")).alias("error"))
 
 
+def next_event(requests: DataFrame, responses: DataFrame, key: str, ts: str, eid: str, within: int) -> DataFrame:
+    """Each request with the first response of its key at or after it, no more than
+    ``within`` seconds later (the smaller id of equal times): the columns of
+    ``requests`` and ``response_id``, ``response_ts``, ``response_type`` (null if none).
+
+    A sorted merge within (key, stretch of ``within`` seconds): a stretch is a group of
+    bounded time however hot the key. A request whose stretch holds no later response
+    looks at the first one of the next stretch, which is joined by key and stretch.
+    """
+    stretch = lambda: F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(within * 1_000_000)).cast("long")
+    reply = F.struct(F.col(ts).alias("ts"), F.col(eid).alias("id"), F.col("event_type").alias("type"))
+    rsp = responses.select(F.col(key).alias("_k"), F.col(ts).alias("_t"), stretch().alias("_b"), F.lit(1).alias("_kind"), reply.alias("_r"))
+    req = requests.select("*", F.col(key).alias("_k"), F.col(ts).alias("_t"), stretch().alias("_b"), F.lit(0).alias("_kind"))
+    w = (Window.partitionBy("_k", "_b").orderBy("_t", "_kind", F.col("_r.id"))
+         .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    merged = req.unionByName(rsp, allowMissingColumns=True).withColumn("_in", F.first("_r", True).over(w)).filter("_kind = 0")
+    nxt = rsp.groupBy("_k", (F.col("_b") - 1).alias("_b")).agg(F.min("_r").alias("_next"))
+    x = merged.join(nxt, (merged["_k"].eqNullSafe(nxt["_k"])) & (merged["_b"] == nxt["_b"]), "left")
+    hit = F.coalesce("_in", "_next")
+    near = F.unix_micros(hit["ts"].cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp")) <= within * 1_000_000
+    hit = F.when(near, hit)
+    return x.select(*requests.columns, hit["id"].alias("response_id"), hit["ts"].alias("response_ts"), hit["type"].alias("response_type"))
+
+
+def timed_envelope(paired: DataFrame, ts: str = "ts", eid: str = "event_id") -> DataFrame:
+    """The response envelope (F9, M11) of requests paired by ``next_event`` and joined to
+    their answers: status, error text, elapsed milliseconds, contexts and sources."""
+    error = (F.when(F.col("response_id").isNull(), "no response").when(F.col("response_type") == "error", "error response")
+             .when(F.col("answer").isNull(), "no answer").otherwise(""))
+    return paired.withColumn("error", error).select(
+        "qa_id", F.col(eid).alias("request_id"), "response_id", "question", F.when(F.col("error") == "", F.col("answer")).alias("answer"),
+        F.when(F.col("error") == "", "success").otherwise("fail").alias("status"), "error",
+        F.expr(f"(unix_micros(cast(response_ts as timestamp)) - unix_micros(cast({ts} as timestamp))) div 1000").alias("elapsed_ms"),
+        F.coalesce("contexts", F.lit("")).alias("contexts"), F.coalesce("sources", F.lit("")).alias("sources"))
+
+
 def progress_batches(questions: DataFrame, order_col: str, every: int = 50) -> DataFrame:
     """Batch number of each question for partial results every ``every``
     rows (F10), from a distributed global row number."""

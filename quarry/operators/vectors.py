@@ -1,5 +1,5 @@
 """Vector operators: pooling, normalisation, exact and cell-pruned
-inner-product search (D2-D5, E1-E3).
+inner-product search (D2-D5, E1-E3), and the stored collection (A15).
 
 Dense top-k never materialises (question, item) pairs as rows and never
 plans a cross join. Questions are hashed into ``qb`` blocks and items into
@@ -22,13 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.fixed import CHUNKS_PER_DOC, EMBED_DIM
 from quarry.functions.text import terms, text_hash
 from quarry.plans.strategy import top_k
+from quarry.session import shared_dir
+from quarry.sources.segments import Segments
 
 Q_ROWS = 1024
 I_ROWS = 16384
@@ -126,13 +128,13 @@ def first_pool(df: DataFrame, group: str, order: str, vec: str) -> DataFrame:
 
 def mean_pool(df: DataFrame, group: str, vec: str, mask: str | None = None) -> DataFrame:
     """Element-wise mean of each group's vectors (masked rows excluded)
-    (D3). Aggregates per (group, position) so a large group is combined
-    map-side; the re-assembled array has ``dim`` elements."""
-    src = df if mask is None else df.filter(F.col(mask) != 0)
-    cells = (src.select(group, F.posexplode(vec).alias("pos", "x"))
-             .groupBy(group, "pos").agg(F.avg(F.col("x").cast("double")).alias("x")))
-    return cells.groupBy(group).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s.getField("x")).alias(vec))
+    (D3). Whole vectors are summed map-side, so a large group ships one partial
+    mean per task, and no vector is taken apart into rows."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    src = (df if mask is None else df.filter(F.col(mask) != 0)).filter(F.col(vec).isNotNull())
+    v = array_to_vector(F.col(vec).cast("array<double>"))
+    return src.groupBy(group).agg(vector_to_array(Summarizer.mean(v)).alias(vec))
 
 
 def normalize(df: DataFrame, vec: str) -> DataFrame:
@@ -161,47 +163,183 @@ def kmeans_centroids(vectors: DataFrame, vec: str, k: int, seed: int = 42, max_i
         "cell", vector_to_array(array_to_vector("centroid")).alias("centroid"))
 
 
-def assign_cells(vectors: DataFrame, centroids: DataFrame, iid: str, vec: str) -> DataFrame:
-    """Nearest cell by inner product for every vector: ``(iid, cell, score)``."""
-    q = vectors.select(F.col(iid).alias("_q"), F.col(vec).alias("_qv"))
-    c = centroids.select(F.col("cell").alias("_c"), F.col("centroid").alias("_cv"))
-    best = dense_topk(q, c, 1, qid="_q", iid="_c", qvec="_qv", ivec="_cv")
-    return best.select(F.col("_q").alias(iid), F.col("_c").alias("cell"), "score")
+def _matrix(col: pa.Array) -> np.ndarray:
+    """The vectors of a column as rows (no nulls)."""
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 1)
 
 
-def build_ivf_index(items: DataFrame, centroids: DataFrame, iid: str, ivec: str,
-                    item_cells: DataFrame | None = None, path: str | None = None) -> DataFrame:
-    """Write every item with its cell, bucketed by cell, under the shared
-    checkpoint folder (the coarse index, built once); returns the table."""
-    import uuid
+def centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(cells ascending, their centroids): ``nlist`` rows of one width, which the
+    index's parameters bound."""
+    rows = sorted(map(tuple, centroids.select("cell", "centroid").collect()))
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
 
-    from quarry.session import shared_dir
-    spark = items.sparkSession
-    cells = item_cells if item_cells is not None else assign_cells(items, centroids, iid, ivec)
-    rows = items.select(iid, ivec).join(cells.select(iid, "cell"), iid)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = "quarry_ivf_" + uuid.uuid4().hex[:12]
-    (rows.write.mode("overwrite").option("path", path or shared_dir(spark, "ivf-index"))
-     .bucketBy(n, "cell").saveAsTable(name))
-    return spark.table(name)
+
+def _nearest(vectors: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, score) of each vector's centroid of largest inner product, the first of equals."""
+    s = np.round(vectors @ centroids.T, 6)
+    at = s.argmax(axis=1)
+    return at, s[np.arange(len(s)), at]
+
+
+def assign_cells(vectors: DataFrame, centroids: DataFrame, iid: str, vec: str) -> DataFrame:
+    """Nearest cell by inner product for every vector: ``(iid, cell, score)``, map-side
+    against the centroids (a few rows of a bounded index)."""
+    cells, matrix = centroid_matrix(centroids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, score = _nearest(_matrix(b.column(1)), matrix)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells[at]), pa.array(score)], [iid, "cell", "score"])
+
+    kind = vectors.select(iid).schema[0].dataType.simpleString()
+    return vectors.filter(F.col(vec).isNotNull()).select(iid, vec).mapInArrow(run, f"{iid} {kind}, cell long, score double")
+
+
+class CellStore:
+    """A vector collection laid out by coarse cells (D5, A15) that grows by appends.
+
+    Centroids are fitted once and kept with the store; an append finds each
+    vector's cell map-side and writes the rows partitioned by cell, a cell over
+    ``spread`` files, so the hot cell is many files too. A search sends a block of
+    questions with the cells they probe to the tasks that scan those cells' files
+    (other cells are not read) and keeps the k best of each question in the task:
+    no item is shuffled or copied. ``nprobe`` of all cells is the exact search."""
+
+    QUERIES = 4096
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.segments = spark, Segments(spark, path)
+        facts = self.segments.manifest()["facts"]
+        self.id_type, self.vec_type, self.spread = facts["id_type"], facts["vec_type"], facts["spread"]
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, like: DataFrame, iid: str, vec: str,
+               centroids: DataFrame | None = None, spread: int = 4) -> CellStore:
+        """An empty store for vectors like those of ``like``; without centroids it has one cell."""
+        s = Segments(spark, path)
+        if centroids is not None:
+            centroids.select("cell", "centroid").write.parquet(f"{s.path}/centroids")
+        kinds = [like.select(c).schema[0].dataType.simpleString() for c in (iid, vec)]
+        s.commit(s.manifest(), facts={"id_type": kinds[0], "vec_type": kinds[1], "spread": spread, "cells": centroids is not None})
+        return cls(spark, path)
+
+    def centroids(self) -> tuple[np.ndarray, np.ndarray] | None:
+        if not self.segments.manifest()["facts"]["cells"]:
+            return None
+        return centroid_matrix(self.spark.read.schema("cell long, centroid array<double>").parquet(f"{self.segments.path}/centroids"))
+
+    def append(self, items: DataFrame, iid: str, vec: str, batch: str | None = None) -> bool:
+        """Add vectors without a new fit; False if a batch of this name is live already."""
+        at = self.segments.manifest()
+        if batch is not None and any(batch in f["batches"] for f in at["segments"].values()):
+            return False
+        rows = items.filter(F.col(vec).isNotNull()).select(F.col(iid).alias("iid"), F.col(vec).alias("vec"))
+        known = self.centroids()
+        if known is None:
+            placed = rows.withColumn("cell", F.lit(0).cast("long"))
+        else:
+            cells, matrix = known
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    near, _ = _nearest(_matrix(b.column(1)), matrix)
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells[near])], ["iid", "vec", "cell"])
+
+            placed = (rows.mapInArrow(run, f"iid {self.id_type}, vec {self.vec_type}, cell long")
+                      .repartition("cell", F.pmod(F.xxhash64("iid"), F.lit(self.spread))))
+        name = self.segments.new_name()
+        placed.write.partitionBy("cell").parquet(self.segments.folder("rows", name))
+        self.segments.commit(at, {name: {"batches": [batch or name]}})
+        return True
+
+    def rows(self) -> DataFrame:
+        """(iid, vec, cell, segment) of every vector."""
+        return self.segments.read("rows", f"iid {self.id_type}, vec {self.vec_type}, cell long")
+
+    def drop(self) -> None:
+        self.segments.drop()
+
+    def search(self, queries: DataFrame, k: int, nprobe: int | None = None, qid: str = "qid", qvec: str = "qvec",
+               iid: str = "iid", exclude_self: bool = False) -> DataFrame:
+        """(qid, iid, score, rank): the k items of largest inner product in the ``nprobe``
+        best cells of each question (all, if None); score to 6 places, ties by item id."""
+        known, out = self.centroids(), None
+        schema = f"{qid} long, {iid} long, score double"
+        asked = queries.filter(F.col(qvec).isNotNull()).select(F.col(qid).cast("long"), F.col(qvec).cast("array<double>"))
+        for ids, vectors in _query_blocks(asked, self.QUERIES):
+            scan, probes = self.rows().select("iid", "vec", "cell"), None
+            if known is not None and nprobe is not None and nprobe < len(known[0]):
+                s = np.round(vectors @ known[1].T, 6)
+                best = np.argsort(-s, axis=1, kind="stable")[:, :nprobe]
+                probes = {int(known[0][c]): np.flatnonzero((best == c).any(axis=1)) for c in np.unique(best)}
+                scan = scan.filter(F.col("cell").isin(sorted(probes)))  # the files of other cells are not listed
+            sent = self.spark.sparkContext.broadcast((ids, vectors, probes))
+            part = scan.mapInArrow(_scan_best(sent, k, exclude_self, qid, iid), schema)
+            out = part if out is None else out.unionByName(part)
+        if out is None:
+            out = self.spark.createDataFrame([], schema)
+        return top_k(out, [qid], [F.desc("score"), iid], k)
+
+
+def _query_blocks(queries: DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    ids, vectors = [], []
+    for r in queries.toLocalIterator():
+        ids.append(r[0])
+        vectors.append(r[1])
+        if len(ids) == most:
+            yield np.array(ids, np.int64), np.array(vectors, np.float64)
+            ids, vectors = [], []
+    if ids:
+        yield np.array(ids, np.int64), np.array(vectors, np.float64)
+
+
+def _scan_best(sent, k: int, exclude_self: bool, qid: str, iid: str):
+    """A task's items against a block of questions: the k best of each question."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, probes = sent.value
+        best_s = np.full((len(ids), k), -np.inf)
+        best_i = np.zeros((len(ids), k), np.int64)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                b = whole.slice(lo, 2048)
+                cell = b.column(2).to_numpy()
+                item = b.column(0).to_numpy()
+                x = _matrix(b.column(1))
+                for c in np.unique(cell):
+                    asking = np.arange(len(ids)) if probes is None else probes.get(int(c))
+                    if asking is None:
+                        continue
+                    mine = np.flatnonzero(cell == c)
+                    mine = mine[np.argsort(item[mine], kind="stable")]  # ties go by item id
+                    s = np.round(vectors[asking] @ x[mine].T, 6)
+                    if exclude_self:
+                        s[ids[asking][:, None] == item[mine][None, :]] = -np.inf
+                    better = s >= best_s[asking, -1][:, None]
+                    for r in np.flatnonzero(better.any(axis=1)):
+                        q, at = asking[r], np.flatnonzero(better[r] & np.isfinite(s[r]))
+                        if len(at) > k:
+                            kth = np.partition(s[r, at], len(at) - k)[len(at) - k]
+                            at = at[s[r, at] >= kth]
+                        score, found = np.append(best_s[q], s[r, at]), np.append(best_i[q], item[mine[at]])
+                        top = np.lexsort((found, -score))[:k]
+                        best_s[q], best_i[q] = score[top], found[top]
+        q, at = np.nonzero(np.isfinite(best_s))
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best_i[q, at]), pa.array(best_s[q, at])], [qid, iid, "score"])
+    return run
 
 
 def ivf_search(queries: DataFrame, items: DataFrame, centroids: DataFrame, k: int, nprobe: int,
                qid: str = "qid", iid: str = "iid", qvec: str = "qvec", ivec: str = "ivec",
-               item_cells: DataFrame | None = None, exclude_self: bool = False,
-               index: DataFrame | None = None) -> DataFrame:
-    """Cell-pruned search (E3): each question probes its ``nprobe`` best
-    cells; candidates are joined by ``cell`` (an equi-join, so items are
-    only read in the cells probed) and ranked exactly within them.
-    With ``nprobe`` = number of cells this equals ``dense_topk``. ``index``
-    is a table from ``build_ivf_index`` (built here when absent)."""
-    cq = queries.select(F.col(qid).alias("_q"), F.col(qvec).alias("_qv"))
-    cc = centroids.select(F.col("cell").alias("_c"), F.col("centroid").alias("_cv"))
-    probes = dense_topk(cq, cc, nprobe, qid="_q", iid="_c", qvec="_qv", ivec="_cv")
-    it = index if index is not None else build_ivf_index(items, centroids, iid, ivec, item_cells)
-    qc = queries.join(probes.select(F.col("_q").alias(qid), F.col("_c").alias("cell")), qid)
-    return dense_topk(qc, it, k, qid=qid, iid=iid, qvec=qvec, ivec=ivec, group="cell",
-                      exclude_self=exclude_self)
+               exclude_self: bool = False) -> DataFrame:
+    """Cell-pruned search (E3) of a collection that is indexed for this call (see
+    ``CellStore`` for one that is kept)."""
+    spark = items.sparkSession
+    store = CellStore.create(spark, shared_dir(spark, "cell-store"), items, iid, ivec, centroids)
+    store.append(items, iid, ivec)
+    return store.search(queries, k, nprobe, qid, qvec, iid, exclude_self)
 
 
 # --- D1 -------------------------------------------------------------------------
@@ -230,6 +368,7 @@ def embed(df: DataFrame, text_col: str, out: str = "embedding", dim: int = EMBED
 
 
 def chunk_key(doc_id="doc_id", cont_id="cont_id") -> Column:
-    """One BIGINT for a chunk, in (doc_id, cont_id) order; a document may
-    have 2**20 chunks."""
-    return (F.col(doc_id) * CHUNKS_PER_DOC + F.col(cont_id)).cast("bigint")
+    """One BIGINT for a chunk, in (doc_id, cont_id) order; a document of 2**20
+    chunks or more is an error, not a key of the next document."""
+    key = (F.col(doc_id) * CHUNKS_PER_DOC + F.col(cont_id)).cast("bigint")
+    return F.when(F.col(cont_id) < CHUNKS_PER_DOC, key).otherwise(F.raise_error(F.lit("a document has too many chunks for a key")))

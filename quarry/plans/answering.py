@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from quarry.functions.fixed import (COMPRESS_OVER, LEXICAL_TOPK, PROGRESS_EVERY, RERANK_KEEP,
                                     SYSTEM_ROLE, VECTOR_TOPK)
-from quarry.functions.text import terms_sql
-from quarry.operators import lexical, prompt, retrieve
+from quarry.functions.text import terms, terms_sql
+from quarry.operators import prompt, retrieve
 from quarry.operators import vectors as V
+from quarry.plans.corpus import chunk_table, chunk_vectors
 from quarry.plans.registry import register
-from quarry.plans.retrieval import PROMPT_CTES, flagship, lexical_contexts, windows
+from quarry.plans.retrieval import PROMPT_CTES, flagship, lexical_contexts, lexical_hits
 from quarry.plans.sqlparts import bm25_ctes, chunks_cte, feature_sql, lit, rerank_ctes
+from quarry.plans.strategy import _checkpointed
 from quarry.plans.vector_search import FIXTURE_THRESHOLD
 from quarry.session import load_table
 
@@ -22,18 +24,17 @@ DENOISE_MIN = 0.2
 
 def vector_leg(spark, sf_dir, k=VECTOR_TOPK, min_score=FIXTURE_THRESHOLD):
     """Vector hits per benchmark question: every chunk and every question is
-    encoded into one space, and a hit is the chunk that matched, whole."""
-    b = load_table(spark, sf_dir, "benchmark")
-    chunks = windows(spark, sf_dir).withColumn("chunk_id", V.chunk_key())
-    q = V.embed(b, "text", "qvec").select("item_id", "qvec")
-    items = V.embed(chunks, "content", "ivec").select("chunk_id", "ivec")
-    hits = V.threshold(V.dense_topk(q, items, k, qid="item_id", iid="chunk_id", qvec="qvec", ivec="ivec"), min_score)
-    return chunks.join(hits, "chunk_id").select("item_id", "doc_id", "cont_id", "content", "source", "score", "rank")
+    encoded into one space, and a hit is the chunk that matched, whole. The
+    chunks' vectors are stored, so a search encodes the questions only."""
+    q = V.embed(load_table(spark, sf_dir, "benchmark"), "text", "qvec").select("item_id", "qvec")
+    found = chunk_vectors(spark, sf_dir).search(q, k, qid="item_id", iid="chunk_id")
+    hits = V.threshold(found, min_score)
+    return chunk_table(spark, sf_dir).join(hits, "chunk_id").select(
+        "item_id", "doc_id", "cont_id", "content", "source", "score", "rank")
 
 
 def hybrid(spark, sf_dir):
-    lex = lexical.bm25_topk(load_table(spark, sf_dir, "benchmark"), windows(spark, sf_dir), k=LEXICAL_TOPK)
-    return retrieve.hybrid_context(vector_leg(spark, sf_dir), lex)
+    return retrieve.hybrid_context(vector_leg(spark, sf_dir), lexical_hits(spark, sf_dir))
 
 
 VEC_SQL = f"""vq AS ({feature_sql("item_id", "text", "benchmark")}),
@@ -82,23 +83,26 @@ def q_hybrid_context(spark, sf_dir):
 @register("leg_counts", sql=HYBRID_SQL + """,
 vcount AS (SELECT item_id, count(*)::BIGINT AS n FROM vec GROUP BY item_id),
 lc AS (SELECT item_id, count(*)::BIGINT AS n FROM lex GROUP BY item_id),
-mc AS (SELECT item_id, count(*)::BIGINT AS n FROM ctx GROUP BY item_id)
+mc AS (SELECT item_id, count(*)::BIGINT AS n, sum(len(""" + terms_sql("content", False) + """))::BIGINT AS tokens FROM ctx GROUP BY item_id)
 SELECT b.item_id, coalesce(vcount.n, 0)::BIGINT AS vector_hits, coalesce(lc.n, 0)::BIGINT AS lexical_hits,
-       coalesce(mc.n, 0)::BIGINT AS merged
+       coalesce(mc.n, 0)::BIGINT AS merged, (coalesce(mc.tokens, 0) + len(""" + terms_sql("b.text", False) + """))::BIGINT AS tokens
 FROM benchmark b LEFT JOIN vcount ON vcount.item_id = b.item_id LEFT JOIN lc ON lc.item_id = b.item_id
 LEFT JOIN mc ON mc.item_id = b.item_id""")
 def q_leg_counts(spark, sf_dir):
-    b = load_table(spark, sf_dir, "benchmark").select("item_id")
-    vec = vector_leg(spark, sf_dir)
-    lex = lexical.bm25_topk(load_table(spark, sf_dir, "benchmark"), windows(spark, sf_dir), k=LEXICAL_TOPK)
+    """Hits of each leg, merged contexts, and the tokens of question and contexts."""
+    b = load_table(spark, sf_dir, "benchmark")
+    # k rows a question, looked at twice: by themselves and merged
+    vec, lex = _checkpointed(vector_leg(spark, sf_dir)), _checkpointed(lexical_hits(spark, sf_dir))
     merged = retrieve.hybrid_context(vec, lex)
 
-    def n(df, name):
-        return df.groupBy("item_id").agg(F.count(F.lit(1)).cast("bigint").alias(name))
-    out = b.join(n(vec, "vector_hits"), "item_id", "left").join(n(lex, "lexical_hits"), "item_id", "left") \
-        .join(n(merged, "merged"), "item_id", "left")
+    def n(df, name, *more):
+        return df.groupBy("item_id").agg(F.count(F.lit(1)).cast("bigint").alias(name), *more)
+    used = F.sum(F.size(terms("content", False))).alias("used")
+    out = (b.join(n(vec, "vector_hits"), "item_id", "left").join(n(lex, "lexical_hits"), "item_id", "left")
+           .join(n(merged, "merged", used), "item_id", "left"))
+    tokens = (F.coalesce("used", F.lit(0)) + F.size(terms("text", False))).cast("bigint").alias("tokens")
     return out.select("item_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-                                   for c in ("vector_hits", "lexical_hits", "merged")])
+                                   for c in ("vector_hits", "lexical_hits", "merged")], tokens)
 
 
 # --- E8 + E10 + F1 with both legs -------------------------------------------------

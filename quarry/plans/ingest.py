@@ -57,14 +57,66 @@ def q_route_inline(spark, sf_dir):
 
 
 # --- A3 --------------------------------------------------------------------------
-@register("read_text_files", sql="""SELECT source AS src, string_agg(text || chr(10), '' ORDER BY doc_id) AS content
-FROM documents GROUP BY source""")
+TEXT_PART = 20_000
+
+
+@register("read_text_files", sql=f"""WITH t AS (SELECT source, doc_id, text, (coalesce(sum(length(text) + 1) OVER (
+  PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {TEXT_PART})::BIGINT AS part FROM documents)
+SELECT source AS src, part, string_agg(text || chr(10), '' ORDER BY doc_id) AS content FROM t GROUP BY source, part""")
 def q_read_text_files(spark, sf_dir):
+    """Text files of bounded size: a row for each file, however large its source."""
     d = load_table(spark, sf_dir, "documents")
     path = shared_dir(spark, "text-files")
-    files.write_text_files(d, path, "source", "text", "doc_id")
+    files.write_text_files(d, path, "source", "text", "doc_id", TEXT_PART)
     r = files.read_text_files(spark, path)
-    return r.select(F.regexp_extract("source", r"source=([^/]+)/", 1).alias("src"), "content")
+    return r.select(F.regexp_extract("source", r"source=([^/]+)/", 1).alias("src"),
+                    F.regexp_extract("source", r"part=([0-9]+)/", 1).cast("long").alias("part"), "content")
+
+
+# --- A2: inline text as documents ------------------------------------------------
+@register("inline_documents", sql="""SELECT text AS content, 'inline-' || doc_id::VARCHAR AS source FROM documents
+WHERE coalesce(length(text), 0) > 0""")
+def q_inline_documents(spark, sf_dir):
+    """Inputs that route to the inline loader, as documents with the source they are given."""
+    d = load_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    inline = P.route_source(d, "source", "text").filter("route = 'string'")
+    return P.string_documents(inline.withColumn("given", F.concat(F.lit("inline-"), F.col("doc_id").cast("string"))), "text", "given")
+
+
+# --- A10 / M7: arrays of records and strings ---------------------------------------
+# Arrays of up to 50 elements: strings, records, a null, a number and a record without content.
+JSON_SQL = """WITH e AS (SELECT doc_id, source, text, doc_id // 50 AS blk, doc_id % 7 AS m,
+  (row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) - 1)::INT AS pos FROM documents)"""
+
+
+def json_arrays(spark, sf_dir):
+    d = load_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    one = F.to_json(F.array("text"))
+    m = F.col("doc_id") % 7
+    e = (F.when(m < 2, F.expr("substring(one, 2, length(one) - 2)")).when(m == 4, F.lit("null")).when(m == 5, F.col("doc_id").cast("string"))
+         .when(m == 6, F.to_json(F.struct(F.col("source").alias("title"))))
+         .otherwise(F.to_json(F.struct(F.col("source").alias("title"), F.col("text").alias("content")))))
+    g = d.withColumn("one", one).withColumn("e", e).groupBy(F.floor(F.col("doc_id") / 50).cast("long").alias("blk")).agg(
+        F.array_sort(F.collect_list(F.struct("doc_id", "e"))).alias("l"))
+    lines = g.select(F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["e"]), ","), F.lit("]")).alias("value"))
+    broken = spark.createDataFrame([("[1, ",), ("{\"title\": \"x\"}",), ("[]",)], "value string")
+    path = shared_dir(spark, "json-arrays")
+    lines.unionByName(broken).write.text(path)
+    return files.json_array_elements(spark.read.text(path), "value")
+
+
+@register("json_array_elements", sql=JSON_SQL + """
+SELECT pos, CASE WHEN m < 2 THEN 'string' ELSE 'record' END AS kind, CASE WHEN m >= 2 THEN source END AS title, text AS content
+FROM e WHERE m < 4""")
+def q_json_array_elements(spark, sf_dir):
+    return json_arrays(spark, sf_dir)[0].select("pos", "kind", "title", "content")
+
+
+@register("json_array_rejects", sql=JSON_SQL + """
+SELECT pos, CASE WHEN m = 6 THEN 'no content' ELSE 'neither string nor record' END AS reason FROM e WHERE m >= 4
+UNION ALL SELECT NULL, 'not an array' FROM range(2)""")
+def q_json_array_rejects(spark, sf_dir):
+    return json_arrays(spark, sf_dir)[1].select("pos", "reason")
 
 
 # --- A4 --------------------------------------------------------------------------

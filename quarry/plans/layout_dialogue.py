@@ -11,8 +11,8 @@ from quarry.operators import layout as H
 from quarry.operators.prompt import dialogue_pairs
 from quarry.plans.registry import register
 from quarry.plans.sqlparts import values
-from quarry.plans.strategy import group_row_number
-from quarry.session import load_table
+from quarry.plans.strategy import _checkpointed, group_row_number
+from quarry.session import load_table, shared_dir
 
 # Hand-made header cells (FIXTURES §3): a leading empty cell, empties to
 # fill from the left, a cell with a newline.
@@ -137,6 +137,76 @@ def q_page_layout(spark, sf_dir):
     return H.page_layout(blocks.unionByName(tables), skip)
 
 
+# --- H4 → H5: from cells to page text ----------------------------------------------
+# Orders as the rows of documents' tables: a third of them are one document. A table part is
+# a page of 20 rows; its header changes every third page, and every seventh page ends early.
+PART_LINES = 20
+CELL_COLS = ["o_orderkey", "o_orderstatus", "o_totalprice"]
+_DOC_SQL = "CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 + (o_orderkey % 40) END"
+CELLS_SQL = f"""cell AS (
+  SELECT *, ((rn - 1) // {PART_LINES})::BIGINT AS page, ((rn - 1) % {PART_LINES})::BIGINT AS row FROM (
+    SELECT {_DOC_SQL} AS doc, o_orderkey, o_orderstatus, o_totalprice, row_number() OVER (PARTITION BY {_DOC_SQL} ORDER BY o_orderkey) AS rn
+    FROM orders)
+),
+part AS (
+  SELECT doc, page, 'h' || (page // 3)::VARCHAR AS header, CASE WHEN page % 7 = 6 THEN 300.0 ELSE 120.0 + 20 * count(*) END AS y_bottom
+  FROM cell GROUP BY doc, page
+),
+flag AS (
+  SELECT *, CASE WHEN lag(page) OVER w = page - 1 AND lag(header) OVER w = header AND {PAGE_HEIGHT} - lag(y_bottom) OVER w <= 100
+            THEN 0 ELSE 1 END AS brk FROM part WINDOW w AS (PARTITION BY doc ORDER BY page)
+),
+run AS (SELECT *, sum(brk) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM flag),
+tabled AS (SELECT doc, page, min(page) OVER (PARTITION BY doc, grp) AS table_page FROM run),
+lined AS (
+  SELECT c.doc, t.table_page, '|' || concat_ws('|', c.o_orderkey::VARCHAR, replace(coalesce(o_orderstatus, ''), ' ', ''),
+           replace(coalesce(o_totalprice::VARCHAR, ''), ' ', '')) || '|' AS line,
+         row_number() OVER (PARTITION BY c.doc, t.table_page ORDER BY c.page, c.row) AS n
+  FROM cell c JOIN tabled t ON t.doc = c.doc AND t.page = c.page
+),
+md AS (
+  SELECT doc, table_page, ((n - 1) // {PAGE_ROWS})::BIGINT AS piece, '|{"|".join(CELL_COLS)}|' || chr(10) || '|---|---|---|' || chr(10)
+         || string_agg(line, chr(10) ORDER BY n) AS markdown
+  FROM lined GROUP BY doc, table_page, (n - 1) // {PAGE_ROWS}
+),
+block AS (
+  SELECT doc, page, 10 AS y, 'above ' || doc::VARCHAR || '.' || page::VARCHAR AS text FROM part
+  UNION ALL SELECT doc, table_page, 100 + piece, markdown FROM md
+  UNION ALL SELECT doc, page, 590000, 'below ' || doc::VARCHAR || '.' || page::VARCHAR FROM part
+)"""
+
+
+def table_cells(spark, sf_dir):
+    o = load_table(spark, sf_dir, "orders").withColumn(
+        "doc", F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(1 + F.col("o_orderkey") % 40).cast("long"))
+    n = group_row_number(o, ["doc"], ["o_orderkey"], "rn")
+    return n.select("doc", F.floor((F.col("rn") - 1) / PART_LINES).cast("long").alias("page"),
+                    ((F.col("rn") - 1) % PART_LINES).cast("long").alias("row"), *CELL_COLS)
+
+
+def cell_parts(cells):
+    return cells.groupBy("doc", "page").agg(F.count(F.lit(1)).alias("n")).select(
+        "doc", "page", F.concat(F.lit("h"), F.floor(F.col("page") / 3).cast("string")).alias("header"),
+        F.when(F.col("page") % 7 == 6, 300.0).otherwise(120.0 + 20 * F.col("n")).alias("y_bottom"),
+        F.lit(float(PAGE_HEIGHT)).alias("page_height"))
+
+
+@register("document_pages", sql=f"""WITH {CELLS_SQL}
+SELECT b.doc, b.page, string_agg(b.text, chr(10) ORDER BY y, text) AS content FROM block b JOIN tabled t ON t.doc = b.doc AND t.page = b.page
+WHERE t.table_page = t.page GROUP BY b.doc, b.page""")
+def q_document_pages(spark, sf_dir):
+    """Cells to page text: parts that continue a table are found, their rows joined and
+    rendered on the table's first page, and their own pages skipped."""
+    cells = _checkpointed(table_cells(spark, sf_dir))
+    parts = _checkpointed(H.merge_continued(cell_parts(cells)))
+    tables = H.merged_tables(cells, parts, CELL_COLS, PAGE_ROWS)
+    line = lambda y, word: parts.select("doc", "page", F.lit(y).cast("long").alias("y"), F.lit("text").alias("kind"), F.concat(
+        F.lit(word + " "), F.col("doc").cast("string"), F.lit("."), F.col("page").cast("string")).alias("text"))
+    blocks = (line(10, "above").unionByName(tables.select("doc", "page", (100 + F.col("piece")).alias("y"), F.lit("table").alias("kind"),
+                                                           F.col("markdown").alias("text"))).unionByName(line(590000, "below")))
+    return H.page_layout(blocks, parts.filter("table_page < page"))
+
+
 # --- I1 / I2 ------------------------------------------------------------------------
 @register("dialogue_log", sql="""WITH p AS (
   SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer
@@ -159,6 +229,20 @@ def q_history_window(spark, sf_dir):
     return h.select("conv_id", "turn", "n_prev", F.md5("history").alias("history_md5"))
 
 
+RECENT_CHARS = 1000
+
+
+@register("history_recent", sql=f"""WITH t AS (
+  SELECT conv_id, turn, role || ': ' || text AS line, length(role || ': ' || text) + 1 AS n FROM conversations),
+c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
+SELECT a.conv_id, a.turn, count(b.line)::BIGINT AS n_prev, md5(coalesce(string_agg(b.line, chr(10) ORDER BY b.turn), '')) AS history_md5
+FROM c a LEFT JOIN c b ON b.conv_id = a.conv_id AND b.turn < a.turn AND a.before - b.before <= {RECENT_CHARS}
+GROUP BY a.conv_id, a.turn""")
+def q_history_recent(spark, sf_dir):
+    h = I.recent_history(load_table(spark, sf_dir, "conversations"), RECENT_CHARS)
+    return h.select("conv_id", "turn", "n_prev", F.md5("history").alias("history_md5"))
+
+
 # --- I3 ------------------------------------------------------------------------------
 LINE_SQL = """concat_ws(' - ', strftime(ts, '%Y-%m-%d %H:%M:%S'), 'quarry', upper(event_type), props)"""
 
@@ -201,3 +285,19 @@ def q_log_retention(spark, sf_dir):
 def q_log_retention_7d(spark, sf_dir):
     logs = I.retained(parsed_logs(spark, sf_dir), "time", SHORT_RETENTION)
     return I.daily_counts(logs, "time", "level").groupBy("day").agg(F.sum("n").cast("bigint").alias("n"))
+
+
+@register("log_files", sql=f"""SELECT event_id, ts::DATE AS day, upper(event_type) AS level,
+  props || CASE WHEN ts::DATE >= (SELECT max(ts)::DATE FROM events) - 2 THEN ' #2' ELSE '' END AS message
+FROM events WHERE ts::DATE > (SELECT max(ts)::DATE FROM events) - {SHORT_RETENTION} AND upper(event_type) <> 'VIEW'""")
+def q_log_files(spark, sf_dir):
+    """Log files by day and level, written twice (the second run brings the last three days
+    anew), old days deleted whole, and the days and levels asked for read back."""
+    path = shared_dir(spark, "log-files")
+    logs = parsed_logs(spark, sf_dir).withColumn("day", F.to_date("time"))
+    I.write_log_files(logs, path)
+    newest = logs.agg(F.max("day")).first()[0]
+    again = logs.filter(F.col("day") >= F.lit(newest) - F.expr("INTERVAL 2 DAYS")).withColumn("message", F.concat("message", F.lit(" #2")))
+    I.write_log_files(again, path)
+    I.expire_log_files(spark, path, SHORT_RETENTION)
+    return I.read_log_files(spark, path).filter("level != 'VIEW'").select("event_id", "day", "level", "message")

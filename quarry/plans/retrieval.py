@@ -5,12 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.fixed import LEXICAL_TOPK, LEXICAL_TOPK_EVAL, RERANK_KEEP, STOP_WORDS
+from quarry.functions.fixed import (EXTRA_STOP_WORDS, LEXICAL_TOPK, LEXICAL_TOPK_EVAL, PREPOSITIONS, RERANK_KEEP, STOP_WORDS,
+                                    SUFFIXES, SURNAMES, USER_WORDS)
 from quarry.functions.text import terms_sql
 from quarry.operators import analyze, chunk, lexical, prompt, retrieve
+from quarry.plans.corpus import chunk_table, lexical_store
 from quarry.plans.registry import register
 from quarry.plans.sqlparts import bm25_ctes, chunks_cte, rerank_ctes, values
-from quarry.session import load_table
+from quarry.session import load_table, shared_dir
 
 # Hand-made rows (FIXTURES §3) appended to the driver's documents where the
 # driver data lacks a case: Han text without spaces, mixed scripts.
@@ -96,24 +98,28 @@ per_chunk AS (
 )
 SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf FROM per_chunk GROUP BY term""")
 def q_term_stats(spark, sf_dir):
-    return analyze.term_stats(windows(spark, sf_dir))
+    return lexical_store(spark, sf_dir).term_stats()
 
 
 # --- E4 / E5 ---------------------------------------------------------------
+def lexical_hits(spark, sf_dir, k=LEXICAL_TOPK, carry=("source", "content")):
+    """BM25 hits of the benchmark questions, from the stored postings and chunks."""
+    return lexical.bm25_topk(load_table(spark, sf_dir, "benchmark"), chunk_table(spark, sf_dir), k=k, carry=carry,
+                             store=lexical_store(spark, sf_dir))
+
+
 @register("bm25_topk", sql=f"""WITH {chunks_cte()},
 {bm25_ctes(LEXICAL_TOPK)}
 SELECT item_id, doc_id, cont_id, score, rank FROM lex""")
 def q_bm25_topk(spark, sf_dir):
-    return lexical.bm25_topk(load_table(spark, sf_dir, "benchmark"), windows(spark, sf_dir),
-                             k=LEXICAL_TOPK, carry=())
+    return lexical_hits(spark, sf_dir, carry=())
 
 
 @register("bm25_top30", sql=f"""WITH {chunks_cte()},
 {bm25_ctes(LEXICAL_TOPK_EVAL)}
 SELECT item_id, doc_id, cont_id, score, rank, content FROM lex""")
 def q_bm25_top30(spark, sf_dir):
-    return lexical.bm25_topk(load_table(spark, sf_dir, "benchmark"), windows(spark, sf_dir),
-                             k=LEXICAL_TOPK_EVAL, carry=("content",))
+    return lexical_hits(spark, sf_dir, LEXICAL_TOPK_EVAL, ("content",))
 
 
 # --- E7 --------------------------------------------------------------------
@@ -124,9 +130,45 @@ SELECT item_id, content, first_rank, pos FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY first_rank, content)::BIGINT AS pos FROM firsts)
 WHERE pos <= 5""")
 def q_lexical_distinct_top5(spark, sf_dir):
-    hits = lexical.bm25_topk(load_table(spark, sf_dir, "benchmark"), windows(spark, sf_dir),
-                             k=LEXICAL_TOPK_EVAL, carry=("content",))
-    return lexical.distinct_first(hits, keep=5)
+    return lexical.distinct_first(lexical_hits(spark, sf_dir, LEXICAL_TOPK_EVAL, ("content",)), keep=5)
+
+
+# --- A14 / A16: a store that grows ------------------------------------------
+def _grown(spark, sf_dir):
+    """A store of all chunks from two appends, the second delivered twice."""
+    chunks = chunk_table(spark, sf_dir)
+    store = lexical.LexicalStore.create(spark, shared_dir(spark, "grown-store"), chunks)
+    store.append(chunks.filter("doc_id % 2 = 0"), batch="even")
+    store.append(chunks.filter("doc_id % 2 <> 0"), batch="odd")
+    store.append(chunks.filter("doc_id % 2 <> 0"), batch="odd")
+    return store
+
+
+@register("store_append_topk", sql=f"""WITH {chunks_cte()},
+{bm25_ctes(LEXICAL_TOPK)}
+SELECT item_id, doc_id, cont_id, score, rank FROM lex""")
+def q_store_append_topk(spark, sf_dir):
+    return _grown(spark, sf_dir).search(load_table(spark, sf_dir, "benchmark"))
+
+
+@register("store_compact_topk", sql=f"""WITH {chunks_cte()},
+{bm25_ctes(LEXICAL_TOPK)}
+SELECT item_id, doc_id, cont_id, score, rank FROM lex""")
+def q_store_compact_topk(spark, sf_dir):
+    store = _grown(spark, sf_dir)
+    store.compact()
+    return store.search(load_table(spark, sf_dir, "benchmark"))
+
+
+@register("store_term_stats", sql=f"""WITH {chunks_cte()},
+per_chunk AS (
+  SELECT doc_id, cont_id, term, count(*) AS tf
+  FROM (SELECT doc_id, cont_id, unnest({terms_sql('content')}) AS term FROM chunks)
+  GROUP BY doc_id, cont_id, term
+)
+SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf FROM per_chunk GROUP BY term""")
+def q_store_term_stats(spark, sf_dir):
+    return _grown(spark, sf_dir).term_stats()
 
 
 # --- E9 --------------------------------------------------------------------
@@ -140,7 +182,7 @@ def q_exact_dedup(spark, sf_dir):
 def lexical_contexts(spark, sf_dir, k=LEXICAL_TOPK):
     """Lexical leg merged and deduplicated like the hybrid context (no
     vector hits): (item_id, content, source, leg, leg_rank, pos)."""
-    lex = lexical.bm25_topk(load_table(spark, sf_dir, "benchmark"), windows(spark, sf_dir), k=k)
+    lex = lexical_hits(spark, sf_dir, k)
     empty = lex.select("item_id", "content", "source", "rank").limit(0)
     return retrieve.hybrid_context(empty, lex)
 
@@ -230,10 +272,32 @@ GROUP BY l.category, l.term""")
 def q_word_list_hits(spark, sf_dir):
     """Word lists written as .dic files, read back with their category and
     unioned (C9), then matched against the corpus terms."""
-    from quarry.session import shared_dir
     path = shared_dir(spark, "word-lists")
     analyze.write_word_lists(spark, path, WORD_LISTS)
     lists = analyze.read_word_lists(spark, path)
     counts = analyze.term_counts(load_table(spark, sf_dir, "documents"), "text")
     # the lists are fixed and small: broadcast by construction
     return counts.join(F.broadcast(lists), "term").select("category", "term", "n")
+
+
+# Categories as shipped; the fixture's prose is Latin, so a list of its syllables, with
+# words inside words, and hand-made Han rows meet the matcher too.
+CATEGORIES = {"stopword": STOP_WORDS, "extra_stopword": EXTRA_STOP_WORDS, "preposition": PREPOSITIONS, "suffix": SUFFIXES,
+              "surname": SURNAMES, "user": USER_WORDS, "syllable": ["th", "the", "ther", "tion", "on", "ment", "men", "eau", "eaux", "ción"]}
+HAN_ROWS = [(-11, "欧阳修从长江路到北海市的芯片厂", "zh", "hand3"), (-12, "司马光不是司徒，也不是公孙。", "zh", "hand4"), (-13, "", "zh", "hand5")]
+_CATEGORY_SQL = values([(c, w) for c, ws in CATEGORIES.items() for w in dict.fromkeys(ws)], ["category", "term"], ["VARCHAR", "VARCHAR"])
+_LONGEST_FIRST = "|".join(sorted({w for ws in CATEGORIES.values() for w in ws}, key=lambda w: (-len(w), w)))
+
+
+@register("dictionary_matches", sql=f"""WITH docs AS (SELECT doc_id, text FROM documents UNION ALL
+  SELECT doc_id, text FROM {values(HAN_ROWS, CJK_COLS, CJK_TYPES)}),
+m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_LONGEST_FIRST}')) AS word FROM docs)
+SELECT m.doc_id, l.category, m.word, count(*)::BIGINT AS n FROM m JOIN {_CATEGORY_SQL} l ON l.term = m.word
+GROUP BY m.doc_id, l.category, m.word""")
+def q_dictionary_matches(spark, sf_dir):
+    """All categories written as word-list files, read back, and matched once a text."""
+    path = shared_dir(spark, "word-lists")
+    analyze.write_word_lists(spark, path, CATEGORIES)
+    extra = spark.createDataFrame(HAN_ROWS, "doc_id long, text string, lang string, source string")
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(extra.select("doc_id", "text"))
+    return analyze.dictionary_matches(docs, "text", analyze.read_word_lists(spark, path), ["doc_id"])

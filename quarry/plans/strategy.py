@@ -92,6 +92,66 @@ def group_row_number(df: DataFrame, part_cols, order_cols, name: str = "rn",
             .drop("_pid", "_key", "_local", "_off"))
 
 
+def group_running_sum(df: DataFrame, part_cols, order_cols, value, name: str = "before",
+                      partitions: int | None = None) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of each group, without a per-group
+    window: as ``group_row_number``, with sums in place of counts."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part_cols, order_cols = list(part_cols), list(order_cols)
+    parted = _checkpointed(df.withColumn("_v", value).repartitionByRange(n, *part_cols, *order_cols)
+                           .withColumn("_pid", F.spark_partition_id()).withColumn("_key", F.struct(*part_cols)))
+    w = Window.partitionBy("_pid", "_key").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    local = parted.withColumn("_local", F.coalesce(F.sum("_v").over(w), F.lit(0)))
+    bounds = parted.groupBy("_pid").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last"))
+    edge = (parted.join(F.broadcast(bounds), "_pid")
+            .filter((F.col("_key") == F.col("_first")) | (F.col("_key") == F.col("_last")))
+            .groupBy("_pid", "_key").agg(F.sum("_v").alias("_n")))
+    e = Window.partitionBy("_key").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = edge.select("_pid", "_key", F.coalesce(F.sum("_n").over(e), F.lit(0)).alias("_off"))
+    # one or two rows per task: bounded by the partition count
+    return (local.join(F.broadcast(offsets), ["_pid", "_key"], "left")
+            .withColumn(name, (F.coalesce("_off", F.lit(0)) + F.col("_local")).cast("bigint"))
+            .drop("_pid", "_key", "_local", "_off", "_v"))
+
+
+def ordered_sessions(df: DataFrame, order_cols, continues, state, name: str = "session",
+                     first: str | None = None, partitions: int | None = None) -> DataFrame:
+    """Number the runs of consecutive rows of one global order: a row goes on with the
+    run of the row before it where ``continues(previous, row)`` holds.
+
+    ``state`` lists the columns of the row before that ``continues`` looks at (it gets them
+    as a struct). Rows are range-partitioned, so a document with a third of the table is
+    many tasks; each task compares neighbours by itself, and its first row with
+    the last row of the tasks before it: the carry is one row per task. ``first`` names
+    a column whose value at a run's first row is wanted, as ``<first>_of_run``."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order_cols = list(order_cols)
+    parted = _checkpointed(df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
+                           .withColumn("_state", F.struct(*state)))
+    tasks = Window.orderBy("_pid")  # over one row per task
+    last = parted.groupBy("_pid").agg(F.max_by("_state", F.struct(*order_cols)).alias("_end"))
+    carry = last.select("_pid", F.lag("_end").over(tasks).alias("_carry"))
+    w = Window.partitionBy("_pid").orderBy(*order_cols)
+    prev = F.coalesce(F.lag("_state").over(w), F.col("_carry"))
+    x = parted.join(F.broadcast(carry), "_pid").withColumn("_prev", prev)
+    x = x.withColumn("_new", F.when(F.col("_prev").isNotNull() & F.coalesce(continues(F.col("_prev")), F.lit(False)), 0).otherwise(1))
+    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    value = F.col(first) if first else F.lit(0)
+    starts = x.filter("_new = 1").groupBy("_pid").agg(F.count(F.lit(1)).alias("_starts"),
+                                                      F.max_by(value, F.struct(*order_cols)).alias("_value"))
+    earlier = tasks.rowsBetween(Window.unboundedPreceding, -1)
+    before = last.join(F.broadcast(starts), "_pid", "left").select(
+        "_pid", F.coalesce(F.sum("_starts").over(earlier), F.lit(0)).alias("_off"), F.last("_value", True).over(earlier).alias("_open"))
+    out = (x.withColumn("_local", F.sum("_new").over(running))
+           .withColumn("_own", F.last(F.when(F.col("_new") == 1, value), True).over(running))
+           .join(F.broadcast(before), "_pid").withColumn(name, (F.col("_off") + F.col("_local")).cast("bigint")))
+    if first:
+        out = out.withColumn(f"{first}_of_run", F.when(F.col("_local") > 0, F.col("_own")).otherwise(F.col("_open")))
+    return out.drop("_pid", "_state", "_carry", "_prev", "_new", "_local", "_own", "_off", "_open")
+
+
 def forward_fill(df: DataFrame, part_cols, order_cols, col: str, out: str) -> DataFrame:
     """Last non-null ``col`` at or before each row within its group, as an
     equi-join instead of a per-group window: a null row's fill is the

@@ -11,7 +11,7 @@ from quarry.operators import chunk
 from quarry.operators import vectors as V
 from quarry.plans.registry import register
 from quarry.plans.sqlparts import chunks_cte, feature_sql
-from quarry.session import load_table
+from quarry.session import load_table, shared_dir
 from quarry.streaming import ingest as J
 
 NORMALIZED_DOCS_SQL = f"(SELECT doc_id, source, {normalize_newlines_sql('text')} AS text FROM documents)"
@@ -30,6 +30,21 @@ def q_stream_dedup(spark, sf_dir):
     return J.stream_dedup(spark, sf_dir).select("source", "text_md5")
 
 
+# --- J1 / J2 over two runs -----------------------------------------------------------
+@register("stream_two_runs", sql="""SELECT source, md5(text) AS text_md5, CASE WHEN bool_or(doc_id % 2 = 0) THEN 0 ELSE 1 END::BIGINT AS run
+FROM documents GROUP BY source, md5(text)""")
+def q_stream_two_runs(spark, sf_dir):
+    """A folder that grows between two runs with one checkpoint; the second delivery
+    repeats all of the first."""
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    folder, sink, checkpoint = (shared_dir(spark, f"two-runs-{x}") for x in ("in", "out", "ckpt"))
+    docs.filter("doc_id % 2 = 0").write.parquet(f"{folder}/first")
+    J.ingest_run(spark, folder, sink, checkpoint, docs.schema)
+    docs.write.parquet(f"{folder}/second")
+    out = J.ingest_run(spark, folder, sink, checkpoint, docs.schema)
+    return out.select("source", "text_md5", F.col("batch").cast("long").alias("run"))
+
+
 # --- J3 ---------------------------------------------------------------------------
 @register("stream_two_sinks", sql=f"""WITH {chunks_cte()},
 f AS ({feature_sql("doc_id, cont_id", "content", "chunks")}),

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from quarry.functions.fixed import VECTOR_TOPK
 from quarry.functions.vectors import l2_normalize, l2_normalize_sql
 from quarry.operators import vectors as V
+from quarry.plans.corpus import label_cells as label_store
 from quarry.plans.registry import register
-from quarry.session import load_table
+from quarry.session import load_table, shared_dir
 
 # The fixture's unit vectors rarely pass the application's 0.5 cut (one
 # pair at sf0.01); 0.3 keeps the threshold step meaningful on it.
@@ -108,7 +109,7 @@ def q_ivf_assign(spark, sf_dir):
 
 
 # --- E3 --------------------------------------------------------------------
-@register("ivf_probe", sql=f"""WITH {CENTROID_SQL},
+PROBE_SQL = f"""WITH {CENTROID_SQL},
 probes AS (
   SELECT qid, cell FROM (
     SELECT q.vec_id AS qid, c.cell,
@@ -124,14 +125,38 @@ cand AS (
 )
 SELECT qid, vec_id, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id)::BIGINT AS rank FROM cand)
-WHERE rank <= {VECTOR_TOPK}""")
+WHERE rank <= {VECTOR_TOPK}"""
+
+
+@register("ivf_probe", sql=PROBE_SQL)
 def q_ivf_probe(spark, sf_dir):
-    e, cents = label_cells(spark, sf_dir)
-    q = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
-    it = e.select("vec_id", F.col("embedding").alias("ivec"))
-    cells = V.assign_cells(e, cents, "vec_id", "embedding")
-    return V.ivf_search(q, it, cents, VECTOR_TOPK, NPROBE_FIXTURE, qid="qid", iid="vec_id",
-                        qvec="qvec", ivec="ivec", item_cells=cells, exclude_self=True)
+    q, _ = self_queries(spark, sf_dir)
+    return label_store(spark, sf_dir).search(q, VECTOR_TOPK, NPROBE_FIXTURE, iid="vec_id", exclude_self=True)
+
+
+# --- A15: a collection that grows without a new fit ---------------------------
+def _grown(spark, sf_dir):
+    e = emb(spark, sf_dir)
+    store = V.CellStore.create(spark, shared_dir(spark, "grown-cells"), e, "vec_id", "embedding",
+                               V.label_centroids(e, "label", "embedding"))
+    for batch, rows in (("even", "vec_id % 2 = 0"), ("odd", "vec_id % 2 <> 0"), ("odd", "vec_id % 2 <> 0")):
+        store.append(e.filter(rows), "vec_id", "embedding", batch)
+    return store
+
+
+@register("cells_append_probe", sql=PROBE_SQL)
+def q_cells_append_probe(spark, sf_dir):
+    q, _ = self_queries(spark, sf_dir)
+    return _grown(spark, sf_dir).search(q, VECTOR_TOPK, NPROBE_FIXTURE, iid="vec_id", exclude_self=True)
+
+
+@register("cells_exact", sql=f"""SELECT qid, vec_id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id)::BIGINT AS rank
+  FROM ({EXACT_SQL})) WHERE rank <= {VECTOR_TOPK}""")
+def q_cells_exact(spark, sf_dir):
+    """Every cell probed: the exact search, from the stored collection."""
+    q, _ = self_queries(spark, sf_dir)
+    return label_store(spark, sf_dir).search(q, VECTOR_TOPK, None, iid="vec_id", exclude_self=True)
 
 
 # --- D5 / E3 with KMeans cells (no SQL twin: iterative training) -----------

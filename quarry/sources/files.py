@@ -18,19 +18,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.plans.strategy import group_running_sum
+
 # --- A3 ----------------------------------------------------------------------------
 
 
-def write_text_files(df: DataFrame, path: str, group: str, text: str, order: str) -> None:
-    """One UTF-8 text file per ``group`` value (rows in ``order``, one
-    per line), under ``path/group=<value>/``."""
-    (df.select(group, text, order).repartition(group).sortWithinPartitions(group, order)
-     .select(group, text).write.mode("overwrite").partitionBy(group).text(path))
+PART_CHARS = 1 << 28
+
+
+def write_text_files(df: DataFrame, path: str, group: str, text: str, order: str, most: int = PART_CHARS) -> None:
+    """UTF-8 text files under ``path/group=<value>/part=<n>/``: the rows of a ``group``
+    value in ``order``, one per line, a new file after every ``most`` characters or the
+    row that reaches them. Part numbers come from distributed running lengths, so a large
+    source is written by many tasks, and no file is beyond ``most`` and a row."""
+    size = F.coalesce(F.length(text), F.lit(0)) + 1
+    x = group_running_sum(df.select(group, text, order), [group], [order], size, "_at")
+    (x.withColumn("part", F.floor(F.col("_at") / most).cast("long")).repartition(group, "part")
+     .sortWithinPartitions(group, "part", order)
+     .select(group, "part", text).write.mode("overwrite").partitionBy(group, "part").text(path))
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """Each file is one document: ``(source, content)``; source is the
-    file path (A3)."""
+    file path (A3). Files that ``write_text_files`` wrote are of bounded size; a source's
+    parts are put together only by who asks for it."""
     return (spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
             .select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("content")))
 
@@ -135,6 +146,27 @@ def read_json_records(spark: SparkSession, path: str, schema: str | None = None,
     return r.json(path)
 
 
+def json_array_elements(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """The elements of JSON arrays in a column (A10, M7), and what cannot be used.
+
+    Elements: the other columns and ``pos`` (0-based), ``kind`` ('string' or 'record'),
+    ``title`` (null for a string) and ``content``. Rejects: the other columns, ``pos`` (null
+    for a text that is no array), ``reason`` and ``raw``. Strings and records may be mixed."""
+    keep = [c for c in df.columns if c != text]
+    v = df.withColumn("_v", F.try_parse_json(text)).withColumn("_a", F.try_variant_get("_v", "$", "array<variant>"))
+    bad = v.filter(F.col("_a").isNull()).select(*keep, F.lit(None).cast("int").alias("pos"), F.lit("not an array").alias("reason"),
+                                                F.col(text).alias("raw"))
+    e = v.filter(F.col("_a").isNotNull()).select(*keep, F.posexplode("_a").alias("pos", "e")).withColumn("t", F.schema_of_variant("e"))
+    record, string = F.col("t").startswith("OBJECT"), F.col("t") == "STRING"
+    content = F.when(string, F.try_variant_get("e", "$", "string")).when(record, F.try_variant_get("e", "$.content", "string"))
+    e = e.select(*keep, "pos", F.when(string, "string").when(record, "record").alias("kind"),
+                 F.when(record, F.try_variant_get("e", "$.title", "string")).alias("title"), content.alias("content"),
+                 F.to_json("e").alias("raw"))
+    why = F.when(F.col("kind").isNull(), "neither string nor record").otherwise("no content")
+    rejects = e.filter(F.col("kind").isNull() | F.col("content").isNull()).select(*keep, "pos", why.alias("reason"), "raw")
+    return e.filter(F.col("kind").isNotNull() & F.col("content").isNotNull()).drop("raw"), bad.unionByName(rejects)
+
+
 # --- A11 / A12 -------------------------------------------------------------------------
 def write_delimited(df: DataFrame, path: str, sep: str = ",") -> None:
     """CSV/TSV with a header; every field quoted so embedded newlines,

@@ -59,6 +59,30 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def ingest_run(spark: SparkSession, source: str, sink: str, checkpoint: str, schema) -> DataFrame:
+    """One run over a growing folder (J1, J2): the checkpoint remembers which files
+    earlier runs have read; of new rows those whose (source, text hash) the sink has, from this run
+    or an earlier one, are dropped. What is remembered is the sink's own key columns, so
+    no state grows in the stream. A replayed batch replaces its ``batch=<id>`` folder.
+    Returns the sink."""
+    keys = ["source", "text_md5"]
+    docs = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(source)
+    rows = docs.select("doc_id", "source", "text", F.md5("text").alias("text_md5"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        new = batch.groupBy(*keys).agg(F.min(F.struct("doc_id", "text")).alias("r")).select("r.doc_id", *keys, "r.text")
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        earlier = [x.getPath().toString() for x in (fs.listStatus(p) if fs.exists(p) else [])
+                   if x.getPath().getName() != f"batch={batch_id}" and x.getPath().getName().startswith("batch=")]
+        if earlier:
+            new = new.join(spark.read.parquet(*earlier).select(*keys), keys, "left_anti")
+        new.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    run_available(rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), "ingest_run", spark)
+    return spark.read.parquet(sink)
+
+
 def stream_two_sinks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """One micro-batch feeds both stores (J3): the same chunks go to the
     lexical table and, encoded, to the vector table, each written under
