@@ -8,12 +8,14 @@ of path segments per host, made level by level on the table of distinct shapes:
 * a node's branches become ``*`` if they are many and rare (over ``VARIETY`` shapes of
   under ``RARE`` urls on average), or one by one if they are statistically like the
   node: the next level's shapes pass a chi-square test against the node's own (three
-  deviations), and the share of blocked among labelled urls a z test (``Z``);
-* below ``DEPTH`` segments a path goes on as ``**``.
+  deviations), and the share of blocked among labelled urls a z test (``Z``); a branch
+  without labels has its structure alone to go by;
+* the tree has ``DEPTH`` levels, more than urls in use have; below them a path goes on as ``**``.
 
-Urls that a rule decides are the labels. A template is rejected if its blocked
-share, smoothed by ``PRIOR`` urls of the overall share, reaches ``PURITY`` and half
-of its urls are labelled at least: what no rule speaks of is allowed.
+Urls that a rule decides are the labels. A template is rejected if its labelled urls'
+blocked share, smoothed by ``PRIOR`` urls of the overall share, reaches ``PURITY`` and
+they are ``LABELS`` at least; the urls of it that no rule speaks of go with it. A template of
+fewer labels is allowed.
 
 Counting is pre-aggregated, so a hot host costs a row for each of its shapes and
 map task. Defined cases: null urls and urls without ``://`` have an empty host and
@@ -28,12 +30,13 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import discard, exact, materialise
 
-DEPTH = 3
+DEPTH = 6
 VARIETY = 20
 RARE = 3
 Z = 1.96
 PRIOR = 10
 PURITY = 0.8
+LABELS = 10
 
 #: (verdict, host, path) of the rules of the query.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -93,7 +96,7 @@ def templates(urls: DataFrame) -> DataFrame:
         j = node.join(whole, up).join(chi, [*up, here]).join(df, up)
         p = F.col("ub") / F.col("ul")
         z = F.abs(F.col("b") / F.col("l") - p) <= Z * F.sqrt(p * (1 - p) / F.col("l")) + 1e-9
-        labels_like = F.when(F.col("ul") == 0, True).when(F.col("l") == 0, False).otherwise(z)
+        labels_like = F.when((F.col("ul") == 0) | (F.col("l") == 0), True).otherwise(z)
         like = (F.col("x") / F.col("n") - F.col("n") <= F.col("df") + 3 * F.sqrt(2 * F.col("df")) + 1e-6) & labels_like
         many = (F.col("kinds") > VARIETY) & (F.col("un") < RARE * F.col("kinds"))
         star = (F.col(here) != "") & (F.col("kinds") > 1) & (many | like)
@@ -116,7 +119,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, page_id:
     purity = F.round((F.col("b") + PRIOR * F.lit(base)) / (F.col("l") + PRIOR), 9)
     scored = by_template.select(
         "host", *_T, purity.alias("purity"),
-        F.when((purity >= PURITY) & (2 * F.col("l") >= F.col("n")), "block").otherwise("allow").alias("by_template"))
+        F.when((purity >= PURITY) & (F.col("l") >= LABELS), "block").otherwise("allow").alias("by_template"))
     known = tree.select("host", *_S, *_T).join(scored, ["host", *_T]).select(
         "host", *_S, F.concat(F.lit("/"), F.array_join(F.filter(F.array(*_T), lambda s: s != ""), "/")).alias("template"),
         "purity", "by_template")
@@ -163,7 +166,7 @@ GROUP BY ALL
 SELECT {up}, count(*) - 1 AS df FROM below{i} GROUP BY ALL
 ), named{i} AS (
 SELECT {up}, {here}, CASE WHEN {here} <> '' AND kinds > 1 AND ((kinds > {VARIETY} AND un < {RARE} * kinds)
-  OR (x / n - n <= df + 3 * sqrt(2 * df) + 1e-6 AND CASE WHEN ul = 0 THEN true WHEN l = 0 THEN false
+  OR (x / n - n <= df + 3 * sqrt(2 * df) + 1e-6 AND CASE WHEN ul = 0 OR l = 0 THEN true
     ELSE abs(b::DOUBLE / l - ub::DOUBLE / ul) <= {Z} * sqrt((ub::DOUBLE / ul) * (1 - ub::DOUBLE / ul) / l) + 1e-9 END))
   THEN '*' ELSE {here} END AS t{i}
 FROM node{i} JOIN whole{i} USING ({up}) JOIN chi{i} USING ({up}, {here}) JOIN df{i} USING ({up})
@@ -175,7 +178,7 @@ SELECT * FROM lv{i - 1} JOIN named{i} USING ({up}, {here})
 SELECT host, {ts}, sum(n) AS n, sum(l) AS l, sum(b) AS b FROM lv{DEPTH} GROUP BY ALL
 ), scored AS (
 SELECT host, {ts}, round((b + {PRIOR} * p0) / (l + {PRIOR}), 9) AS purity,
-  CASE WHEN round((b + {PRIOR} * p0) / (l + {PRIOR}), 9) >= {PURITY} AND 2 * l >= n THEN 'block' ELSE 'allow' END AS by_template
+  CASE WHEN round((b + {PRIOR} * p0) / (l + {PRIOR}), 9) >= {PURITY} AND l >= {LABELS} THEN 'block' ELSE 'allow' END AS by_template
 FROM template, (SELECT coalesce(sum(b)::DOUBLE / nullif(sum(l), 0), 0) AS p0 FROM template)
 ), known AS (
 SELECT host, {', '.join(_S)}, '/' || array_to_string(list_filter([{ts}], lambda s: s <> ''), '/') AS template, purity, by_template

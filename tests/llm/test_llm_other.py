@@ -168,7 +168,23 @@ def test_impure_and_pure_templates(spark):
     out = url_tree.judge(df, rules)
     equal_to_sql(out, url_tree.oracle(rules), pages=df.toPandas())
     got = {r.page_id: r for r in out.collect()}
-    assert got[100].rule is None and got[208].verdict == "allow"
+    assert got[100].rule is None and got[100].verdict == "block" and got[208].verdict == "allow"
+
+
+def test_like_branches_are_judged_together(spark):
+    """Branches of one structure under a node are one template; a branch of another structure, or a
+    template of too few labels, is left alone; no level is cut off."""
+    rows = [(i, f"http://h.com/de/{i}/view") for i in range(300)] + [(1000 + i, f"http://h.com/fr/{i}/view") for i in range(30)]
+    rows += [(2000 + i, f"http://other.com/about/team{i}") for i in range(20)] + [(3000 + i, f"http://few.com/x/{i}") for i in range(12)]
+    rows += [(4000 + i, f"http://deep.com/a/b/c/d/{'bad' if i % 2 else 'good'}/{i}") for i in range(80)]
+    rules = [("block", "h.com", "/de/"), ("block", "few.com", "/x/1"), ("block", "deep.com", "/a/b/c/d/bad/"), ("allow", "deep.com", "/a/b/c/d/good/1")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    out = url_tree.judge(df, rules)
+    equal_to_sql(out, url_tree.oracle(rules), pages=df.toPandas())
+    got = {r.page_id: r.verdict for r in out.collect()}
+    assert all(got[1000 + i] == "block" for i in range(30))
+    assert all(got[2000 + i] == "allow" for i in range(20)) and got[3002] == "allow"
+    assert all(got[4000 + i] == ("block" if i % 2 else "allow") for i in range(80))
 
 
 # 9: secrets
@@ -325,5 +341,6 @@ def test_stages_on_odd_tables(spark):
 
 def test_registry():
     assert sorted(QUERIES) == sorted(["pipeline", "op1_best_fit_packing", "op2_sentencepiece", "op3_dart_minhash", "op4_html_extract",
-                                      "op5_line_dedup", "op6_fertility", "op7_url_tree", "op8_quality_cnn", "op9_secret_link", "op10_multi_index"])
+                                      "op5_line_dedup", "op6_fertility", "op7_url_tree", "op8_quality_cnn", "op9_secret_link", "op10_multi_index",
+                                      "op11_candidate_pii", "op12_strata_search", "op13_divergence_audit"])
     assert set(ORACLE_SQL) <= set(QUERIES)
