@@ -2,9 +2,11 @@
 
 A page is read into an element tree (tolerant of missing end tags). Each element
 subtree gets a hash of its tag, names, texts and children. Spark counts on how many
-different pages of a host each subtree occurs; one that recurs on ``MIN_PAGES`` pages
-and on a share ``SHARE`` of the host's is template and is deleted where it
-occurs. Pages that are copies of one another count once, so an article is not
+different pages of a host each subtree occurs, and on how many of each section of the
+host (the first segment of a path that has more); one that recurs on ``MIN_PAGES`` pages
+and on a share ``SHARE`` of the host's or of a section's is template and is deleted on
+the pages of that host or section. So what only one part of a large host carries is
+found as on a small host. Pages that are copies of one another count once, so an article is not
 taken for template because its page was stored many times, and in an article or
 main element only containers are deleted, never its paragraphs, lists or headings.
 
@@ -14,8 +16,8 @@ text is that of the article elements left, else of the main element, else of
 the body. Block elements and line breaks part the text into blocks; in a block white
 space becomes one space, and blocks are joined in page order by one space.
 
-A host's templates number fewer than its mean subtrees on a page over ``SHARE``, so the
-list that joins a page is bounded, whatever the host's pages.
+The templates of a host or section number fewer than its mean subtrees on a page over
+``SHARE``, so the lists that join a page are bounded, whatever the host's pages.
 
 Defined cases: a null or empty page has an empty text; null urls and urls without
 ``://`` are one host, ''. Repeated rows get equal results, each its own row. Extra
@@ -27,10 +29,11 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import exact, materialise
@@ -62,7 +65,8 @@ sponsor sponsored sponsors subscribe subscription tags teaser toolbar topbar wid
 THREADS = frozenset("comment commentlist comments discussion disqus recommended related replies reply respond responses".split())
 CONTAINERS = frozenset("div section table form fieldset details center".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_START = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][^\s/>]*))")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -97,48 +101,90 @@ class Element:
         return {w.lower() for k in ("class", "id") for w in _WORD.findall(a.get(k, ""))}
 
 
+class _Open:
+    """The open elements: the innermost one, and how many there are of each tag, in
+    all and within the innermost of SCOPE, so that no tag has to search in vain."""
+
+    def __init__(self, root: Element):
+        self.here, self.tags, self.scopes = root, Counter(), [Counter()]
+
+    def enter(self, e: Element) -> None:
+        self.here = e
+        self.tags[e.tag] += 1
+        if e.tag in SCOPE:
+            self.scopes.append(Counter())
+        else:
+            self.scopes[-1][e.tag] += 1
+
+    def leave(self) -> str:
+        """Close the innermost element; its tag."""
+        tag, self.here = self.here.tag, self.here.parent
+        self.tags[tag] -= 1
+        if tag in SCOPE:
+            self.scopes.pop()
+        else:
+            self.scopes[-1][tag] -= 1
+        return tag
+
+    def end(self, tag: str) -> bool:
+        """Close the nearest element of a tag, and what is open in it."""
+        if not self.tags[tag]:
+            return False
+        while self.leave() != tag:
+            pass
+        return True
+
+    def before(self, tag: str) -> None:
+        """Close what ends where a tag starts: of its own kind all in the scope, else the nearest paragraph."""
+        ends = ENDS.get(tag, ()) + (("p",) if tag in CLOSES_P else ())
+        while any(self.scopes[-1][t] for t in ends):
+            while self.leave() not in ends:
+                pass
+            if tag not in ENDS:
+                break
+
+
 def parse(page: str) -> Element:
-    """The element tree of a page; texts are still escaped, but for raw ones."""
+    """The element tree of a page; texts are still escaped, but for raw ones.
+
+    Time is linear in the page. A tag ends at the first ``>`` outside quotes. Where none
+    follows because a quote never closes, quotes are plain characters in the rest
+    of the page; after the last ``>`` there is text, up to a comment left open."""
     root = Element("", "", None)
-    here, at, end = root, 0, len(page)
+    open_ = _Open(root)
+    at, end, last, quoted = 0, len(page), page.rfind(">"), True
     while at < end:
-        m = _TOKEN.search(page, at)
-        if not m:
-            here.children.append(page[at:])
+        m = _START.search(page, at)
+        if not m or m.end() > last:
+            note = page.find("<!--", at)
+            open_.here.children.append(page[at: note if note >= 0 else end])
             break
         if m.start() > at:
-            here.children.append(page[at: m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+            open_.here.children.append(page[at: m.start()])
+        if not m[2]:
+            mark = "-->" if m[0] == "<!--" else ">"
+            stop = page.find(mark, m.end())
+            at = stop + len(mark) if stop >= 0 else end
             continue
+        rest = _REST.match(page, m.end()) if quoted else None
+        quoted = rest is not None
+        stop = rest.end() - 1 if rest else page.find(">", m.end())
+        tag, attrs, at = m[2].lower(), page[m.end(): stop], stop + 1
         if m[1]:  # an end tag closes the nearest open element of its name, and what is open in it
-            e = here
-            while e.parent is not None and e.tag != tag:
-                e = e.parent
-            if e.parent is not None:
-                here = e.parent
-            elif tag == "br":
-                here.children.append(Element("br", "", here))
+            if not open_.end(tag) and tag == "br":
+                open_.here.children.append(Element("br", "", open_.here))
             continue
-        ends = ENDS.get(tag, ()) + (("p",) if tag in CLOSES_P else ())
-        e = here
-        while ends and e.parent is not None and (e.tag not in SCOPE or e.tag in ends):
-            if e.tag in ends:
-                here = e.parent
-                if tag not in ENDS:
-                    break
-            e = e.parent
-        child = Element(tag, m[3], here)
-        here.children.append(child)
+        open_.before(tag)
+        child = Element(tag, attrs, open_.here)
+        open_.here.children.append(child)
         if tag in RAW:
             close = re.compile(f"</{tag}", re.I).search(page, at)
             stop = close.start() if close else end
             child.children.append(page[at:stop])
             tail = page.find(">", stop)
             at = tail + 1 if close and tail >= 0 else end
-        elif tag not in VOID and not m[3].endswith("/"):
-            here = child
+        elif tag not in VOID and not attrs.endswith("/"):
+            open_.enter(child)
     return root
 
 
@@ -172,16 +218,18 @@ def _left(root: Element, templates: frozenset[int]) -> tuple[list[Element], list
     """(article elements, main elements) that are not deleted, outermost ones, in page order."""
     # what holds every article of the page is its frame, whatever its name (has-sidebar) or a missing end tag says
     held: dict[int, int] = {}
-    marked = [e for e in _walk(root) if e.tag in ("article", "main")]
-    for e in marked:
-        while e.parent is not None:
-            e = e.parent
-            held[id(e)] = held.get(id(e), 0) + 1
+    marked = 0
+    for e in _walk(root):
+        own = e.tag in ("article", "main")
+        marked += own
+        inside = held.get(id(e), 0) + own
+        if inside and e.parent is not None:
+            held[id(e.parent)] = held.get(id(e.parent), 0) + inside
     articles, mains = [], []
     stack = [root]
     while stack:
         e = stack.pop()
-        frame = e.parent is None or held.get(id(e)) == len(marked) and not e.words() & THREADS
+        frame = e.parent is None or held.get(id(e)) == marked and not e.words() & THREADS
         if not frame and (not e.is_content(False) or e.digest in templates and e.tag not in ("article", "main")):
             continue
         if e.tag == "article":
@@ -228,48 +276,63 @@ def text_of(root: Element, templates: frozenset[int]) -> str:
     return " ".join(blocks)
 
 
+def _places(url: Column) -> list[Column]:
+    """Host and section of a url; a path of one segment is in no section (null)."""
+    host, path = host_path(url)
+    return [host.alias("host"), F.nullif(F.regexp_extract(path, "^/([^/]+)/", 1), F.lit("")).alias("section")]
+
+
 def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, templates): the hashes of each host's template subtrees."""
-    rows = pages.select(host_path(exact(url))[0].alias("host"), exact(html).alias("html")).filter("html is not null")
+    """(host, section, templates): the hashes of the template subtrees of each host
+    (section null) and of its sections."""
+    rows = pages.select(*_places(exact(url)), exact(html).alias("html")).filter("html is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 64):
-                hosts, page, subtree = [], [], []
-                for host, text in zip(*(c.to_pylist() for c in b.slice(at, 64).columns), strict=True):
+                hosts, sections, page, subtree = [], [], [], []
+                for host, section, text in zip(*(c.to_pylist() for c in b.slice(at, 64).columns), strict=True):
                     root = parse(text)
                     seen = {e.digest for e in digest(root)}
-                    hosts += [host] * len(seen)
-                    page += [root.digest] * len(seen)  # equal for copies of a page
-                    subtree += seen
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(page, pa.int64()), pa.array(subtree, pa.int64())],
-                                                 ["host", "page", "subtree"])
+                    for place in {None, section}:
+                        hosts += [host] * len(seen)
+                        sections += [place] * len(seen)
+                        page += [root.digest] * len(seen)  # equal for copies of a page
+                        subtree += seen
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hosts, pa.string()), pa.array(sections, pa.string()), pa.array(page, pa.int64()), pa.array(subtree, pa.int64())],
+                    ["host", "section", "page", "subtree"])
 
-    seen = rows.mapInArrow(run, "host string, page long, subtree long").distinct()
-    count = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_PAGES)
-    size = seen.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    return (count.join(size, "host").filter(F.col("n") >= SHARE * F.col("pages"))
-            .groupBy("host").agg(F.collect_list("subtree").alias("templates")))
+    place = ["host", "section"]
+    seen = rows.mapInArrow(run, "host string, section string, page long, subtree long").distinct()
+    count = seen.groupBy(*place, "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_PAGES)
+    size = seen.select(*place, "page").distinct().groupBy(*place).agg(F.count(F.lit(1)).alias("pages"))
+    size = size.select(F.col("host").alias("h"), F.col("section").alias("s"), "pages")
+    return (count.join(size, (F.col("host") == F.col("h")) & F.col("section").eqNullSafe(F.col("s")))
+            .filter(F.col("n") >= SHARE * F.col("pages"))
+            .groupBy(*place).agg(F.collect_list("subtree").alias("templates")))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every row."""
-    src = pages.select(exact(page_id).alias("page_id"), exact(url).alias("url"), exact(html).alias("html"),
-                       host_path(exact(url))[0].alias("host"))
+    src = pages.select(exact(page_id).alias("page_id"), exact(url).alias("url"), exact(html).alias("html"), *_places(exact(url)))
     # written first, so that its size is known: pages are shuffled by host only if it is too large to broadcast
-    known = src.join(materialise(templates(pages, url, html), "templates"), "host", "left").select(
-        "page_id", "url", "html", "templates")
+    found = materialise(templates(pages, url, html), "templates")
+    known = (src.join(found.filter("section is null").select("host", F.col("templates").alias("of_host")), "host", "left")
+             .join(found.filter("section is not null").withColumnRenamed("templates", "of_section"), ["host", "section"], "left")
+             .select("page_id", "url", "html", "of_host", "of_section"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
                 texts = []
-                for page, found in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                for page, *lists in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                     root = parse(page or "")
+                    found = frozenset(t for one in lists for t in one or ())
                     if found:
                         digest(root)
-                    texts.append(text_of(root, frozenset(found or ())) if page else "")
+                    texts.append(text_of(root, found) if page else "")
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     ["page_id", "url", "text", "n_chars"])

@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -113,6 +114,57 @@ def test_templates_go_and_articles_stay(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<div></x>", '<a "', "<div>", "<p><select><b><h1>", "<b><li>", "<article>", "<!", "<a<", "<a b=\" '>"])
+def test_malformed_pages_take_linear_time(unit):
+    def seconds(n):
+        began = time.process_time()
+        html_extract.text_of(html_extract.parse(unit * n), frozenset())
+        return time.process_time() - began
+    seconds(100)
+    assert seconds(40_000) < 16 * seconds(5_000) + 0.5  # eight times the page; quadratic time would be 64 times
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<p title="x>y">a</p><p title="z>b</p>c', "a b c"),  # the quote of z never closes: its tag ends at the next ">"
+    ("a<b", "a<b"), ("a<b <!-- c", "a<b"), ("a<!-- c", "a"), ("<p>a</q></p>b", "a b"), ("<b><p>a<h1>b</b>c", "a b c"),
+])
+def test_broken_markup(page, text):
+    assert html_extract.text_of(html_extract.parse(page), frozenset()) == text
+
+
+def test_templates_of_sections_without_articles(spark):
+    """Pages without article or main element, and no telling names: recurrence alone decides.
+    A notice of the small section is on under a tenth of the host's pages."""
+    every, some = "<div class=q1><p>All rights kept</p></div>", "<div class=q2><p>Only news readers see this</p></div>"
+    pages = [(i, f"http://big.org/wiki/{i}", f"<body>{every}<div><p>Entry {i} of many</p></div></body>") for i in range(80)]
+    pages += [(100 + i, f"http://big.org/news/{i}", f"<body>{every}{some}<div><p>Item {i} of few</p></div></body>") for i in range(6)]
+    pages += [(200, "http://big.org/wiki/x", f"<body>{some}<p>quotes it</p></body>"), (201, "http://big.org/x", f"<body>{every}<p>top</p></body>"),
+              (202, "http://other.org/news/x", f"<body>{some}<p>elsewhere</p></body>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 AS section", "2 AS of_host", "3 AS h")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert all(got[i] == f"Entry {i} of many" for i in range(80))
+    assert all(got[100 + i] == f"Item {i} of few" for i in range(6))
+    assert got[200] == "Only news readers see this quotes it" and got[201] == "top" and got[202] == "Only news readers see this elsewhere"
+
+
+def test_templates_against_brute_force(spark):
+    df = spark.read.parquet(f"{SF01.replace('sf0.01', 'sf0.1')}/pages.parquet")  # sf0.01 has no host with templates
+    subtrees, pages = collections.defaultdict(set), collections.defaultdict(set)
+    for p in df.collect():
+        rest = (p.url or "").partition("://")[2]
+        host = re.match("[^/?#]*", rest)[0].lower()
+        path = re.match("[^/?#]*([^?#]*)", rest)[1].split("/")
+        root = html_extract.parse(p.html)
+        found = {e.digest for e in html_extract.digest(root)}
+        for place in {(host, None), (host, path[1] if len(path) > 2 and path[1] else None)}:
+            pages[place].add(root.digest)
+            for d in found:
+                subtrees[place, d].add(root.digest)
+    want = {(place, d) for (place, d), on in subtrees.items() if len(on) >= 5 and len(on) * 10 >= len(pages[place])}
+    got = {((r.host, r.section), d) for r in html_extract.templates(df).collect() for d in r.templates}
+    assert got == want and any(place[1] for place, _ in got)
+
+
 def test_extract_query_matches_marked_up_articles(spark):
     got = {r.page_id: r for r in QUERIES["op4_html_extract"](spark, SF01).collect()}
     pages = spark.read.parquet(f"{SF01}/pages.parquet").collect()
