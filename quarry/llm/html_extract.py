@@ -293,7 +293,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
                 hosts, sections, page, subtree = [], [], [], []
                 for host, section, text in zip(*(c.to_pylist() for c in b.slice(at, 64).columns), strict=True):
                     root = parse(text)
-                    seen = {e.digest for e in digest(root)}
+                    seen = {e.digest for e in digest(root)} | {None}  # null counts the pages
                     for place in {None, section}:
                         hosts += [host] * len(seen)
                         sections += [place] * len(seen)
@@ -305,10 +305,10 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
 
     place = ["host", "section"]
     seen = rows.mapInArrow(run, "host string, section string, page long, subtree long").distinct()
-    count = seen.groupBy(*place, "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_PAGES)
-    size = seen.select(*place, "page").distinct().groupBy(*place).agg(F.count(F.lit(1)).alias("pages"))
-    size = size.select(F.col("host").alias("h"), F.col("section").alias("s"), "pages")
-    return (count.join(size, (F.col("host") == F.col("h")) & F.col("section").eqNullSafe(F.col("s")))
+    often = materialise(seen.groupBy(*place, "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_PAGES), "often")
+    size = often.filter("subtree is null").select(F.col("host").alias("h"), F.col("section").alias("s"), F.col("n").alias("pages"))
+    return (often.filter("subtree is not null")
+            .join(size, (F.col("host") == F.col("h")) & F.col("section").eqNullSafe(F.col("s")))
             .filter(F.col("n") >= SHARE * F.col("pages"))
             .groupBy(*place).agg(F.collect_list("subtree").alias("templates")))
 
