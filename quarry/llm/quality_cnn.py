@@ -6,9 +6,11 @@ filters of ``KERNEL`` bytes slide over each chunk, and each keeps its maximum.
 The largest and the mean value over the chunks feed one logistic output.
 
 Training: labelled rows are picked by the order of a hash of doc_id, half of
-them of either label, ``SAMPLE`` in all, and of each up to ``TRAIN_CHUNKS`` chunks
-spread evenly over its text. This bounded sample is all that the driver gets.
-Rows whose crc32(doc_id as text) mod 4 is 2 are never learned from. The score
+them of either label, ``SAMPLE`` rows and ``SAMPLE_CHUNKS`` chunks in all at most; rows of
+over ``ROW_CHUNKS`` chunks are not picked. A picked text is learned from whole, so that the
+mean over its chunks is the same measure as in scoring. This bounded sample is all that the
+driver gets, and a step holds ``STEP_CHUNKS`` chunks at once. Of repeated ids with different
+texts the first by hash is taken. Rows whose crc32(doc_id as text) mod 4 is 2 are never learned from. The score
 is corrected from the sample's share of labels to that of all labelled rows.
 Scoring reads every text whole.
 
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import exact
@@ -35,7 +37,9 @@ CHUNK, OVERLAP = 512, 64
 KERNEL, STRIDE = 16, 4
 WIDTH, FILTERS = 8, 32
 SAMPLE = 4096
-TRAIN_CHUNKS = 6
+SAMPLE_CHUNKS = 32768
+ROW_CHUNKS = 512
+STEP_CHUNKS = 1024
 EPOCHS, BATCH, RATE, DECAY = 24, 64, 0.005, 1e-4
 THRESHOLD = 0.7
 
@@ -121,9 +125,14 @@ class Network:
             order = rng.permutation(n)
             for i in range(0, n, BATCH):
                 docs = order[i: i + BATCH]
-                idx, pos = expand(first[docs + 1] - first[docs])
-                mine = first[docs][idx] + pos
-                grad = self.gradients(chunks[mine], idx, label[docs])
+                sizes = first[docs + 1] - first[docs]
+                grad: dict[str, np.ndarray] = {}
+                # documents add up, so a batch of long ones is gone through in parts
+                for part in np.split(np.arange(len(docs)), np.flatnonzero(np.diff(np.cumsum(sizes) // STEP_CHUNKS)) + 1):
+                    idx, pos = expand(sizes[part])
+                    one = self.gradients(chunks[first[docs[part]][idx] + pos], idx, label[docs[part]])
+                    for k, g in one.items():
+                        grad[k] = grad.get(k, 0) + g * np.float32(len(part) / len(docs))
                 t += 1
                 for k, g in grad.items():
                     g = g + DECAY * self.p[k]
@@ -160,19 +169,18 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, label, text) to up to TRAIN_CHUNKS evenly spread chunks of each row, as bytes."""
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, label, text) to all chunks of each row, as bytes."""
     for b in batches:
         for i, j, data, offs in text_blocks(b.column(2)):
             row, start = chunk_starts(np.diff(offs))
-            count = np.bincount(row, minlength=j - i)
-            r, k = expand(np.minimum(count, TRAIN_CHUNKS))
-            pick = (np.cumsum(count) - count)[r] + k * count[r] // np.minimum(count, TRAIN_CHUNKS)[r]
-            x = cut(data, offs, row[pick], start[pick])
-            at = pa.array(r + i)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), pa.array(k), pa.array([c.tobytes() for c in x], pa.binary())],
-                ["id", "label", "k", "chunk"])
+            k = np.arange(len(row)) - np.searchsorted(row, np.arange(j - i))[row]
+            for at in range(0, len(row), 4096):
+                r = row[at: at + 4096]
+                x, take = cut(data, offs, r, start[at: at + 4096]), pa.array(r + i)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(k[at: at + 4096].astype(np.int64)),
+                     pa.array([c.tobytes() for c in x], pa.binary())], ["id", "label", "k", "chunk"])
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -194,8 +202,17 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     # at most SAMPLE ids, so the broadcast is bounded
     rows = (docs.select(exact(doc_id).alias("id"), exact(text).alias("text"))
             .join(F.broadcast(picked), "id").select("id", "label", "text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    chunks = F.greatest(F.lit(1), F.ceil((size - OVERLAP) / _HOP))
+    version = F.xxhash64(F.coalesce("text", F.lit("")))
+    sizes = (rows.groupBy("id", "label").agg(F.min(F.struct(version.alias("version"), chunks.alias("n"))).alias("v"))
+             .filter(F.col("v.n") <= ROW_CHUNKS))
+    so_far = F.sum("v.n").over(Window.partitionBy("label").orderBy(*order))
+    taken = (sizes.withColumn("so_far", so_far).filter(F.col("so_far") <= SAMPLE_CHUNKS // 2)
+             .select("id", F.col("v.version").alias("version")))
     kind = rows.schema["id"].dataType.simpleString()
-    got = (rows.mapInArrow(_spread, f"id {kind}, label int, k long, chunk binary")
+    got = (rows.withColumn("version", version).join(F.broadcast(taken), ["id", "version"])
+           .select("id", "label", "text").mapInArrow(_whole, f"id {kind}, label int, k long, chunk binary")
            .dropDuplicates(["id", "k"]).toArrow().sort_by([("id", "ascending"), ("k", "ascending")]))
     if not got.num_rows:
         net.constant = (n1 + 1) / (n0 + n1 + 2)

@@ -17,6 +17,7 @@ import sentencepiece
 from conftest import SF001, SF01
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quarry.llm import fertility, html_extract, numtext, quality_cnn, sp_encode
 from quarry.llm.queries import QUERIES
@@ -290,6 +291,63 @@ def test_gradients_are_those_of_the_loss():
         assert g[at] == pytest.approx((up - down) / 2e-5, rel=1e-2, abs=1e-6), k
 
 
+def plain_score(net, text):
+    """The network written out: every window of every chunk of the whole text, by loops."""
+    data, h = (text or "").encode(), []
+    for start in range(0, max(1, len(data) - quality_cnn.OVERLAP), quality_cnn.CHUNK - quality_cnn.OVERLAP):
+        chunk = data[start: start + quality_cnn.CHUNK].ljust(quality_cnn.CHUNK, b"\0")
+        places = range(0, quality_cnn.CHUNK - quality_cnn.KERNEL + 1, quality_cnn.STRIDE)
+        seen = [np.concatenate([net.p["embed"][c] for c in chunk[i: i + quality_cnn.KERNEL]]) for i in places]
+        h.append([max(0.0, max(float(w @ net.p["filter"][:, f]) + net.p["bias"][f] for w in seen)) for f in range(quality_cnn.FILTERS)])
+    x = [max(c) for c in zip(*h)] + [sum(c) / len(h) for c in zip(*h)]
+    z = sum(a * b for a, b in zip(x, net.p["out"])) + net.p["base"][0] + net.shift
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_against_the_network_written_out(spark):
+    rng, net = random.Random(4), quality_cnn.Network(seed=3)
+    net.p["bias"] += np.linspace(-0.3, 0.3, quality_cnn.FILTERS).astype(np.float32)
+    net.shift = 0.7
+    texts = [None, "", "a", "é" * 300, *("".join(rng.choice("abcdefgh .\n日é") for _ in range(n)) for n in (511, 960, 2000))]
+    got = {r.doc_id: r.score for r in quality_cnn.score(doc_rows(spark, texts), net).collect()}
+    assert got == pytest.approx({i: plain_score(net, t) for i, t in enumerate(texts)}, abs=1e-5)
+
+
+def test_training_takes_whole_texts_within_its_bounds(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdef ") for _ in range(n)) for n in [100, 3000, 9000, 400, 12000, 50, 700, 100_000]]
+    df = doc_rows(spark, texts * 4)
+    df = df.unionByName(df.filter("doc_id < 4")).unionByName(df.filter("doc_id = 1").withColumn("text", F.lit("another text")))
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(32)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_cnn.Network, "fit", lambda self, chunks, row, label: seen.append((chunks.copy(), row.copy(), label.copy())))
+    monkeypatch.setattr(quality_cnn, "ROW_CHUNKS", 30)
+    for bound in (1000, 60):
+        monkeypatch.setattr(quality_cnn, "SAMPLE_CHUNKS", bound)
+        quality_cnn.train(df, labels)
+        chunks, row, label = seen.pop()
+        counts = np.bincount(row)
+        assert len(label) == len(counts) and 0 < len(chunks) <= bound and counts.max() <= 30
+        whole = {len(quality_cnn.chunk_starts(np.array([len(t.encode())]))[0]) for t in texts} | {1}
+        assert set(counts) <= whole
+        if bound == 1000:
+            assert len(label) == sum(zlib.crc32(str(i).encode()) % 4 != 2 and i % 8 != 7 for i in range(32))
+
+
+def test_parts_of_a_batch_add_up(monkeypatch):
+    rng = np.random.default_rng(6)
+    row = np.sort(np.append(rng.integers(0, 20, 60), np.arange(20)))
+    chunks, label = rng.integers(0, 256, (80, quality_cnn.CHUNK)).astype(np.uint8), (np.arange(20) % 2).astype(np.float32)
+    monkeypatch.setattr(quality_cnn, "EPOCHS", 1)
+    nets = []
+    for step in (1 << 20, 8):
+        monkeypatch.setattr(quality_cnn, "STEP_CHUNKS", step)
+        net = quality_cnn.Network()
+        net.fit(chunks, row, label)
+        nets.append(net)
+    assert all(np.allclose(nets[0].p[k], nets[1].p[k], atol=2e-3) for k in ("filter", "out", "base", "bias"))
+
+
 def test_chunks_cover_every_byte():
     for n in (0, 1, 511, 512, 513, 960, 961, 5000):
         row, start = quality_cnn.chunk_starts(np.array([n]))
