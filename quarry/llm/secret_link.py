@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import exact, free_name, materialise
 
 SCOPE = 200
+BLOCK = 4096
 
 # fixed values: the patterns of the base kinds
 ASSIGN = (r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"""
@@ -126,31 +127,54 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         F.coalesce(_listed(F.col("a")), F.lit("")).alias("spans"))
 
 
-def _masked(text: Column, kind: str, pattern: str, reported: Column | None) -> Column:
-    """The text with the matches that count, or are among ``reported``, as [kind]."""
-    def piece(gap: Column, match: Column) -> Column:
-        ok = holds(kind, match) if reported is None else F.array_contains(reported, match)
-        return F.concat(gap, F.when(match.isNull(), "").when(ok, f"[{kind}]").otherwise(match))
-    return F.array_join(F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-                                   piece), "")
+def _cuts(spans: DataFrame) -> DataFrame:
+    """(key, key2, cuts) of the documents with reported spans: for each block of ``BLOCK`` code
+    points that they reach, what to leave out (from, to) and what to put there.
+
+    Spans that overlap are one, of the kind that begins first, then of the longest."""
+    sure = linked(spans).select(*_KEY, "kind", "match").distinct()
+    told = (spans.filter(F.col("kind").isin(*BASE))
+            .unionByName(spans.join(sure, [*_KEY, "kind", "match"], "left_semi")))
+    order = Window.partitionBy(*_KEY).orderBy("start", F.desc("end"), "ord")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    one = (told.withColumn("first", F.coalesce(F.col("start") >= reached, F.lit(True)).cast("int"))
+           .withColumn("place", F.sum("first").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+           .groupBy(*_KEY, "place").agg(F.min("start").alias("start"), F.max("end").alias("end"),
+                                        F.max(F.when(F.col("first") == 1, F.col("kind"))).alias("kind")))
+    block = F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("end") - 1) / BLOCK))).alias("block")
+    at = F.col("block") * BLOCK
+    return (one.select(*_KEY, "start", "end", "kind", block)
+            .select(*_KEY, "block", F.struct(
+                F.greatest(F.col("start") - at, F.lit(0)).cast("int").alias("lo"),
+                F.least(F.col("end") - at, F.lit(BLOCK)).cast("int").alias("hi"),
+                F.when(F.col("start") >= at, F.concat(F.lit("["), "kind", F.lit("]"))).otherwise("").alias("put")).alias("cut"))
+            .groupBy(*_KEY, "block").agg(F.sort_array(F.collect_list("cut")).alias("cut"))
+            .groupBy(*_KEY).agg(F.map_from_entries(F.collect_list(F.struct("block", "cut"))).alias("cuts")))
+
+
+def _without(block: Column, cut: Column) -> Column:
+    """A block of text with its cuts made."""
+    def piece(c: Column, i: Column) -> Column:
+        from_ = F.coalesce(F.get(cut, i - 1)["hi"], F.lit(0))
+        return F.concat(F.substr(block, from_ + 1, c["lo"] - from_), c["put"])
+    tail = F.substr(block, F.element_at(cut, -1)["hi"] + 1)
+    return F.when(cut.isNull(), block).otherwise(F.concat(F.array_join(F.transform(cut, piece), ""), tail))
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every reported span of ``text`` replaced by its kind in
     square brackets; a confirmed weak match is replaced wherever its text has it.
 
-    A text is put together from what lies between the matches of one kind after
-    the other, in proportion to its length."""
+    Spans are cut out by their places in the text as it was, so one kind's mask hides nothing
+    of another's. A text is gone through block by block, in proportion to its length."""
     spans = materialise(candidates(docs, doc_id, text), "spans")
-    found = (linked(spans).groupBy(*_KEY)
-             .agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("match"))).alias(f"w_{k}") for k, *_ in KINDS[3:]]))
-    names = {c: free_name(docs, c) for c in [*_KEY, *(f"w_{k}" for k, *_ in KINDS[3:])]}
+    names = {c: free_name(docs, c) for c in [*_KEY, "cuts"]}
     rows = docs.withColumns({names[c]: e for c, e in zip(_KEY, _keys(docs, doc_id, text), strict=True)})
-    rows = rows.join(found.withColumnsRenamed(names), [names[k] for k in _KEY], "left")
-    for k, p, *_ in KINDS:
-        reported = exact(names[f"w_{k}"]) if k not in BASE else None
-        rows = rows.withColumn(text, F.when(exact(text).rlike(p) if reported is None else F.size(reported) > 0,
-                                            _masked(exact(text), k, p, reported)).otherwise(exact(text)))
+    rows = rows.join(_cuts(spans).withColumnsRenamed(names), [names[k] for k in _KEY], "left")
+    cuts = exact(names["cuts"])
+    blocks = F.regexp_extract_all(exact(text), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    whole = F.array_join(F.transform(blocks, lambda b, i: _without(b, F.try_element_at(cuts, i.cast("long")))), "")
+    rows = rows.withColumn(text, F.when(cuts.isNull(), exact(text)).otherwise(whole))
     return rows.select(*[exact(c) for c in docs.columns])
 
 
