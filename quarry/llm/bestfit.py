@@ -122,36 +122,44 @@ def words(text: Column) -> Column:
 def best_fit(docs: DataFrame, doc_id: str = "doc_id", size: Column | None = None, source: str | None = "source",
              cluster: Column | None = None, text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start (first word), n_words, bin_id (null
-    for empty rows), bin_offset. ``size`` defaults to the words of ``text``,
+    for empty rows), bin_offset, content (hash of the whole text, null for null). ``size`` defaults to the words of ``text``,
     ``cluster`` to its content hash (copies conflict)."""
     t = exact(text)
     src = docs.select(
         exact(doc_id).alias("doc_id"), (words(t) if size is None else size).alias("size"),
         (exact(source).cast("string") if source else F.lit(None).cast("string")).alias("source"),
-        (F.when(t.isNotNull(), F.xxhash64(t)) if cluster is None else cluster).alias("cluster"))
+        _content(t).alias("content"), (_content(t) if cluster is None else cluster).alias("cluster"))
     rows = docs.count()
     shards = max(1, -(-rows // SHARD_ROWS))
     # of equal ids the cluster and size decide, so a task run anew deals alike
     src = src.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "size"), F.lit(shards)))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by([("doc_id", "ascending"), ("cluster", "ascending"), ("size", "ascending")])
+        t = t.sort_by([(c, "ascending") for c in ("doc_id", "cluster", "size", "content")])
         got = pack(t["size"].to_numpy(), t["source"].to_pylist(), t["cluster"].to_pylist(), np.arange(t.num_rows), capacity)
         row, piece, start, n, bin_, off = (pa.array(x.astype(np.int64)) for x in got)
         name = pa.array((key[0].as_py() << 32) + got[4], pa.int64(), mask=got[4] < 0)
-        return pa.table([t["doc_id"].take(row), piece, start, n, name, off],
-                        ["doc_id", "piece", "start", "n_words", "bin_id", "bin_offset"])
+        return pa.table([t["doc_id"].take(row), piece, start, n, name, off, t["content"].take(row)],
+                        ["doc_id", "piece", "start", "n_words", "bin_id", "bin_offset", "content"])
 
     kind = src.schema["doc_id"].dataType.simpleString()
     return src.groupBy("shard").applyInArrow(
-        run, f"doc_id {kind}, piece long, start long, n_words long, bin_id long, bin_offset long")
+        run, f"doc_id {kind}, piece long, start long, n_words long, bin_id long, bin_offset long, content long")
+
+
+def _content(text: Column) -> Column:
+    return F.when(text.isNotNull(), F.xxhash64(text))
 
 
 def sequences(docs: DataFrame, placed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(bin_id, doc_ids, text) of the bins: their pieces' words in order, by one
-    space. A bin is bounded by its capacity. Needs unique doc_ids."""
-    w = F.filter(F.split(exact(text), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    part = (placed.filter("bin_id is not null").join(docs.select(exact(doc_id).alias("doc_id"), w.alias("w")), "doc_id")
+    space. A bin is bounded by its capacity. A piece finds its text by doc_id and content, so
+    rows that repeat a doc_id, with the same text or another, and null doc_ids are each themselves."""
+    w = F.filter(F.split("t", r"[\x20\x09-\x0D]+"), lambda x: x != "").alias("w")
+    texts = (docs.select(exact(doc_id).alias("id"), _content(exact(text)).alias("hash"), exact(text).alias("t"))
+             .filter("hash is not null").dropDuplicates(["id", "hash"]).select("id", "hash", w))
+    part = (placed.filter("bin_id is not null")
+            .join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("content") == F.col("hash")))
             .select("bin_id", "bin_offset", "doc_id", F.array_join(F.expr("slice(w, cast(start + 1 as int), cast(n_words as int))"), " ").alias("t")))
     whole = part.groupBy("bin_id").agg(F.sort_array(F.collect_list(F.struct("bin_offset", "doc_id", "t"))).alias("p"))
     return whole.select("bin_id", F.col("p.doc_id").alias("doc_ids"), F.array_join(F.col("p.t"), " ").alias("text"))

@@ -133,6 +133,12 @@ def test_packing_odd_rows(spark):
     assert bestfit.best_fit(df.limit(0)).count() == 0
     texts = bestfit.sequences(df.filter("doc_id > 1"), bestfit.best_fit(df.filter("doc_id > 1"), capacity=4)).collect()
     assert sorted(r.text for r in texts) == ["w", "w w w w", "w w w w"]
+    more = df.unionByName(spark.createDataFrame([(1, "d e f g h", "s"), (None, "y", "q")], "doc_id long, text string, source string")
+                          .selectExpr("*", "1 AS size", "2 AS shard"))
+    bins = bestfit.sequences(more, bestfit.best_fit(more, capacity=4)).collect()
+    assert all(len(r.text.split()) <= 4 and len(r.doc_ids) == len(set(r.doc_ids)) or None in r.doc_ids for r in bins)
+    assert collections.Counter(" ".join(r.text for r in bins).split()) == collections.Counter(
+        "a b c a b c x d e f g h y".split() + ["w"] * 9)
 
 
 # 7: url filter
