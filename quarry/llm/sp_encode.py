@@ -15,7 +15,7 @@ units between cuts repeat and are kept in a bounded memo. Both properties are
 read off the vocabulary, and the text is left whole where one is lacking.
 
 Characters without a piece become byte pieces. Decoding joins the pieces, turns
-space marks into spaces, byte pieces into UTF-8 (U+FFFD where it is broken) and
+space marks into spaces, byte pieces into UTF-8 (a U+FFFD for each broken byte) and
 drops the one space that encoding puts in front.
 
 Defined cases: a null text counts as empty; an empty text has no ids and
@@ -26,6 +26,7 @@ rows get equal results, extra columns are not read.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 from collections.abc import Iterator
@@ -42,6 +43,10 @@ MEMO = 400_000
 MEMO_CHARS = 48
 STRETCH = 1 << 20
 
+#: Error handler of ``bytes.decode``: a U+FFFD for each broken byte, not one for a run of them.
+BROKEN = "quarry-each-byte"
+codecs.register_error(BROKEN, lambda e: ("\ufffd" * (e.end - e.start), e.end))
+
 
 class Vocabulary:
     """The pieces of a SentencePiece BPE model and what encoding needs of them."""
@@ -159,10 +164,10 @@ class Vocabulary:
                 raw.append(self.byte_of[int(i)])
                 continue
             if raw:
-                out.append(raw.decode("utf-8", "replace"))
+                out.append(raw.decode("utf-8", BROKEN))
                 raw.clear()
             out.append(self.spaced[i])
-        out.append(raw.decode("utf-8", "replace"))
+        out.append(raw.decode("utf-8", BROKEN))
         return "".join(out)
 
     def stretches(self, text: str) -> Iterator[list[str]]:
