@@ -284,6 +284,16 @@ def test_audit_against_brute_force(spark, monkeypatch, dense, sent, shard, tile)
     assert sorted(map(tuple, got.collect())) == plain_audit(docs, 12, 4)
 
 
+def test_pairs_are_named_alike_in_every_shard():
+    rows = [{"lang": "en", "part": 0, "a": 0, "b": 0, "source": x, "block": 0, "size": 2, "total": 9, "vocabulary": 2, "counts": c}
+            for x, c in (("s1", [1, 8]), ("s2", None), ("s3", [9, 0]))]
+    tile = lambda r: sorted(map(tuple, (x.values() for x in divergence._tile(pa.Table.from_pylist(
+        r, pa.schema([("lang", pa.string()), ("part", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("source", pa.string()), ("block", pa.int32()),
+                      ("size", pa.int32()), ("total", pa.int64()), ("vocabulary", pa.int64()), ("counts", pa.list_(pa.int64()))]))).to_pylist())))
+    assert len(tile(rows)) == 3
+    assert tile(rows) == tile(rows[::-1]) == tile([rows[1], rows[2], rows[0]])
+
+
 def test_audit_of_nothing(spark):
     assert divergence.audit(spark.createDataFrame([], DOCS)).count() == 0
 
