@@ -50,3 +50,23 @@ def test_chunk_windows_is_linear(spark):
         chunk_windows(df).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t
     assert seconds(800_000) < 4 * seconds(200_000) + 0.5
+
+
+def test_recursive_chunks_are_held_for_a_few_documents():
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    class Docs:  # what chunk_recursive asks of a table
+        schema = T.StructType([T.StructField("doc_id", T.LongType())])
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):
+            return run
+    from quarry.operators.chunk import RUN
+    run = chunk_recursive(Docs(), size=10, overlap=0, keep=("doc_id",))
+    whole = pd.DataFrame({"doc_id": range(500), "text": ["some words and more"] * 500})
+    parts = list(run(iter([whole])))
+    assert max(p["doc_id"].nunique() for p in parts) <= RUN < 500
+    assert pd.concat(parts)["doc_id"].nunique() == 500
