@@ -76,3 +76,23 @@ def test_normalise_is_linear_in_width(spark):
         V.normalize(df, "v").write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t
     assert seconds(1024) < 8 * seconds(256) + 0.5
+
+
+def test_copies_of_an_all_pairs_search_do_not_grow(spark):
+    blocks = lambda n: spark.range(n).agg(V._blocks(V.Q_ROWS, V.SPREAD), V._blocks(V.I_ROWS)).first()
+    assert tuple(blocks(1000)) == (1, 1)
+    assert tuple(blocks(50_000)) == (16, 2) and tuple(blocks(250_000)) == (16, 8)
+    assert tuple(blocks(2_000_000)) == (123, 62)  # blocks stay bounded
+
+
+def test_ivf_questions_do_not_pass_the_driver(spark, monkeypatch):
+    x, label, df = make(spark)
+    cents = V.label_centroids(df, "label", "embedding")
+    q = df.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    it = df.select("vec_id", F.col("embedding").alias("ivec"))
+    store = V.CellStore.create(spark, __import__("tempfile").mkdtemp() + "/s", it, "vec_id", "ivec", cents)
+    store.append(it, "vec_id", "ivec")
+    want = sorted(map(tuple, store.search(q, 5, 2, "qid", "qvec", "vec_id", True).collect()))
+    monkeypatch.setattr(type(q), "toLocalIterator", None)
+    got = V.ivf_search(q, it, cents, 5, 2, iid="vec_id", exclude_self=True)
+    assert sorted(map(tuple, got.collect())) == want
