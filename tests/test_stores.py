@@ -157,3 +157,43 @@ def test_nulls_and_ties_in_cells(spark):
     store.append(df, "vec_id", "embedding")
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "qid long, qvec array<double>")
     assert rows(store.search(q, 3, iid="vec_id")) == [(1, 1, 1.0, 1), (1, 3, 1.0, 2), (1, 5, 1.0, 3)]
+
+
+def test_search_shuffles_no_postings(spark):
+    """A shard is one file of one row group, read whole by one task: a search moves only its best rows."""
+    import glob
+
+    import pyarrow.parquet as pq
+    c = chunks(spark)
+    store = lexical.LexicalStore.create(spark, folder(), c)
+    store.append(c.repartition(3))
+    store.compact(shard=32)
+    for d in glob.glob(f"{store.segments.path}/postings/segment=*/shard=*"):
+        files = glob.glob(f"{d}/*.parquet")
+        assert len(files) == 1 and pq.ParquetFile(files[0]).num_row_groups == 1
+    found = store.search(spark.createDataFrame([(1, "hot word3")], "item_id long, text string"), 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    assert not any("posts" in line for line in plan.splitlines() if "Exchange hash" in line)
+
+
+def test_runs_are_bounded_by_terms(monkeypatch):
+    monkeypatch.setattr(lexical, "SHARD", 3)
+    monkeypatch.setattr(lexical, "SHARD_TERMS", 10)
+    assert list(lexical._runs(np.array([4, 4, 4, 50, 0, 0, 0, 0, 1]))) == [(0, 2), (2, 3), (3, 4), (4, 7), (7, 9)]
+    assert list(lexical._runs(np.zeros(0, np.int64))) == []
+
+
+def test_a_task_merges_its_shards(monkeypatch):
+    """A shard over several batches is one; of all shards a question has k rows."""
+    import pyarrow as pa
+    posts = pa.list_(pa.struct([("pos", pa.int32()), ("dl", pa.int32()), ("tf", pa.int32()), ("k0", pa.int64())]))
+    one = lambda shard, term, ids: pa.RecordBatch.from_pylist(
+        [{"segment": "s", "shard": shard, "term": term, "posts": [{"pos": i, "dl": 2, "tf": 1, "k0": 10 * shard + i} for i in ids]}],
+        pa.schema([("segment", pa.string()), ("shard", pa.int64()), ("term", pa.string()), ("posts", posts)]))
+
+    class Sent:
+        value = [7], ["a", "b"], [np.array([0, 1])], [np.array([1.0, 1.0])]
+    run = lexical._best_chunks(Sent, ["doc_id"], "q", pa.int64(), 2, 1.2, 0.75, 2.0)
+    out = pa.Table.from_batches(run(iter([one(1, "a", [0, 1, 2]), one(1, "b", [2]), one(2, "a", [0]), one(2, "b", [0, 1])]))).to_pylist()
+    assert [(r["q"], r["doc_id"]) for r in out] == [(7, 12), (7, 20)] and out[0]["score"] == out[1]["score"]
