@@ -41,8 +41,19 @@ def write_text_files(df: DataFrame, path: str, group: str, text: str, order: str
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """Each file is one document: ``(source, content)``; source is the
     file path (A3). Files that ``write_text_files`` wrote are of bounded size; a source's
-    parts are put together only by who asks for it."""
-    return (spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    parts are put together only by who asks for it. Spark counts a file as some MB at
+    least, so small files would be a task for every few: tasks are as many as their bytes fill,
+    or as a shuffle has if those are more. Folders are listed by as many tasks, not one each."""
+    tasks, listing = int(spark.conf.get("spark.sql.shuffle.partitions")), "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(listing)
+    spark.conf.set(listing, str(tasks))
+    try:
+        whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    finally:
+        spark.conf.set(listing, before)
+    size = int(whole._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    full = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return (whole.coalesce(max(tasks, -(-size // full)))
             .select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("content")))
 
 

@@ -126,6 +126,20 @@ def test_text_parts_are_bounded(spark):
     assert len({p for (s, p), _ in got if s == "big"}) > 20
 
 
+def test_small_text_files_are_few_tasks(spark):
+    rows = [("s", i, "x" * 20) for i in range(80)]
+    d = folder()
+    files.write_text_files(spark.createDataFrame(rows, "source string, doc_id long, text string"), d, "source", "text", "doc_id", most=21)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # a file a split, by its cost
+        r = files.read_text_files(spark, d)
+        assert r.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert sorted(x.content for x in r.collect()) == ["x" * 20 + "\n"] * 80 and r.select("source").distinct().count() == 80
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_json_arrays_mixed(spark):
     lines = ['["s", {"title": "t", "content": "c"}, null, 5, {"title": "t"}, {"content": "d", "x": [1]}, ["n"], true, ""]', "[]", "[1", "{}", "", None]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id int, v string")
