@@ -197,3 +197,33 @@ def test_a_task_merges_its_shards(monkeypatch):
     run = lexical._best_chunks(Sent, ["doc_id"], "q", pa.int64(), 2, 1.2, 0.75, 2.0)
     out = pa.Table.from_batches(run(iter([one(1, "a", [0, 1, 2]), one(1, "b", [2]), one(2, "a", [0]), one(2, "b", [0, 1])]))).to_pylist()
     assert [(r["q"], r["doc_id"]) for r in out] == [(7, 12), (7, 20)] and out[0]["score"] == out[1]["score"]
+
+
+def test_a_search_lets_few_rows_out(spark, monkeypatch):
+    """Tasks, and with them the k rows a question that each lets out, are bounded where questions are many."""
+    c = chunks(spark, 240)
+    store = lexical.LexicalStore.create(spark, folder(), c)
+    for i in range(6):
+        store.append(c.filter(F.col("doc_id") % 6 == i))
+    q = spark.createDataFrame([(i, f"hot word{i}") for i in range(8)], "item_id long, text string")
+    want = rows(store.search(q, 3))
+    seen, real = [], lexical.top_k
+    monkeypatch.setattr(lexical, "top_k", lambda df, *a: seen.append(df) or real(df, *a))
+    monkeypatch.setattr(lexical, "SEARCH_TASKS", 2, raising=False)
+    monkeypatch.setattr(lexical, "SEARCH_ROWS", 1, raising=False)
+    monkeypatch.setattr(lexical, "GROUP_POSTS", 50, raising=False)  # several groups a task
+    monkeypatch.setattr(lexical, "LONG", 2, raising=False)
+    assert rows(store.search(q, 3)) == want
+    assert seen[0].count() <= 2 * 3 * 8
+
+
+def test_only_wanted_chunks_are_joined(spark):
+    c = chunks(spark, 200)
+    found = lexical.bm25_topk(spark.createDataFrame([(1, "word3 word10")], "item_id long, text string"), c, k=4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "bitmap_construct_agg" in plan
+    text = {(r.doc_id, r.cont_id): r.content for r in c.collect()}
+    assert found.count() == 4 and all(text[r.doc_id, r.cont_id] == r.content for r in found.collect())
+    wanted = spark.createDataFrame([(5, 1), (199, 1), (900, 1), (None, 1)], "doc_id long, cont_id long")
+    kept = {r.doc_id for r in lexical._perhaps_in(c, wanted, ["doc_id", "cont_id"]).collect()}
+    assert {5, 199, 900} <= kept and len(kept) < 20
