@@ -195,7 +195,8 @@ class Vocabulary:
 
     def decode(self, ids: list[int]) -> str:
         text = self.decode_unit(",".join(map(str, ids))) if ids else ""
-        return text[1:] if ids and self.piece[ids[0]].startswith(SPACE) else text
+        first = next((i for i in ids if self.spaced.get(str(i)) != ""), None)  # control pieces are no text
+        return text[1:] if first is not None and self.piece[first].startswith(SPACE) else text
 
 
 class _Memo(dict):

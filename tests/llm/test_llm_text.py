@@ -58,6 +58,11 @@ def test_decoding_is_the_librarys(ids):
     assert sp_encode.vocabulary(MODEL).decode(ids) == SP.decode(ids)
 
 
+@pytest.mark.parametrize("ids", [[1, 2935], [2, 1, 2935, 2935], [1], [0, 2935], [1, 40, 2935], [1, SP.piece_to_id("▁"), 2935]])
+def test_decoding_after_control_pieces(ids):
+    assert sp_encode.vocabulary(MODEL).decode(ids) == SP.decode(ids)
+
+
 def test_long_texts_are_cut_safely(monkeypatch):
     monkeypatch.setattr(sp_encode, "STRETCH", 50)
     v = sp_encode.vocabulary(MODEL)
