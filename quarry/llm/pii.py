@@ -14,10 +14,12 @@ rewritten into the ways people write them (``variants``: "at" and "dot" in words
 brackets, spaces, other separators, no country code, a port). Negatives are proposals
 that overlap no base span, base matches that fail their check, and base spans'
 places with what only looks alike (``decoys``: failing checksums, dates, versions,
-amounts, prose). A task keeps the ``KEEP`` examples of smallest hash of each kind and
-label, and the driver as many: that bounds the sample. A third of them, by place,
-is held out of the trees for the calibration (Platt) and the thresholds: the least
-probability, a half at least, at which the held-out precision, smoothed, is ``PRECISION``.
+amounts, prose). Every distinct example of every text is learnt from: places are shuffled
+once, their examples' features stay in blocks of the shared folder, and Spark tasks
+sum over them whatever the trees, their quantiles and the calibration take. A third of the
+examples, by place, is held out of the trees for the calibration (Platt) and the thresholds:
+the least probability, a half at least, at which the held-out precision, smoothed, is
+``PRECISION``. Held-out margins are counted in steps of 1 / ``STEPS``.
 
 Every text is scanned whole, in time linear in its length: patterns are possessive, or
 bounded windows around their anchors.
@@ -42,11 +44,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.boosted import Trees, fit, sigmoid
+from quarry.llm.boosted import (BLOCK, Trees, binned, block, cuts_of, fit_binned, fit_table, sigmoid, start_of,
+                                unpacked)
 from quarry.llm.common import discard, exact, free_name, materialise
 
 KINDS = ("email", "ip", "card", "phone")
-KEEP = 1500
+KEEP = 1 << 16
+RUN = 8192
+STEPS = 1024
 ENOUGH = 20
 PRECISION = 0.98
 AROUND = 40
@@ -283,43 +288,50 @@ def _disjoint(spans: list[Span]) -> list[Span]:
     return out
 
 
-def examples(text: str) -> Iterator[tuple[str, int, str, int, int, str, str, str]]:
-    """(kind, label, way, hash, place, left, span, right) that a text has to teach."""
+def places(text: str) -> Iterator[tuple[str, str, int, str, str, str]]:
+    """(kind, way, hash, left, span, right) of the places of a text that teach: ``base``
+    spans, matches that ``failed`` their check, and ``other`` proposals."""
     matches = base_matches(text)
     known = _disjoint([s for s, ok in matches if ok])
     starts = [s[0] for s in known]
+
+    def place(lo: int, hi: int, kind: str, way: str) -> tuple[str, str, int, str, str, str]:
+        left, span, right = text[max(0, lo - AROUND): lo], text[lo:hi], text[hi: hi + AROUND]
+        return kind, way, _hash(kind, left, span, right), left, span, right
+
     for (lo, hi, kind), ok in matches:
-        left, right, span = text[max(0, lo - AROUND): lo], text[hi: hi + AROUND], text[lo:hi]
-        if len(span) > 320:
-            continue
-        place = _hash(kind, left, span, right)
-        if ok:
-            words = [w for w in re.findall(r"[^\W\d_]{2,12}", left + " " + right)] or ["the"]
-            yield kind, 1, "base", place, place, left, span, right
-            for i in range(4):
-                pick = _hash(place, i)
-                # what stands next to it differs too, alike for both labels
-                before = left + ["", "", "", "(", ": ", "\n", ", ", " - "][pick // 13 % 8]
-                after = ["", "", "", ".", ",", ")", ";", "\n"][pick // 104 % 8] + right
-                v = variants(kind, span, pick, words)
-                yield kind, 1, "variant", pick, place, before[-AROUND:], v, after[:AROUND]
-                # proposals that cut the variant short, or take in what is beside it, are wrong; so are a decoy's
-                for way, middle in (("part", v), ("decoy", decoys(kind, span, _hash(place, i, "no"), words))):
-                    whole, true = before + middle + after, (len(before), len(before) + len(middle))
-                    for s in proposals(whole):
-                        if s[0] < true[1] and s[1] > true[0] and (way == "decoy" or s[:2] != true):
-                            yield (s[2], 0, way, _hash(place, i, way, *s), place, whole[max(0, s[0] - AROUND): s[0]], whole[s[0]: s[1]],
-                                   whole[s[1]: s[1] + AROUND])
-        elif not _cross(known, starts, (lo, hi, kind)):
-            yield kind, 0, "failed", place, place, left, span, right
+        if hi - lo <= 320 and (ok or not _cross(known, starts, (lo, hi, kind))):
+            yield place(lo, hi, kind, "base" if ok else "failed")
     for lo, hi, kind in proposals(text):
         if not _cross(known, starts, (lo, hi, kind)):
-            left, right = text[max(0, lo - AROUND): lo], text[hi: hi + AROUND]
-            place = _hash(kind, left, text[lo:hi], right)
-            yield kind, 0, "other", place, place, left, text[lo:hi], right
-
-
-_EXAMPLE = "kind string, label int, way string, h long, place long, left string, span string, right string"
+            yield place(lo, hi, kind, "other")
+
+
+def examples(kind: str, way: str, place: int, left: str, span: str, right: str) -> Iterator[tuple[str, int, str, str, str]]:
+    """(kind, label, left, span, right) that a place has to teach."""
+    if way != "base":
+        yield kind, 0, left, span, right
+        return
+    yield kind, 1, left, span, right
+    words = [w for w in re.findall(r"[^\W\d_]{2,12}", left + " " + right)] or ["the"]
+    seen = set()
+    for i in range(4):
+        pick = _hash(place, i)
+        # what stands next to it differs too, alike for both labels
+        before = left + ["", "", "", "(", ": ", "\n", ", ", " - "][pick // 13 % 8]
+        after = ["", "", "", ".", ",", ")", ";", "\n"][pick // 104 % 8] + right
+        v = variants(kind, span, pick, words)
+        yield kind, 1, before[-AROUND:], v, after[:AROUND]
+        # proposals that cut the variant short, or take in what is beside it, are wrong; so are a decoy's
+        for false, middle in (("part", v), ("decoy", decoys(kind, span, _hash(place, i, "no"), words))):
+            whole, true = before + middle + after, (len(before), len(before) + len(middle))
+            for s in proposals(whole):
+                if s[0] < true[1] and s[1] > true[0] and (false == "decoy" or s[:2] != true) and (i, false, s) not in seen:
+                    seen.add((i, false, s))
+                    yield s[2], 0, whole[max(0, s[0] - AROUND): s[0]], whole[s[0]: s[1]], whole[s[1]: s[1] + AROUND]
+
+
+_PLACE = "kind string, way string, h long, left string, span string, right string"
 
 
 def _texts(col: pa.Array) -> Iterator[tuple[int, str]]:
@@ -330,30 +342,74 @@ def _texts(col: pa.Array) -> Iterator[tuple[int, str]]:
         yield i, col[i].as_py()
 
 
-def _sample(keep: int):
-    """Of a task's examples, the ``keep`` distinct ones of smallest hash of each (kind, label, way)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, dict[int, tuple]] = {}
-        limit: dict[tuple, int] = {}
-        for b in batches:
-            for _, text in _texts(b.column(0)):
-                for e in examples(text):
-                    key = e[:3]
-                    if e[3] >= limit.get(key, 1 << 62):
-                        continue
-                    mine = held.setdefault(key, {})
-                    mine[e[3]] = e
-                    if len(mine) > 4 * keep:
-                        least = sorted(mine)[:keep]
-                        held[key] = {h: mine[h] for h in least}
-                        limit[key] = least[-1]
-        rows = [mine[h] for mine in held.values() for h in sorted(mine)[:keep]]
-        if rows:
-            names = [x.split()[0] for x in _EXAMPLE.split(", ")]
-            types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, types[x.split()[1]]) for c, x in zip(zip(*rows, strict=True), _EXAMPLE.split(", "), strict=True)], names)
-    return run
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in _PLACE.split(", ")]
+    for b in batches:
+        held: dict[tuple, tuple] = {}  # of a batch's copies one is sent
+
+        def rows() -> pa.RecordBatch:
+            cols = zip(*held.values(), strict=True)  # noqa: B023
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "h" else pa.string()) for c, n in zip(cols, names, strict=True)], names)
+
+        for _, text in _texts(b.column(0)):
+            for p in places(text):
+                held[p[:3]] = p
+                if len(held) >= RUN:
+                    yield rows()
+                    held.clear()
+        if held:
+            yield rows()
+
+
+#: A block of examples: features, kind and label (twice the kind's number and the label), what they are: 1 base, 2 held out.
+_EXAMPLES = "x binary, code binary, mark binary"
+
+
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    x, code, mark = [], [], []
+
+    def full() -> pa.RecordBatch:
+        parts = np.array(x, np.int32), np.array(code, np.uint8), np.array(mark, np.uint8)
+        for part in (x, code, mark):
+            part.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], ["x", "code", "mark"])
+
+    for b in batches:
+        for kind, way, h, *around in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            held, base = 2 * (h % 3 == 0), way == "base"
+            for k, label, left, span, right in examples(kind, way, h, *around):
+                x.append(features(left, span, right, k))
+                code.append(2 * KINDS.index(k) + label)
+                mark.append(held + base)
+                base = False  # the first example of a base place is the span itself
+            if len(x) >= RUN:
+                yield full()
+    if x:
+        yield full()
+
+
+def _open(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x, code, mark = (np.frombuffer(b.column(c)[i].as_py(), t) for c, t in enumerate((np.int32, np.uint8, np.uint8)))
+    return x.reshape(len(code), -1), code, mark
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, what, value, n): how many examples have each value of a feature, held-out ones
+    left aside; and, as what -1 and -2, how many are base spans (value 1) or not, and held out (2) or not."""
+    for b in batches:
+        for i in range(b.num_rows):
+            x, code, mark = _open(b, i)
+            for c in np.unique(code):
+                mine, out = code == c, []
+                for j, v in enumerate(x[mine & (mark < 2)].T):
+                    out.append((j, *np.unique(v, return_counts=True)))
+                out.append((-1, *np.unique(mark[mine] & 1, return_counts=True)))
+                out.append((-2, *np.unique(mark[mine] & 2, return_counts=True)))
+                n = [len(v) for _, v, _ in out]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(sum(n), int(c))), pa.array(np.repeat([j for j, _, _ in out], n)),
+                     pa.array(np.concatenate([v for _, v, _ in out]).astype(np.int64)), pa.array(np.concatenate([k for _, _, k in out]).astype(np.int64))],
+                    ["code", "what", "value", "n"])
 
 
 @dataclass
@@ -369,59 +425,103 @@ class Model:
         return sigmoid(a * z + b)
 
 
-def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic fit of ``y`` to the margins (Newton steps)."""
+def _platt(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic fit of ``y`` to the margins, each ``n`` times (Newton steps)."""
     beta = np.array([1.0, 0.0])
     x = np.stack([z, np.ones(len(z))], axis=1)
-    goal = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    ones, every = float((n * y).sum()), float(n.sum())
+    goal = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (every - ones + 2))
     for _ in range(30):
         p = sigmoid(x @ beta)
-        grad = x.T @ (goal - p) - 1e-3 * (beta - np.array([1.0, 0.0]))
-        beta = beta + np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), grad)
+        grad = x.T @ (n * (goal - p)) - 1e-3 * (beta - np.array([1.0, 0.0]))
+        beta = beta + np.linalg.solve(x.T @ (x * (n * p * (1 - p))[:, None]) + 1e-3 * np.eye(2), grad)
     return float(max(beta[0], 1e-3)), float(beta[1])
 
 
+def _threshold(z: np.ndarray, y: np.ndarray, n: np.ndarray, scale: tuple[float, float]) -> float | None:
+    """The least probability at which enough of the held-out rows are right; rows of a
+    margin step are taken together."""
+    step, at = np.unique(-z, return_inverse=True)  # the likeliest first
+    hits = np.cumsum(np.bincount(at, n * y, len(step)))
+    seen = np.cumsum(np.bincount(at, n, len(step)))
+    good = np.flatnonzero((hits + 0.5) / (seen + 1) >= PRECISION)
+    if not len(good):
+        return None
+    return max(0.5, float(sigmoid(scale[0] * (-step[good[-1]] - 0.5 / STEPS) + scale[1])))
+
+
 def train(docs: DataFrame, text: str = "text", keep: int = KEEP) -> Model:
-    """Fit trees, calibration and thresholds; at most ``keep`` examples of each
-    (kind, label, way) come to the driver."""
-    key = ["kind", "label", "way"]
-    found = materialise(docs.select(exact(text)).mapInArrow(_sample(keep), _EXAMPLE).dropDuplicates([*key, "h"]), "examples")
-    # the hashes' sixteenths of powers of two: the first that hold enough, from a bounded table of counts
-    step = F.floor(F.log2(F.col("h") + 1) * 16).cast("int")
-    counts = found.groupBy(*key, step.alias("step")).count().toPandas().sort_values([*key, "step"])
-    counts["before"] = counts.groupby(key)["count"].cumsum() - counts["count"]
-    last = counts[counts["before"] < keep].groupby(key, as_index=False)["step"].max()
-    enough = F.lit(False)
-    for k, label, way, s in last.itertuples(index=False):
-        enough = enough | ((F.col("kind") == k) & (F.col("label") == int(label)) & (F.col("way") == way) & (step <= int(s)))
-    rows = found.filter(enough).toPandas().sort_values([*key, "h"]).groupby(key).head(keep).reset_index(drop=True)
-    discard(found)
-    base = rows[rows["way"] == "base"].groupby("kind").size()
-    taught = [k for k in KINDS if base.get(k, 0) >= ENOUGH]
-    rows = rows[rows["kind"].isin(taught)].reset_index(drop=True)
-    if not taught or rows["label"].nunique() < 2:
+    """Fit trees, calibration and thresholds to all distinct examples of ``docs``. If
+    they are ``keep`` at most, the driver sums over them itself; the model is the same."""
+    # places are few bytes and much work, so they are dealt by number and not by size
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = materialise(docs.select(exact(text)).mapInArrow(_places, _PLACE).dropDuplicates(["kind", "way", "h"]).repartition(tasks)
+                        .mapInArrow(_examples, _EXAMPLES), "examples")
+    try:
+        return _fitted(found, keep)
+    finally:
+        discard(found)
+
+
+def _fitted(found: DataFrame, keep: int) -> Model:
+    # features are small whole numbers, so this table is bounded by their values
+    tally = (found.mapInArrow(_tally, "code long, what long, value long, n long").groupBy("code", "what", "value")
+             .agg(F.sum("n").alias("n")).toPandas())
+    base = tally[(tally["what"] == -1) & (tally["value"] == 1)].groupby("code")["n"].sum()
+    taught = [k for i, k in enumerate(KINDS) if base.get(2 * i + 1, 0) >= ENOUGH]
+    tally = tally[(tally["code"] // 2).isin([KINDS.index(k) for k in taught])]
+    every = tally[tally["what"] == -2]
+    if not taught or (every["code"] % 2).nunique() < 2:
         return Model(None, {}, {})
-    x = np.array([features(a, s, b, k) for a, s, b, k in zip(rows["left"], rows["span"], rows["right"], rows["kind"], strict=True)], float)
-    y = rows["label"].to_numpy(float)
-    held = (rows["place"] % 3 == 0).to_numpy()
     # both labels of a kind weigh the same
-    n = rows.groupby(["kind", "label"])["h"].transform("size").to_numpy(float)
-    w = len(rows) / (2 * len(taught) * n)
-    trees = fit(x[~held], y[~held], w[~held])
+    of_code = np.zeros(2 * len(KINDS))
+    for c, n in every.groupby("code")["n"].sum().items():
+        of_code[c] = every["n"].sum() / (2 * len(taught) * n)
+    learnt = every[every["value"] == 0]
+    if learnt.empty:
+        return Model(None, {}, {})
+    start = start_of(learnt["code"].to_numpy() % 2, of_code[learnt["code"]] * learnt["n"].to_numpy())
+    values = tally[tally["what"] >= 0].groupby(["what", "value"])["n"].sum()
+    cuts = [cuts_of(v.index.get_level_values("value").to_numpy(float), v.to_numpy()) for _, v in values.groupby(level="what", sort=True)]
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                x, code, mark = _open(b, i)
+                mine = (mark < 2) & (of_code[code] > 0)
+                if mine.any():
+                    yield block(binned(x[mine], cuts), code[mine] % 2, of_code[code[mine]], np.full(int(mine.sum()), start))
+
+    blocks = found.mapInArrow(taken, BLOCK)
+    if learnt["n"].sum() <= keep:
+        rows = blocks.toArrow()
+        x, y, w, _ = (np.concatenate(p, axis=-1) for p in zip(*(unpacked(rows, i) for i in range(rows.num_rows)), strict=True))
+        trees = fit_binned(x, y, w, cuts, start)
+    else:
+        blocks = materialise(blocks, "blocks")
+        trees = fit_table(blocks, cuts, start)
+        discard(blocks)
     model = Model(trees, {}, {})
-    z = trees.margin(x)
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                x, code, mark = _open(b, i)
+                mine = (mark >= 2) & (of_code[code] > 0)
+                step = np.rint(trees.margin(x[mine]) * STEPS).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(code[mine].astype(np.int64)), pa.array(step)], ["code", "step"])
+
+    held = found.mapInArrow(margins, "code long, step long").groupBy("code", "step").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    held = held.sort_values(["code", "step"])
     for k in taught:
-        mine = held & (rows["kind"] == k).to_numpy()
-        if not (0 < y[mine].sum() < mine.sum()):
+        mine = held[held["code"] // 2 == KINDS.index(k)]
+        z, y, n = mine["step"].to_numpy(float) / STEPS, (mine["code"] % 2).to_numpy(float), mine["n"].to_numpy(float)
+        if not (0 < (n * y).sum() < n.sum()):
             continue
-        model.scale[k] = _platt(z[mine], y[mine])
-        a, b = model.scale[k]
-        p = sigmoid(a * z[mine] + b)
-        order_ = np.argsort(-p, kind="stable")
-        hits, seen = np.cumsum(y[mine][order_]), np.arange(1, int(mine.sum()) + 1)
-        good = np.flatnonzero((hits + 0.5) / (seen + 1) >= PRECISION)
-        if len(good):
-            model.threshold[k] = max(0.5, float(p[order_][good[-1]]))
+        model.scale[k] = _platt(z, y, n)
+        least = _threshold(z, y, n, model.scale[k])
+        if least is not None:
+            model.threshold[k] = least
     return model
 
 

@@ -1,5 +1,6 @@
 """Operators 11 (personal data), 12 (ranked search) and 13 (divergence audit)."""
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -99,6 +100,23 @@ def test_thresholds_hold_out(taught):
     assert all(0.5 <= t <= 1 for t in taught.threshold.values())
 
 
+def test_model_learns_from_every_example(spark, monkeypatch):
+    """``keep`` only says where the sums are taken: nothing is left out above it."""
+    from quarry.llm import boosted
+    for name in ("fit_binned", "fit_table"):
+        monkeypatch.setattr(pii, name, functools.partial(getattr(boosted, name, None) or fit, trees=12), raising=False)
+    words = "alpha beta gamma delta omega sigma kappa".split()
+    rows = [(i, f"{words[i % 7]} write to {words[i % 5]}{i}@{words[i % 3]}.com or +1 {200 + i} 555 {1000 + 7 * i} {words[i % 4]} 2024-01-{10 + i % 20}")
+            for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    every, table = pii.train(docs), pii.train(docs, keep=0)
+    assert every.trees is not None and table.trees is not None
+    for part in ("feature", "cut", "leaf"):
+        assert np.array_equal(getattr(every.trees, part), getattr(table.trees, part))
+    assert (every.scale, every.threshold) == (table.scale, table.threshold)
+    assert set(every.scale) == {"email", "phone"}
+
+
 def test_overlapping_proposals_compete():
     a, b, c, d = (0, 10, "phone"), (5, 15, "card"), (12, 20, "phone"), (30, 40, "ip")
     assert pii._chosen([(0.9, a), (0.95, b), (0.9, c), (0.7, d)], [(35, 36, "email")]) == [b]
