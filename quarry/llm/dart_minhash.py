@@ -182,7 +182,7 @@ def text_classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFr
 
     return classes(nodes.filter("text is not null").mapInArrow(_band_rows, "key long, node long"), texts,
                    lambda p: p.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long"),
-                   lambda t: t.select("node", "text").mapInArrow(_elements, "node long, elements binary"))
+                   _elements)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -132,6 +132,28 @@ def weighted(text):
     return collections.Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else collections.Counter()
 
 
+def test_no_similar_pair_is_told_apart_by_bitmaps():
+    rng = np.random.default_rng(11)
+    sets, pairs = [], []
+    for size in (1, 2, 5, 7, 31, 32, 33, 100, 500, 5000, 40_000):
+        for share in (0.0, 0.3, 0.6, 0.78, 0.8, 0.81, 0.9, 1.0):
+            one = rng.integers(0, 1 << 32, size, np.uint32)
+            kept = one[rng.random(size) < np.sqrt(share)]
+            other = np.append(kept, rng.integers(0, 1 << 32, max(0, int(size * rng.uniform(0.8, 1.2)) - len(kept)), np.uint32))
+            pairs.append((len(sets), len(sets) + 1))
+            sets += [np.unique(one), np.unique(other)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "elements"])
+    (b,) = linkage._bitmaps(iter([rows]))
+    sides = [b.select(["n", "bits"]).take(pa.array([p[i] for p in pairs])) for i in (0, 1)]
+    ids = [pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)]
+    (out,) = linkage.possible(iter([pa.RecordBatch.from_arrays([*ids, *sides[0].columns, *sides[1].columns], list("abcdef"))]))
+    left = set(zip(*(c.to_pylist() for c in out.columns), strict=True))
+    sim = {(i, j): len(np.intersect1d(sets[i], sets[j])) / max(1, len(np.union1d(sets[i], sets[j]))) for i, j in pairs}
+    assert {p for p, x in sim.items() if x >= linkage.CLOSE} <= left
+    far = {p for p, x in sim.items() if x < 0.4 and 31 <= len(sets[p[0]]) <= 5000}
+    assert far and not far & left
+
+
 def near_classes(rows):
     """Brute force: smallest id of each class of (id, text) rows."""
     first = {}
