@@ -54,3 +54,17 @@ def test_prompt_format(spark):
     assert rows[1].contexts == "<1>: first\n\n<2>: second"
     assert rows[1].sources == "<1>: s1\n\n<2>: s2"
     assert rows[2].n_contexts == 0 and rows[2].contexts == ""
+
+
+def test_contexts_are_dealt_by_question_once(spark):
+    """Dedup, rerank and the prompt's grouping need no shuffle of the texts but one."""
+    from quarry.operators import retrieve
+    lex = spark.createDataFrame([(q, f"text {c % 3}", "s", c) for q in range(5) for c in range(1, 6)], "item_id long, content string, source string, rank long")
+    q = spark.createDataFrame([(i, "text 1") for i in range(5)], "item_id long, text string")
+    ctx = retrieve.hybrid_context(lex.limit(0), lex)
+    top = retrieve.rerank(q, ctx, keep=2)
+    plan = top._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    dealt = [x for x in plan.split("\n") if "Exchange hashpartitioning(item_id" in x]
+    assert len(dealt) <= 2 and sum("REPARTITION_BY_NUM" in x for x in dealt) == 1  # the contexts, and the questions unless broadcast
+    got = {(r.item_id, r.content, r.rank) for r in top.collect()}
+    assert got == {(i, "text 1", 1) for i in range(5)} | {(i, "text 2", 2) for i in range(5)}
