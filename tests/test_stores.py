@@ -227,3 +227,38 @@ def test_only_wanted_chunks_are_joined(spark):
     wanted = spark.createDataFrame([(5, 1), (199, 1), (900, 1), (None, 1)], "doc_id long, cont_id long")
     kept = {r.doc_id for r in lexical._perhaps_in(c, wanted, ["doc_id", "cont_id"]).collect()}
     assert {5, 199, 900} <= kept and len(kept) < 20
+
+
+def test_a_chunk_is_described_once(spark):
+    """A posting is a place and a count; a shard holds its chunks' lengths and keys in one row, compacted or not."""
+    c = chunks(spark, 40)
+    store = lexical.LexicalStore.create(spark, folder(), c)
+    store.append(c.filter("doc_id < 20"))
+    store.append(c.filter("doc_id >= 20"))
+    q = spark.createDataFrame([(1, "hot word3 word5")], "item_id long, text string")
+    want = rows(store.search(q, 30))
+    for _ in range(2):
+        p = store.postings()
+        assert [f.name for f in p.schema["posts"].dataType.elementType.fields] == ["pos", "tf"]
+        shards = p.select("segment", "shard").distinct().count()
+        held = p.filter("chunks is not null")
+        assert held.count() == shards and held.filter("term is not null").count() == 0
+        keys = sorted(r[0] for r in held.selectExpr("explode(chunks.k0)").collect())
+        assert keys == sorted(r.doc_id for r in c.collect())
+        store.compact(shard=1000)
+        assert rows(store.search(q, 30)) == want
+
+
+def test_question_contexts_leave_one_table(spark, tmp_path):
+    """No second copy of the documents is kept, and no step of the way outlives the stored contexts."""
+    from quarry import session
+    from quarry.plans import evaluation
+    spark.createDataFrame([(i, f"hot word{i} text. " * 30, "en", "s") for i in range(9)],
+                          "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, t, r, f"word{i} {r}") for i in range(5) for t, r in enumerate(("user", "assistant"))],
+                          "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    before = set(session._CREATED)
+    got = evaluation.qa_contexts(spark, str(tmp_path)).filter("qa_id > 0").collect()
+    assert sorted(r.qa_id for r in got) == [1, 2, 3, 4, 5] and all("hot word" in r.contexts for r in got)
+    made = {p.split("/")[-2] for p in session._CREATED if p not in before}
+    assert made == {"lexical-store", "qa-rows", "qa-contexts"}
