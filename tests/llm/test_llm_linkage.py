@@ -305,3 +305,22 @@ def test_queries_on_whole_tables(spark):
     stay = kept_lines(docs)
     got = {r.doc_id: r.n_kept for r in QUERIES["op5_line_dedup"](spark, SF001).collect()}
     assert got == {i: sum(k[0] == i for k in stay) for i, _ in docs}
+
+
+def test_texts_that_lose_no_line_are_not_joined(spark):
+    """Of (id, text) rows only those that may lose a line go to the join; the others are counted where they are."""
+    from quarry.llm import line_dedup
+    odd = "one own line of this text\n \t\n\r\nanother line of it\r\n"
+    data = [(1, "a line that two texts have\nfirst text's own words"), (2, "a line that two texts have\nsecond text, other words"),
+            (3, odd), (4, None), (5, " \n\t"), (None, "a text whose id is null"), (6, "a line that two texts have"),
+            (7, "said twice in one text\nsaid twice in one text"), (8, "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    some, rest, _, _ = line_dedup.kept_lines(docs)
+    assert sorted(r.doc_id for r in some.collect()) == [2, 6, 7]
+    assert rest.columns == docs.columns and rest.count() == 6
+    plan = rest._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan
+    got = {r.doc_id: (r.text, r.n_lines, r.n_kept) for r in line_dedup.dedup_lines(docs).collect()}
+    whole = {1: 2, 3: 2, 4: 0, 5: 0, None: 1, 8: 0}
+    assert got == {i: (t, whole[i], whole[i]) for i, t in data if i in whole} | {
+        2: ("second text, other words", 2, 1), 6: ("", 1, 0), 7: ("said twice in one text", 2, 1)}
