@@ -217,6 +217,37 @@ def test_a_search_lets_few_rows_out(spark, monkeypatch):
     assert seen[0].count() <= 2 * 3 * 8
 
 
+def test_no_null_lists_are_handed_over(spark):
+    """Spark goes through an Arrow batch's last run of null lists again at each row: posting lists come with empty ones."""
+    c = chunks(spark, 40)
+    store = lexical.LexicalStore.create(spark, folder(), c)
+    store.append(c.filter("doc_id < 20"))
+    store.append(c.filter("doc_id >= 20"))
+    given, filled = [], lexical._filled
+    try:
+        lexical._filled = lambda search: given.append(search) or filled(search)
+        found = store.search(spark.createDataFrame([(1, "hot word3"), (2, "word5")], "item_id long, text string"), 5)
+    finally:
+        lexical._filled = filled
+    assert len(given) == 1
+    step = found._jdf.queryExecution().optimizedPlan()
+    while "MapInArrow" not in step.nodeName():
+        step = step.children().apply(0)
+    rows_in = step.children().apply(0).output()
+    lists = [rows_in.apply(i) for i in range(rows_in.size()) if rows_in.apply(i).dataType().typeName() == "array"]
+    assert len(lists) >= 2 and not any("struct" in x.dataType().simpleString() for x in lists)
+    want = lexical.bm25_topk(spark.createDataFrame([(1, "hot word3"), (2, "word5")], "item_id long, text string"), c, k=5, carry=())
+    assert rows(found) == rows(want)
+
+
+def test_a_task_begins_with_one_shard(monkeypatch):
+    """What a question finds in a task's first shard is what the others have to beat."""
+    import pyarrow as pa
+    monkeypatch.setattr(lexical, "GROUP_POSTS", 50)
+    shard = pa.table({"posts": pa.array([[1] * 10, [2] * 6], pa.list_(pa.int32()))})
+    assert [len(g) for g in lexical._groups(iter([shard] * 8))] == [1, 3, 3, 1]
+
+
 def test_only_wanted_chunks_are_joined(spark):
     c = chunks(spark, 200)
     found = lexical.bm25_topk(spark.createDataFrame([(1, "word3 word10")], "item_id long, text string"), c, k=4)
