@@ -50,6 +50,40 @@ def test_streams_do_not_depend_on_batches(seed):
     assert {(k, b, a % 3) for k, a, b, rest in got if not rest} == links
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_nodes_of_a_bucket_come_in_any_order(seed, monkeypatch):
+    """Spark sorts by key alone; a bucket too large to hold is paired part by part."""
+    rng = random.Random(seed)
+    rows = sorted(((rng.randrange(5), rng.randrange(-6, 25)) for _ in range(rng.randrange(90))), key=lambda r: r[0])
+    by = collections.defaultdict(set)
+    for k, n in rows:
+        by[k].add(n)
+    sort = {k: sorted(v) for k, v in by.items()}
+    names = ["key", "node"], [pa.int64()] * 2
+    got = flat(linkage._first_pairs(cut(rows, *names, rng)))
+    assert sorted(got) == sorted({(k, v[i], v[p]) for k, v in sort.items() for p in range(1, len(v)) for i in (0, p - 1)})
+    monkeypatch.setattr(linkage, "HELD", 8)
+    got = flat(linkage._first_pairs(cut(rows, *names, rng)))
+    assert all({a, b} <= by[k] and a != b for k, a, b in got) and len(got) <= 2 * len(rows)
+    for k, v in by.items():
+        root = union_find(v, [(a, b) for j, a, b in got if j == k])
+        assert len({find(root, n) for n in v}) == 1
+        if len(v) == 3:
+            assert len({frozenset(x[1:]) for x in got if x[0] == k}) == 3
+
+
+def test_element_sets_are_sorted_not_hashed(monkeypatch):
+    """np.unique hashes integers, which takes ten times as long as sorting them."""
+    rng = np.random.default_rng(3)
+    row, h = np.sort(rng.integers(0, 40, 900)), rng.integers(0, 300, 900).astype(np.uint64) << np.uint64(32)
+    row, h = row[row != 7], h[row != 7]
+    want = [sorted(set((h[row == r] >> np.uint64(32)).tolist())) for r in range(41)]
+    monkeypatch.setattr(np, "unique", None)
+    got = numtext.element_sets(row, h, 41)
+    assert [np.frombuffer(x, np.uint32).tolist() for x in got.to_pylist()] == want and want[7] == want[40] == []
+    assert numtext.element_sets(row[:0], h[:0], 0).to_pylist() == []
+
+
 def find(parent, x):
     while parent[x] != x:
         x = parent[x]
